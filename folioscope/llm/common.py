@@ -89,3 +89,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def random_words(n: int, seed: int) -> np.ndarray:
     """n fixed pseudo-random uint64 values from a counter and a seed."""
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+
+
+#: A table of one row for each partition of an earlier pass is sent to all executors up to so many rows (24 MB at most).
+BROADCAST_ROWS = 1_000_000
+
+
+def join_bases(big: DataFrame, bases: DataFrame, on: str) -> DataFrame:
+    """Join a table of a row or so for each partition: as a broadcast when its counted rows are within bounds, else as any join."""
+    from pyspark.sql import functions as F
+
+    return big.join(F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases, on)
+
+
+def prefix_bases(totals: DataFrame, key: str, value: str) -> DataFrame:
+    """key, base: the sum of value over all rows of smaller key; totals has one row for each partition of an earlier pass."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    order = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(key, F.coalesce(F.sum(value).over(order), F.lit(0)).cast("long").alias("base"))

@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: Module of each query, in the order of the operators.
 MODULES = (
+    "token_counts",
+    "addressable",
     "packing",
 )
 
