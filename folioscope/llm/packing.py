@@ -19,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_sizes, column, documents, filled, materialize, runs
-from .tokens import encoder, tokenizer_path
+from .common import byte_sizes, column, documents, filled, join_bases, materialize, prefix_bases, runs
+from .tokens import byte_encoder, tokenizer_path
 
 QUERY = "op10_packing"
 WINDOW = 2048
@@ -37,18 +37,21 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, part, before (ids of the partition's documents in front), n_tokens, ids (u2 or u4, little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path, leading_space=True)
-        end = np.array([end_id], "<u4").tobytes()
+        code = byte_encoder(path)
+        width, kind = (2, "<u2") if max(code.size, end_id + 1) <= 65536 else (4, "<u4")
+        end = np.array([end_id], np.uint32)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts, doc_ids = filled(column(batch, "text")), column(batch, "doc_id")
             for i, j in runs(byte_sizes(texts)):
-                ids = [x + end for x in code.encode_batch(texts[i:j].to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+                ids = code.encode_batch(texts[i:j].to_pylist())
+                n = np.array([len(x) + 1 for x in ids], np.int64)
                 at = before + np.cumsum(n) - n
                 before += int(n.sum())
-                narrow = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if code.library.get_vocab_size() <= 65536 else x for x in ids]
-                yield pa.RecordBatch.from_arrays([doc_ids[i:j], pa.array(np.full(j - i, part, np.int32)), pa.array(at), pa.array(n), pa.array(narrow, pa.binary())], ["doc_id", "part", "before", "n_tokens", "ids"])
+                joined = np.concatenate([y for x in ids for y in (x, end)]).astype(kind)
+                ends = pa.array((width * np.concatenate([[0], np.cumsum(n)])).astype(np.int32))
+                narrow = pa.Array.from_buffers(pa.binary(), j - i, [None, ends.buffers()[1], pa.py_buffer(joined.tobytes())])
+                yield pa.RecordBatch.from_arrays([doc_ids[i:j], pa.array(np.full(j - i, part, np.int32)), pa.array(at), pa.array(n), narrow], ["doc_id", "part", "before", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TOKENS)
 
@@ -56,9 +59,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 def with_offsets(tokens: DataFrame) -> DataFrame:
     """Adds at, the ids of all documents before: partition totals, one row a partition, as a prefix sum."""
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("base"))
-    return tokens.join(bases, "part").withColumn("at", F.col("base") + F.col("before"))
+    placed = join_bases(tokens, prefix_bases(totals, "part", "total"), "part")
+    return placed.withColumn("at", F.col("base") + F.col("before"))
 
 
 def cut(placed: DataFrame, window: int = WINDOW) -> DataFrame:
