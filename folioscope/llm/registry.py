@@ -9,6 +9,7 @@ MODULES = (
     "token_counts",
     "sharding",
     "telephony",
+    "quality",
     "addressable",
     "packing",
 )
