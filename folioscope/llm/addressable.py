@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_sizes, column, documents, filled, join_bases, materialize, prefix_bases, runs
-from .tokens import encoder, tokenizer_path
+from .tokens import tokenizer_path, word_encoder
 
 QUERY = "op9_addressable_codes"
 END_ID = 1
@@ -136,15 +136,15 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """Tokenize docs in ascending doc_id order and write their segments; returns the written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path, leading_space=False)
-        end = np.array([end_id], "<u4").tobytes()
+        code = word_encoder(path)
         part, segment, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             texts, doc_ids = filled(column(batch, "text")), column(batch, "doc_id")
             for i, j in runs(byte_sizes(texts)):
-                found = [x + end for x in code.encode_batch(texts[i:j].to_pylist())]
-                lengths = np.array([len(x) // 4 for x in found], np.int64)
-                image = build(doc_ids[i:j].to_pylist(), lengths, np.frombuffer(b"".join(found), "<u4"))
+                ids, counts = code.encode_run(texts[i:j].to_pylist())
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                lengths = counts + 1
+                image = build(doc_ids[i:j].to_pylist(), lengths, ids)
                 n = int(lengths.sum())
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (segment, pa.int32()), (before, pa.int64()), (j - i, pa.int32()), (n, pa.int64()), (image, pa.binary()))], ["part", "segment", "before", "n_docs", "n_ids", "payload"])
                 segment, before = segment + 1, before + n
@@ -164,7 +164,8 @@ def read_back(segments: DataFrame) -> DataFrame:
                 s = Segment(column(batch, "payload")[k].as_py())
                 ends = np.cumsum(s.lengths)
                 begins = ends - s.lengths
-                crc = [zlib.crc32(s.slice(b, e).astype("<u4")) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+                ids = memoryview(s.slice(0, s.n_ids).astype("<u4").view(np.uint8))
+                crc = [zlib.crc32(ids[4 * b : 4 * e]) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
                 start = column(batch, "start")[k].as_py() + begins
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(start), pa.array(s.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = (
     "token_counts",
     "sharding",
+    "line_dedup",
     "telephony",
     "quality",
     "addressable",

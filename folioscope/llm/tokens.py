@@ -1,32 +1,30 @@
-"""Token ids of whole texts, by the tokenizers library over distinct pieces of text.
+"""Token ids of whole texts: by the tokenizers library over distinct words, or by tiktoken's merging.
 
-A text is cut where the tokenizer cuts in any case (before a space that leads a word, between
-white space and words, after a run of letters, around special strings), so the ids of the text are
-the ids of its pieces in a row. Each worker keeps the ids of short pieces that it has seen lately;
-the library encodes every other piece. The store changes the speed only, never a result.
+A word-level tokenizer that drops white space cuts a text at white space in any case, and between a
+letter and a comma or full stop, so the ids of the text are the ids of those pieces in a row. Pieces
+are found and hashed with numpy; each worker keeps the ids of pieces by their 64-bit hash, and the
+library encodes those that it has not seen. The store changes the speed only, never a result.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 
 import numpy as np
 
+from .textkit import BASE, FOLDED, RangeHash, Texts, sum_by
+
 #: White space of the tokenizers' patterns (Unicode White_Space). Fixed values.
 SPACES = (
     "\t-\r \x85\xa0\N{OGHAM SPACE MARK}\N{EN QUAD}-\N{HAIR SPACE}\N{LINE SEPARATOR}\N{PARAGRAPH SEPARATOR}"
     "\N{NARROW NO-BREAK SPACE}\N{MEDIUM MATHEMATICAL SPACE}\N{IDEOGRAPHIC SPACE}"
 )
-#: Letters of which a run that ends before a space, newline, comma or full stop is a piece of its own.
-LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-GENERATION = 350_000
-STORE_CHARS = 48
+STORE_PIECES, STORE_IDS = 1_000_000, 16_000_000
 #: Missing pieces go to the library in joined texts of about so many pieces.
 JOINED = 4096
 
-_loaded: dict[str, PieceEncoder] = {}
+_loaded: dict = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,82 +34,96 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class PieceEncoder:
-    """Ids of texts as little-endian 32-bit byte strings.
+class WordEncoder:
+    """Ids of texts for a tokenizer that lower-cases, drops white space and cuts at it."""
 
-    leading_space: True if a piece keeps the one space in front of it (byte-level BPE);
-    False if the tokenizer drops white space, so that spaces and newlines end a piece.
-    """
+    BETWEEN = "\n\x01\n"  # a word of its own between joined pieces; no other text yields its id
 
-    def __init__(self, path: str, leading_space: bool):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special_cuts = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.around = re.compile("(" + "|".join(map(re.escape, self.special_cuts)) + ")") if self.special_cuts else None
-        word = rf"[{LETTERS}]+(?=[ \n.,]|\Z)"
-        self.cut = re.compile(rf" ?{word}| ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]" if leading_space else rf"{word}|[^ \n]+").findall
-        # A separator whose id no other text yields: a newline, or a control character as a word.
-        self.between, self.odd = ("\n", str.isspace) if leading_space else ("\n\x01\n", re.compile("\x01").search)
-        (self.mark,) = self.library.encode(self.between, add_special_tokens=False).ids
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if self.around is not None and "<|" in text:
-            found = []
-            for part in self.around.split(text):
-                if part in self.special_cuts:
-                    found.append(part)
-                elif part:
-                    found.extend(self.cut(part))
-            return found
-        return self.cut(text)
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        ids = np.array(self.library.encode(self.between.join(pieces), add_special_tokens=False).ids, "<u4")
-        marks = np.flatnonzero(ids == self.mark)
+        one, two = "Some", "wörds,"
+        encode = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        if encode(f" {one}\n\t{two}  ") != encode(one.lower()) + encode(two[:-1]) + encode(","):
+            raise ValueError("not a tokenizer that lower-cases, drops white space and cuts at it")
+        (self.mark,) = encode(self.BETWEEN)
+        specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.around = re.compile("(" + "|".join(map(re.escape, specials)) + ")")
+        self.letter = np.zeros(256, bool)
+        self.letter[[*range(65, 91), *range(97, 123)]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _library_ids(self, pieces: list[str]) -> list[np.ndarray]:
+        if any("\x01" in p for p in pieces):
+            return [np.array(e.ids, np.uint32) for e in self.library.encode_batch(pieces, add_special_tokens=False)]
+        ids = np.array(self.library.encode(self.BETWEEN.join(pieces), add_special_tokens=False).ids, np.uint32)
+        found = np.split(ids, marks := np.flatnonzero(ids == self.mark))
         if len(marks) != len(pieces) - 1:
             raise ValueError("a piece yields the separator's id")
-        raw, begins, ends = ids.tobytes(), [0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), 4 * len(ids)]
-        return [raw[b:e] for b, e in zip(begins, ends, strict=True)]
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids, four little-endian bytes each."""
-        gc.disable()  # the lists of pieces hold no cycles; walking them costs a tenth of the time
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.pieces(t) for t in texts]
-        if len(self.young) > GENERATION:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing, odd = [], []
-        for piece in set().union(*pieces):
-            if piece in young:
-                continue
-            if piece in old:
-                young[piece] = old[piece]
-            elif len(piece) > STORE_CHARS or self.odd(piece):
-                odd.append(piece)
-            else:
-                missing.append(piece)
-        for k in range(0, len(missing), JOINED):
-            young.update(zip(part := missing[k : k + JOINED], self._encode_pieces(part), strict=True))
-        if odd:
-            once = dict(zip(odd, (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(odd, add_special_tokens=False)), strict=True))
-            return [b"".join([young[x] if x in young else once[x] for x in p]) for p in pieces]
-        return [b"".join(map(young.__getitem__, p)) for p in pieces]
-
-
-def encoder(path: str, leading_space: bool) -> PieceEncoder:
-    """One encoder for each worker process and file."""
+        return [found[0], *(x[1:] for x in found[1:])]
+
+    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+        new = [x for k in range(0, len(pieces), JOINED) for x in self._library_ids(pieces[k : k + JOINED])]
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        self.slot.update(zip(hashes, range(len(self.at), len(self.at) + len(new)), strict=True))
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, *new])
+
+    def encode_run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        if any("<|" in t and self.around.search(t) for t in texts):
+            return self._around_specials(texts)
+        if len(self.slot) > STORE_PIECES or len(self.ids) > STORE_IDS:
+            self._clear()
+        t = Texts(texts)
+        stops = np.flatnonzero((t.bytes[1:] == 44) | (t.bytes[1:] == 46)) + 1
+        stops = stops[self.letter[t.bytes[stops - 1]]]
+        begin, end = np.sort(np.concatenate([t.word_begin, stops])), np.sort(np.concatenate([t.word_end, stops]))
+        if not len(begin):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        seen, first, which = np.unique(RangeHash(FOLDED[t.bytes], BASE)(begin, end), return_index=True, return_inverse=True)
+        hashes = seen.tolist()
+        get = self.slot.get
+        slots = np.fromiter((get(h, -1) for h in hashes), np.int64, len(hashes))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            data, places = t.bytes.tobytes(), first[missing]
+            pieces = [data[b:e].decode() for b, e in zip(begin[places].tolist(), end[places].tolist(), strict=True)]
+            slots[missing] = np.arange(len(self.at), len(self.at) + len(missing))
+            self._learn([hashes[k] for k in missing.tolist()], pieces)
+        mine = slots[which]
+        size = self.size[mine]
+        place = np.repeat(self.at[mine] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        return self.ids[place], sum_by(size, np.append(np.searchsorted(begin, t.begins), len(begin)))
+
+    def _around_specials(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Special strings are taken out of a text before anything else; each is one id."""
+        parts = [self.around.split(t) for t in texts]
+        ids, counts = self.encode_run([x for p in parts for x in p[::2]])
+        between, out, k = np.split(ids, np.cumsum(counts)[:-1]), [], 0
+        for p in parts:
+            found = []
+            for n, x in enumerate(p):
+                if n % 2:
+                    found.append(np.array([self.library.token_to_id(x)], np.uint32))
+                else:
+                    found.append(between[k])
+                    k += 1
+            out.append(np.concatenate(found))
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """One for each worker process and file."""
     if path not in _loaded:
-        _loaded[path] = PieceEncoder(path, leading_space)
+        _loaded[path] = WordEncoder(path)
     return _loaded[path]
 
 

@@ -39,3 +39,18 @@ def test_against_library(spark):
 
 def test_empty_table(spark):
     assert A.read_back(A.write(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path("word_bpe_49k.json"))).count() == 0
+
+
+def test_word_encoder_on_made_up_texts():
+    import random
+
+    from folioscope.llm.tokens import WordEncoder
+
+    path, rng = tokenizer_path("word_bpe_49k.json"), random.Random(9)
+    library, code = Tokenizer.from_file(path), WordEncoder(path)
+    parts = ["a", "B", " ", "\n", "\t", "\x85", "\xa0", ".", ",", "'s", "'", "é", "E\N{COMBINING ACUTE ACCENT}", "word.", ",\N{COMBINING ACUTE ACCENT}.", "日", "1", "#", "\x01", "\x1c", "<|endoftext|>", "<|startoftext|>", "ß", "Σ", "İ"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(4000)] + ["", "x" * 3000]
+    for k in range(0, len(texts), 150):
+        part = texts[k : k + 150]
+        ids, n = code.encode_run(part)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x.ids for x in library.encode_batch(part, add_special_tokens=False)]
