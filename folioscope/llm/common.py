@@ -91,6 +91,32 @@ def random_words(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
+class Keyed:
+    """A written copy of a table under neutral column names with a row number, so that any columns can come along."""
+
+    def __init__(self, docs: DataFrame):
+        from pyspark.sql import functions as F
+
+        self.names = docs.columns
+        renamed = (F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(self.names))
+        self.table = materialize(docs.select(*renamed, F.monotonically_increasing_id().alias("row")), "keyed")
+
+    def __getitem__(self, name: str):
+        from pyspark.sql import functions as F
+
+        return F.col(f"c{self.names.index(name)}").alias(name)
+
+    def select(self, *names: str) -> DataFrame:
+        """row and the named columns."""
+        return self.table.select("row", *(self[n] for n in names))
+
+    def restored(self, joined: DataFrame, **changed) -> DataFrame:
+        """The columns of the original, some of them changed, from a join with the table."""
+        from pyspark.sql import functions as F
+
+        return joined.select(*(changed.get(c, F.col(f"c{k}")).alias(c) for k, c in enumerate(self.names)))
+
+
 #: A table of one row for each partition of an earlier pass is sent to all executors up to so many rows (24 MB at most).
 BROADCAST_ROWS = 1_000_000
 

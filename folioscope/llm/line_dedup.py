@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_sizes, column, documents, filled, materialize, runs
+from .common import Keyed, byte_sizes, column, documents, filled, materialize, runs
 from .textkit import WORD_BASE, RangeHash, Texts
 
 QUERY = "op6_line_dedup"
@@ -133,20 +133,28 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return named.select("row", F.array_distinct(between).alias("gone"), F.aggregate("lines", F.lit(0).cast("long"), lambda total, p: total + F.get("words", p)).alias("gone_words"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and any other columns) without later repeated runs; adds n_lines, removed_lines, removed_words."""
-    columns = docs.columns
-    keyed = materialize(docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)), F.monotonically_increasing_id().alias("row")), "line-documents")
-    doc_id, text = (F.col(f"c{columns.index(c)}") for c in ("doc_id", "text"))
-    gone = materialize(repeated_lines(keyed.select("row", doc_id.alias("doc_id"), text.alias("text"))), "line-spans")
-    joined = keyed.join(gone, "row", "left")
+def without_lines(text: Column, gone: Column) -> Column:
+    """text without the lines of the given numbers; unchanged where gone is null."""
     lines = F.split(text, "\n", -1)
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda k: F.get(lines, k)), "\n")
-    new = F.when(F.col("gone").isNull(), text).otherwise(left)
-    # Counts that the input has under these names give way.
-    added = {"n_lines": F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long"), "removed_lines": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), "removed_words": F.coalesce("gone_words", F.lit(0)).cast("long")}
-    own = [(new if c == "text" else F.col(f"c{k}")).alias(c) for k, c in enumerate(columns) if c not in added]
-    return joined.select(*own, *(v.alias(c) for c, v in added.items()))
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda k: F.get(lines, k)), "\n")
+    return F.when(gone.isNull(), text).otherwise(left)
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and any other columns) without later repeated runs; adds n_lines, removed_lines, removed_words, which replace columns of these names."""
+    own = Keyed(docs.drop("n_lines", "removed_lines", "removed_words"))
+    gone = materialize(repeated_lines(own.select("doc_id", "text")), "line-spans")
+    text = own["text"]
+    joined = own.table.join(gone, "row", "left").select(
+        *own.table.columns,
+        "gone",
+        F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines"),
+        F.coalesce("gone_words", F.lit(0)).cast("long").alias("removed_words"),
+    )
+    new = without_lines(text, F.col("gone"))
+    columns = [(new if c == "text" else F.col(f"c{k}")).alias(c) for k, c in enumerate(own.names)]
+    return joined.select(*columns, "n_lines", "removed_lines", "removed_words")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_sizes, column, documents, filled, materialize, mix64, random_words, release, runs
+from .common import Keyed, byte_sizes, column, documents, filled, materialize, mix64, random_words, release, runs
 from .textkit import Texts
 
 QUERY = "op4_near_dup"
@@ -46,7 +46,7 @@ LEAST_AGREEING = int(2 * PERMUTATIONS * 0.75 - 5 * (2 * PERMUTATIONS * 0.75 * 0.
 MULTIPLIERS = random_words(PERMUTATIONS, 1) | np.uint64(1)
 SHIFTS = random_words(PERMUTATIONS, 2)
 
-SIGNED = "doc_id long, text_hash long, n_shingles long, node binary, sketch binary"
+SIGNED = "row long, doc_id long, text_hash long, n_shingles long, node binary, sketch binary"
 EDGES = "a binary, b binary"
 
 
@@ -63,7 +63,7 @@ def set_name(shingles: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """SIGNED of docs (doc_id, text, text_hash); node and sketch are null for an empty set."""
+    """SIGNED of docs (row, doc_id, text, text_hash); node and sketch are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,7 +72,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 sets = Texts(texts[i:j].to_pylist()).shingles(WORDS)
                 names = pa.array([set_name(s) if len(s) else None for s in sets], pa.binary())
                 sketches = pa.array([signature(s) if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id")[i:j], column(batch, "text_hash")[i:j], pa.array([len(s) for s in sets], pa.int64()), names, sketches], [x.split(" ")[0] for x in SIGNED.split(", ")])
+                yield pa.RecordBatch.from_arrays([*(column(batch, c)[i:j] for c in ("row", "doc_id", "text_hash")), pa.array([len(s) for s in sets], pa.int64()), names, sketches], [x.split(" ")[0] for x in SIGNED.split(", ")])
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -225,9 +225,9 @@ def with_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return met.select("cluster", "m", "node", "text").mapInArrow(run, "cluster binary, m long, node binary, shingles binary")
 
 
-def find_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+def group_rows(docs: DataFrame) -> DataFrame:
+    """row, doc_id, n_shingles, component_id and group (null for an empty set) of every row of docs (row, doc_id, text)."""
+    docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rows = materialize(signed(docs), "near-signed")
     classes = materialize(
         rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "near-classes"
@@ -242,11 +242,25 @@ def find_groups(docs: DataFrame) -> DataFrame:
     inside = clusters.join(sizes, "root").join(classes.select("node", "rep"), "node").select("node", F.col("root").alias("cluster"), "m", "rep")
     groups = components(confirmed(with_sets(inside, docs)))
     placed = groups.join(classes.select("node", "least_id"), "node")
-    named = placed.join(placed.groupBy("root").agg(F.min("least_id").alias("group_id")), "root").select("node", "group_id", F.lit(True).alias("grouped"))
-    ids = classes.select("node", "least_id").join(named, "node", "left").select("node", F.when(F.col("grouped"), F.col("group_id")).otherwise(F.col("least_id")).alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = placed.join(placed.groupBy("root").agg(F.min("least_id").alias("group_id")), "root").select("node", "group_id", "root")
+    joined = classes.select("node", "least_id").join(named, "node", "left")
+    ids = joined.select("node", F.when(F.col("root").isNotNull(), F.col("group_id")).otherwise(F.col("least_id")).alias("component_id"), F.coalesce("root", "node").alias("group"))
+    out = rows.select("row", "doc_id", "n_shingles", "node").join(ids, "node", "left")
+    return out.select("row", "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group")
+
+
+def find_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
+    out = group_rows(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs (any columns) with one row of each group, that of the smallest (doc_id, row); rows of empty sets stay."""
+    own = Keyed(docs)
+    found = materialize(group_rows(own.select("doc_id", "text")), "near-rows")
+    first = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")).select("first.row")
+    return own.restored(own.table.join(first.union(found.where(F.col("group").isNull()).select("row")), "row", "left_semi"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_sizes, column, documents, filled, materialize, runs
+from .common import Keyed, byte_sizes, column, documents, filled, materialize, runs
+from .line_dedup import without_lines
 from .textkit import BASE, EXACT, WORD_BASE, RangeHash, Texts, any_equal, earlier_equal, sum_by
 
 QUERY = "op8_line_frequency"
@@ -77,8 +78,8 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
     }
 
 
-def features(docs: DataFrame, host: str = "source") -> DataFrame:
-    """FEATURES of every row of docs; row numbers are unique."""
+def features(docs: DataFrame, host: str = "source", numbered: bool = False) -> DataFrame:
+    """FEATURES of every row of docs; row numbers are unique, and those of the input if it is numbered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +91,8 @@ def features(docs: DataFrame, host: str = "source") -> DataFrame:
                 plain = [pa.array(m[k]) for k in ("text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                 yield pa.RecordBatch.from_arrays([column(batch, "row")[i:j], column(batch, "doc_id")[i:j], column(batch, "host")[i:j], *plain, pa.array(failed), *lists], NAMES)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
+    number = F.col("row") if numbered else F.monotonically_increasing_id().alias("row")
+    rows = docs.select(number, F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
     return materialize(rows.mapInArrow(run, FEATURES), "quality")
 
 
@@ -112,14 +114,21 @@ def removals(found: DataFrame, common: DataFrame) -> DataFrame:
     return gone.groupBy("row").agg(F.sum("l.line_words").alias("removed_words"), F.sort_array(F.collect_list("l.lines")).alias("removed_lines"))
 
 
-def rules(docs: DataFrame, host: str = "source", least: int = LEAST_DOCS, share: int = SHARE_PERCENT, depleted: int = DEPLETED_PERCENT) -> DataFrame:
+def rules(docs: DataFrame, host: str = "source", least: int = LEAST_DOCS, share: int = SHARE_PERCENT, depleted: int = DEPLETED_PERCENT, numbered: bool = False) -> DataFrame:
     """All rows of docs (doc_id, text, host) with base features, removed_words, removed_lines and kept."""
-    found = features(docs, host)
+    found = features(docs, host, numbered)
     removed = removals(found, common_lines(found, least, share))
     rest = found.select(*NAMES[:10]).join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     return rest.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_words") <= depleted * F.col("n_words")))
 
 
+def clean(docs: DataFrame, host: str = "source") -> DataFrame:
+    """docs (any columns) without rejected rows, their texts without the lines above the limits."""
+    own = Keyed(docs)
+    judged = materialize(rules(own.select("doc_id", "text", host), host, numbered=True).where("kept").select("row", "removed_lines"), "quality-kept")
+    return own.restored(own.table.join(judged, "row"), text=without_lines(own["text"], F.col("removed_lines")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules(documents(spark, sf_dir, "doc_id", "text", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("removed_lines"))

@@ -7,6 +7,7 @@ from importlib import import_module
 #: Module of each query, in the order of the operators.
 MODULES = (
     "token_counts",
+    "language",
     "near_dup",
     "sharding",
     "line_dedup",
