@@ -135,8 +135,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def without_lines(text: Column, gone: Column) -> Column:
     """text without the lines of the given numbers; unchanged where gone is null."""
-    lines = F.split(text, "\n", -1)
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda k: F.get(lines, k)), "\n")
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, k: ~F.array_contains(gone, k)), "\n")
     return F.when(gone.isNull(), text).otherwise(left)
 
 

@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Module of each query, in the order of the operators.
 MODULES = (
+    "pieces",
     "token_counts",
     "language",
     "near_dup",
