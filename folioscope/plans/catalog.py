@@ -1,11 +1,735 @@
-"""The engine's registered queries: name -> callable, and name -> DuckDB statement."""
+"""The engine's registered queries, by operator family: name -> callable, and name -> DuckDB statement."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import arrays as A
+from ..functions import geometry as G
+from ..functions import text as T
+from ..operators import audit, blocks, experts, figures, hybrid, layout, prompts, records, routing, sequences, state, tables, tiling, translate
+from ..sources import fixtures as V
+from ..sources import sinks
+from .oracles import WS, using
 
-def oracle_sql() -> dict:
-    return {}
+REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def register(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        REGISTRY[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in REGISTRY.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in REGISTRY.items() if sql}
+
+
+def parsed(s: SparkSession, d: str) -> DataFrame:
+    """doc_id, dets of the grounded fixture."""
+    return V.raw(s, d).select("doc_id", records.detections(F.col("raw")).alias("dets"))
+
+
+def exploded(s: SparkSession, d: str) -> DataFrame:
+    return parsed(s, d).select("doc_id", F.posexplode("dets").alias("det_index", "d")).select("doc_id", F.col("det_index").cast("long").alias("det_index"), "d.*")
+
+
+def boxed(s: SparkSession, d: str, kind: str) -> DataFrame:
+    return V.boxes(s, d).where(F.col("kind") == kind)
+
+
+LONG = "long"
+
+# ---------------------------------------------------------------- routing
+
+
+def routed(s: SparkSession, d: str) -> DataFrame:
+    doc = F.col("doc_id")
+    given = V.dirty(s, d).select("doc_id", T.dense_length(F.col("text")).alias("text_chars"), T.suspicious_count(F.col("text")).alias("suspicious"), F.length("text").cast(LONG).alias("chars"))
+    # Columns of lines by the parity rule of the geometry fixture are left to column_count; here pages have one.
+    return given.select("doc_id", "text_chars", routing.route(F.col("text_chars"), F.when(F.col("chars") > 0, F.col("suspicious") / F.col("chars")).otherwise(0.0), (doc % 3 == 0).cast("int"), (doc % 5 == 0).cast("int"), F.lit(0.0), F.lit(1)).alias("route"))
+
+
+ROUTED = f"""(SELECT doc_id, length(regexp_replace(text, '[{WS}]+', '', 'g')) AS text_chars, CASE WHEN length(regexp_replace(text, '[{WS}]+', '', 'g')) < 80
+  OR (length(text) > 0 AND (length(text) - length(regexp_replace(text, '[\\x{{fffd}}\\x{{e000}}-\\x{{f8ff}}\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'))) / length(text) > 0.03) THEN 'vlm'
+  WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN 'hybrid' ELSE 'native' END AS route FROM v_dirty)"""
+
+
+@register(using("v_dirty", sql=f"SELECT route, count(*) AS pages, sum(text_chars)::BIGINT AS text_chars FROM {ROUTED} GROUP BY route"))
+def route_histogram(s, d):
+    return routed(s, d).groupBy("route").agg(F.count("*").alias("pages"), F.sum("text_chars").alias("text_chars"))
+
+
+@register(using("v_dirty", sql=f"SELECT * FROM {ROUTED}"))
+def route_per_page(s, d):
+    return routed(s, d)
+
+
+@register(using("v_dirty", sql=r"SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE (1000000 * (length(text) - length(regexp_replace(text, '[\x{fffd}\x{e000}-\x{f8ff}\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')))) // length(text) END AS ppm FROM v_dirty"))
+def suspicious_ratio(s, d):
+    t = F.col("text")
+    return V.dirty(s, d).select("doc_id", F.when(F.length(t) > 0, F.floor(1000000 * T.suspicious_count(t) / F.length(t))).otherwise(0).cast(LONG).alias("ppm"))
+
+
+@register(
+    using(
+        "v_geo",
+        sql="""SELECT doc_id, CASE WHEN n >= 6 AND s[h + 1] - s[h] > 0.25 * greatest(1, s[n] - s[1]) AND s[h] - s[1] < 0.5 * greatest(1, s[n] - s[1]) AND s[n] - s[h + 1] < 0.5 * greatest(1, s[n] - s[1]) THEN 2 ELSE 1 END AS columns
+    FROM (SELECT doc_id, list_sort(list(x0)) AS s, count(*)::INT AS n, (count(*) // 2)::INT AS h FROM v_geo GROUP BY doc_id)""",
+    )
+)
+def column_count(s, d):
+    return V.geo(s, d).groupBy("doc_id").agg(routing.column_count(F.collect_list("x0")).alias("columns"))
+
+
+@register("SELECT p_partkey, greatest(128, least(greatest(0, (p_retailprice * 10)::INT), 8192)) AS cap, CASE WHEN p_size % 3 = 0 THEN p_size % 2 = 0 ELSE p_size >= 25 END AS truncated FROM part")
+def token_limits(s, d):
+    size = F.col("p_size")
+    return V.table(s, d, "part").select("p_partkey", routing.token_cap(F.round(F.col("p_retailprice") * 10), F.lit(8192)).alias("cap"), routing.is_truncated(size, F.lit(25), F.when(size % 3 == 0, F.when(size % 2 == 0, "length").otherwise("stop"))).alias("truncated"))
+
+
+# ---------------------------------------------------------------- records
+
+
+@register(using("v_dets", sql="SELECT doc_id, det_index, type, array_to_string(bbox, ',') AS bbox, text FROM v_dets"))
+def detections_parse(s, d):
+    return exploded(s, d).withColumn("bbox", F.array_join(F.col("bbox").cast("array<string>"), ","))
+
+
+@register(using("v_dets", sql="SELECT type, count(*) AS n, sum(length(text))::BIGINT AS chars FROM v_dets GROUP BY type"))
+def detections_by_type(s, d):
+    return exploded(s, d).groupBy("type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@register(using("v_dets", sql="SELECT len(bbox) = 4 AS valid, count(*) AS n FROM v_dets GROUP BY 1"))
+def bbox_validity(s, d):
+    return exploded(s, d).groupBy((F.size("bbox") == 4).alias("valid")).agg(F.count("*").alias("n"))
+
+
+@register(
+    using(
+        "v_lines",
+        sql=f"""SELECT doc_id, line_no, lower(t) IN ('[non-text]', '[non text]', '[non_text]') OR (contains(t, '<|det|>') AND NOT contains(t, '<|/det|>')) OR regexp_matches(t, '(?i)\\A[a-z][0-9a-z_-]*[{WS}]*\\[[0-9{WS},.-]*\\]\\z') AS artifact
+    FROM (SELECT doc_id, line_no, CASE line_no % 6 WHEN 0 THEN '[NON-text]' WHEN 1 THEN 'figure [' || doc_id || ', 2, 3, 4]' WHEN 2 THEN '<|det|>' || text ELSE regexp_replace(text, '\\A[{WS}]+|[{WS}]+\\z', '', 'g') END AS t FROM v_lines)""",
+    )
+)
+def artifact_filter(s, d):
+    no = F.col("line_no") % 6
+    line = F.when(no == 0, "[NON-text]").when(no == 1, F.concat(F.lit("figure ["), F.col("doc_id").cast("string"), F.lit(", 2, 3, 4]"))).when(no == 2, F.concat(F.lit("<|det|>"), F.col("text"))).otherwise(F.col("text"))
+    return V.lines(s, d).select("doc_id", F.col("line_no").cast(LONG).alias("line_no"), records.is_artifact(line).alias("artifact"))
+
+
+@register(
+    f"""WITH l AS (SELECT doc_id, regexp_replace(x, '\\A[{WS}]+|[{WS}]+\\z', '', 'g') AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)),
+    c AS (SELECT doc_id, x, count(*) AS n FROM l WHERE x <> '' GROUP BY doc_id, x), t AS (SELECT doc_id, sum(n) AS lines, max(n) AS most FROM c GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(t.lines >= 3 AND t.most >= 3 AND 2 * t.most >= t.lines, false) AS repetitive FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id"""
+)
+def repetitive_docs(s, d):
+    return V.table(s, d, "documents").select("doc_id", records.is_repetitive(F.col("text")).alias("repetitive"))
+
+
+@register(
+    f"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS k, unnest(x) AS s FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda v: regexp_replace(v, '\\A[{WS}]+|[{WS}]+\\z', '', 'g')), lambda v: v <> '') AS x FROM v_dirty))
+    SELECT doc_id, k, CASE WHEN lower(s) = 'index of contents' OR regexp_matches(s, '\\A[0-9]+\\.[ \\t]+[A-Z][A-Z \\t,&/()-]+') THEN 'title' ELSE 'text' END AS type, s AS text FROM l""".replace("WITH l", "WITH v_dirty AS (" + using("v_dirty", sql="").split("v_dirty AS (", 1)[1].rsplit(")", 1)[0] + "), l")
+)
+def native_headings(s, d):
+    dets = V.dirty(s, d).select("doc_id", F.posexplode(records.native_detections(F.col("text"))).alias("k", "x"))
+    return dets.select("doc_id", F.col("k").cast(LONG).alias("k"), "x.type", "x.text")
+
+
+@register(
+    using(
+        "v_dirty",
+        sql=f"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(list_transform(string_split(text, chr(10)), lambda v: regexp_replace(v, '\\A[{WS}]+|[{WS}]+\\z', '', 'g')),
+    lambda v: CASE WHEN lower(v) = 'index of contents' THEN '# ' || v WHEN regexp_matches(v, '\\A[0-9]+\\.[ \\t]+[A-Z][A-Z \\t,&/()-]+(\\.\\.+[ \\t]*[0-9]+)?\\z') THEN '## ' || v ELSE v END), chr(10)), '\\n\\n\\n+', chr(10) || chr(10), 'g'), '\\A[{WS}]+|[{WS}]+\\z', '', 'g') AS markdown FROM v_dirty""",
+    )
+)
+def native_markdown(s, d):
+    return V.dirty(s, d).select("doc_id", records.native_markdown(F.col("text")).alias("markdown"))
+
+
+def marked(s, d):
+    return V.raw(s, d).select("doc_id", records.raw_markdown(F.col("raw"), F.lit("s1"), F.col("doc_id")).alias("markdown"))
+
+
+@register(
+    using(
+        "v_raw",
+        sql=r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw,
+     '<\|det\|>(?:image|figure) \[([0-9]+), ([0-9]+), ([0-9]+), ([0-9]+)\]<\|/det\|>', chr(10) || chr(10) || '![图表或图片区域](/api/region-image/s1/' || doc_id || '/\1%2C\2%2C\3%2C\4)' || chr(10) || chr(10), 'g'),
+     '<\|det\|>title \[[^\]]*\]<\|/det\|>', chr(10) || chr(10) || '## ', 'g'), '<\|det\|>(?:table|display-formula) \[[^\]]*\]<\|/det\|>', chr(10) || chr(10), 'g'), '<\|det\|>[^ \[\]]+ \[[^\]]*\]<\|/det\|>', '', 'g'),
+     '(?im)^\s*\[non[-_ ]?text\]\s*$', '', 'g'), '(?im)^\s*<\|det\|>[^\n]*$', '', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), '\A\s+|\s+\z', '', 'g') AS markdown FROM v_raw""",
+    )
+)
+def raw_markdown(s, d):
+    return marked(s, d)
+
+
+@register(
+    using(
+        "v_dets",
+        sql="""SELECT doc_id, min(det_index) AS first_index, count(*) AS n, CASE min(kind) WHEN 'title' THEN 'heading' WHEN 'x' THEN 'paragraph' ELSE min(kind) END AS block_type, string_agg(text, chr(10) ORDER BY det_index) AS text,
+      arg_min(CASE WHEN kind = 'title' THEN CASE WHEN len(bbox) = 4 AND bbox[4] - bbox[2] > 60 THEN 1 ELSE 2 END END, det_index) AS level
+    FROM (SELECT *, sum(alone) OVER (PARTITION BY doc_id ORDER BY det_index) * 2 + CASE WHEN alone = 1 THEN 0 ELSE 1 END AS g FROM
+      (SELECT *, CASE WHEN type IN ('title', 'image', 'page_number', 'table') THEN 1 ELSE 0 END AS alone, CASE WHEN type IN ('title', 'image', 'page_number', 'table') THEN type ELSE 'x' END AS kind FROM v_dets))
+    GROUP BY doc_id, g""",
+    )
+)
+def blocks_reconstruct(s, d):
+    numbered = parsed(s, d).select("doc_id", F.posexplode(blocks.blocks(F.col("dets"))).alias("k", "b"), F.transform("dets", lambda x: x["type"].isin("title", "image", "page_number", "table")).alias("alone"))
+    # Members of a block: one for those that stand alone; for paragraphs, the run up to the next one.
+    starts = F.filter(F.transform("alone", lambda a, k: F.when(a | (k == 0) | F.coalesce(F.get("alone", k - 1), F.lit(True)), k)), lambda k: k.isNotNull())
+    first, after = F.get(starts, F.col("k")), F.coalesce(F.get(starts, F.col("k") + 1), F.size("alone"))
+    return numbered.select("doc_id", first.cast(LONG).alias("first_index"), (after - first).cast(LONG).alias("n"), "b.block_type", "b.text", "b.level")
+
+
+@register(
+    using(
+        "v_dets",
+        sql="""SELECT doc_id, det_index, CASE type WHEN 'title' THEN '<h' || lv || ' class="ocr-heading" contenteditable="true" data-detection-index="' || det_index || '">' || e || '</h' || lv || '>'
+      WHEN 'image' THEN '<div class="ocr-image" data-detection-index="' || det_index || '"><span class="image-placeholder">🖼 图片区域</span></div>'
+      WHEN 'table' THEN '<div class="ocr-table" contenteditable="true" data-detection-index="' || det_index || '">' || e || '</div>'
+      WHEN 'page_number' THEN '<span class="ocr-page-number" data-detection-index="' || det_index || '">' || e || '</span>'
+      ELSE '<p class="ocr-text" contenteditable="true" data-detection-index="' || det_index || '">' || e || '</p>' END AS html
+    FROM (SELECT *, CASE WHEN len(bbox) = 4 AND bbox[4] - bbox[2] > 60 THEN 1 ELSE 2 END AS lv, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS e FROM v_dets)""",
+    )
+)
+def html_elements(s, d):
+    made = parsed(s, d).select("doc_id", F.posexplode(F.transform("dets", blocks.detection_html)).alias("k", "html"))
+    return made.select("doc_id", F.col("k").cast(LONG).alias("det_index"), "html")
+
+
+@register("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
+def escape_html(s, d):
+    return V.pages(s, d).select("page_id", T.escape_html(F.col("html")).alias("escaped"))
+
+
+@register(using("v_dirty", sql=f"SELECT doc_id, translate(text, '{T.PRIVATE_FROM}', '{T.PRIVATE_TO}') AS text FROM v_dirty"))
+def pua_normalize(s, d):
+    return V.dirty(s, d).select("doc_id", T.normalize_private_use(F.col("text")).alias("text"))
+
+
+# ---------------------------------------------------------------- geometry and layout
+
+UNIT = "least(1000, greatest(0, round_even({} / {} * 1000, 0)))::INT"
+
+
+@register(using("v_geo", sql=f"SELECT doc_id, line_no, {UNIT.format('x0', 600)} AS x0, {UNIT.format('y0', 1000)} AS y0, {UNIT.format('x1', 600)} AS x1, {UNIT.format('y1', 1000)} AS y1 FROM v_geo"))
+def bbox_normalize(s, d):
+    box = G.page_to_unit([F.col(c) for c in ("x0", "y0", "x1", "y1")], [F.lit(v) for v in V.PAGE])
+    rows = V.geo(s, d).select("doc_id", F.col("line_no").cast(LONG).alias("line_no"), box.alias("b"))
+    return rows.select("doc_id", "line_no", *(F.get("b", k).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+REMAP = "least(1000, greatest(0, {} + round_even({} / 1000 * {}, 0)))::INT"
+
+
+@register(using("v_geo", sql=f"SELECT doc_id, line_no, {REMAP.format(100, 'x0', 800)} AS x0, {REMAP.format(200, 'y0', 600)} AS y0, {REMAP.format(100, 'x1', 800)} AS x1, {REMAP.format(200, 'y1', 600)} AS y1 FROM v_geo"))
+def bbox_remap(s, d):
+    box = G.crop_to_page(F.array(*(F.col(c).cast("int") for c in ("x0", "y0", "x1", "y1"))), F.array(*map(F.lit, (100, 200, 900, 800))))
+    rows = V.geo(s, d).select("doc_id", F.col("line_no").cast(LONG).alias("line_no"), box.alias("b"))
+    return rows.select("doc_id", "line_no", *(F.get("b", k).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+@register(using("v_geo", sql="SELECT doc_id, line_no, greatest(0, trunc(x0 / 1000 * 1654)::INT - 8) AS x0, greatest(0, trunc(y0 / 1000 * 2339)::INT - 8) AS y0, least(1654, trunc(x1 / 1000 * 1654)::INT + 8) AS x1, least(2339, trunc(y1 / 1000 * 2339)::INT + 8) AS y1 FROM v_geo"))
+def crop_boxes(s, d):
+    box = G.crop_pixels(F.array(*(F.col(c).cast("int") for c in ("x0", "y0", "x1", "y1"))), F.lit(1654), F.lit(2339))
+    rows = V.geo(s, d).select("doc_id", F.col("line_no").cast(LONG).alias("line_no"), box.alias("b"))
+    return rows.select("doc_id", "line_no", *(F.get("b", k).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+OUTSIDE = "NOT EXISTS (SELECT 1 FROM v_boxes b WHERE b.doc_id = l.doc_id AND (l.x0 + l.x1) / 2 BETWEEN b.x0 AND b.x1 AND (l.y0 + l.y1) / 2 BETWEEN b.y0 AND b.y1)"
+
+
+@register(using("v_geo", "v_boxes", sql=f"SELECT doc_id, line_no, text FROM v_geo l WHERE {OUTSIDE}"))
+def lines_outside_boxes(s, d):
+    return layout.outside(V.geo(s, d), V.boxes(s, d)).select("doc_id", F.col("line_no").cast(LONG).alias("line_no"), "text")
+
+
+@register(using("v_geo", "v_boxes", sql="SELECT s.doc_id, s.line_no, b.box_no FROM v_geo s JOIN v_boxes b ON b.doc_id = s.doc_id AND b.kind = 'table' AND s.x0 <= b.x1 AND s.x1 >= b.x0 AND s.y0 <= b.y1 AND s.y1 >= b.y0"))
+def spans_in_tables(s, d):
+    return layout.inside_tables(V.geo(s, d), boxed(s, d, "table")).select("doc_id", F.col("line_no").cast(LONG).alias("line_no"), "box_no")
+
+
+@register(using("v_boxes", sql="""SELECT doc_id, box_no FROM v_boxes o WHERE kind = 'table' AND NOT EXISTS (SELECT 1 FROM v_boxes i WHERE i.kind = 'table' AND i.doc_id = o.doc_id AND i.box_no <> o.box_no AND i.x0 >= o.x0 + 5 AND i.y0 >= o.y0 + 5 AND i.x1 <= o.x1 - 5 AND i.y1 <= o.y1 - 5 AND i.y1 - i.y0 >= 25)
+    AND NOT EXISTS (SELECT 1 FROM v_boxes f WHERE f.kind = 'figure' AND f.doc_id = o.doc_id AND (o.x0 + o.x1) / 2 BETWEEN f.x0 AND f.x1 AND (o.y0 + o.y1) / 2 BETWEEN f.y0 AND f.y1)"""))
+def outer_tables_dropped(s, d):
+    return layout.outer_tables(boxed(s, d, "table"), boxed(s, d, "figure")).select("doc_id", "box_no")
+
+
+ISLANDS = "(SELECT page, value, sum(CASE WHEN value - prev > 7 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY value) AS g FROM (SELECT page, value, lag(value) OVER (PARTITION BY page ORDER BY value) AS prev FROM v_cells))"
+
+
+@register(using("v_cells", sql=f"SELECT page, g::BIGINT AS cluster_no, count(*) AS n, sum(value)::BIGINT * 1000 // count(*) AS center_milli FROM {ISLANDS} GROUP BY page, g"))
+def cluster_centers(s, d):
+    found = layout.clusters(V.cells(s, d), ["page"], "value", 7.0)
+    return found.select("page", F.col("cluster_no").cast(LONG).alias("cluster_no"), "n", F.floor(F.round(F.col("center") * F.col("n")) * 1000 / F.col("n")).cast(LONG).alias("center_milli"))
+
+
+@register(using("v_cells", sql="SELECT page, array_to_string(list_transform(list_reduce(list_transform(list_sort(list(value)), lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[len(acc)] > 4 THEN list_concat(acc, x) ELSE acc END), lambda v: v::BIGINT), ',') AS kept FROM v_cells GROUP BY page"))
+def dedupe_bounds(s, d):
+    return V.cells(s, d).groupBy("page").agg(F.array_join(A.dedupe_bounds(F.collect_list("value"), 4).cast("array<bigint>").cast("array<string>"), ",").alias("kept"))
+
+
+@register(using("v_cells", sql=f"""SELECT page, row_no, part, supp, cluster_no FROM (SELECT v.page, v.row_no, v.part, v.supp, c.cluster_no, rank() OVER (PARTITION BY v.page, v.row_no, v.part, v.supp, v.value ORDER BY abs(v.value * c.n - c.total) / c.n) AS r
+    FROM v_cells v JOIN (SELECT page, g::BIGINT AS cluster_no, count(*) AS n, sum(value) AS total FROM {ISLANDS} GROUP BY page, g) c ON c.page = v.page) WHERE r = 1"""))
+def nearest_center(s, d):
+    rows = V.cells(s, d)
+    return layout.nearest_centers(rows, layout.clusters(rows, ["page"], "value", 7.0), ["page"], "value").select("page", "row_no", "part", "supp", F.col("cluster_no").cast(LONG).alias("cluster_no"))
+
+
+def word_spans(s, d):
+    """The first words of lines as spans: every fifth small, every seventh raised, gaps of 1 or 4 points."""
+    words = V.lines(s, d).where("line_no < 5").select("doc_id", F.col("line_no").cast(LONG).alias("line_no"), F.slice(F.filter(F.split("text", " ", -1), lambda w: w != ""), 1, 12).alias("w")).where("size(w) > 0")
+    small = lambda k: k % 5 == 4
+    x0 = lambda k: (k * 20 + F.when(k % 3 == 2, 3).otherwise(0)).cast("double")
+    up = lambda k: F.when(k % 7 == 4, 2.0).otherwise(0.0)
+    return words.select("doc_id", "line_no", F.transform("w", lambda w, k: F.struct(w.alias("text"), x0(k).alias("x0"), (F.lit(100.0) - up(k)).alias("y0"), (k * 20 + 19).cast("double").alias("x1"), (F.lit(110.0) - up(k)).alias("y1"), F.when(small(k), 7.0).otherwise(10.0).alias("size"))).alias("spans"))
+
+
+@register(using("v_lines", sql=f"""SELECT doc_id, line_no, regexp_replace(regexp_replace(array_to_string(list_transform(range(len(w)), lambda k: CASE WHEN k = 0 THEN '' WHEN k % 5 = 4 AND k % 7 = 4 AND len(w) > 1 THEN '^' WHEN k % 5 = 4 THEN '' WHEN k % 3 = 2 THEN ' '
+      WHEN (k - 1) % 7 = 4 OR k % 7 = 4 THEN '' ELSE '' END || w[k + 1]), ''), ' +', ' ', 'g'), '\\A[{WS}]+|[{WS}]+\\z', '', 'g') AS text
+    FROM (SELECT doc_id, line_no, list_filter(string_split(text, ' '), lambda x: x <> '')[1:12] AS w FROM v_lines WHERE line_no < 5) WHERE len(w) > 0"""))
+def join_span_text(s, d):
+    return word_spans(s, d).select("doc_id", "line_no", layout.join_span_texts(F.col("spans")).alias("text"))
+
+
+@register(None)
+def cell_text(s, d):
+    spread = F.transform("spans", lambda p: p.withField("y0", p["y0"] + F.floor(p["x0"] / 80) * 9).withField("y1", p["y1"] + F.floor(p["x0"] / 80) * 9))
+    return word_spans(s, d).select("doc_id", "line_no", layout.join_cell_text(spread).alias("text"))
+
+
+ITEMS = f"""(SELECT doc_id, kind, no, heading, row_number() OVER (PARTITION BY doc_id ORDER BY round_even(y::DOUBLE, 1), x, CASE WHEN kind = 'figure' THEN 0 ELSE 1 END, CASE kind WHEN 'line' THEN 1 WHEN 'table' THEN 2 ELSE 0 END, no) - 1 AS place FROM
+   (SELECT doc_id, 'line' AS kind, line_no AS no, y0::DOUBLE AS y, x0 AS x, lower(text) = 'index of contents' OR regexp_matches(text, '\\A[0-9]+(\\.[0-9]+)*[ \\t]+[A-Z]') OR (bold AND size >= 12 AND length(text) < 120) AS heading FROM v_geo l WHERE {OUTSIDE}
+    UNION ALL SELECT doc_id, 'table', box_no, y0, x0, false FROM v_boxes WHERE kind = 'table' UNION ALL SELECT doc_id, 'figure', box_no, y0 - 0.1, x0, false FROM v_boxes WHERE kind = 'figure'))"""
+
+
+def laid_out(s, d):
+    t = boxed(s, d, "table").withColumn("text", F.lit("a | b")).withColumn("markdown", F.lit("| a | b |\n| --- | --- |\n| 1 | 2 |"))
+    f = boxed(s, d, "figure").withColumn("caption", F.lit("Figure")).withColumn("sort_y", F.col("y0") - F.lit(0.1))
+    return t, f, layout.items(V.geo(s, d), t, f)
+
+
+@register(using("v_geo", "v_boxes", sql=f"SELECT * FROM {ITEMS}"))
+def layout_order(s, d):
+    return laid_out(s, d)[2].select("doc_id", "kind", "no", "heading", "place")
+
+
+@register(None)
+def layout_markdown(s, d):
+    pages = layout.layout_pages(laid_out(s, d)[2], V.PAGE, F.lit("s1"), F.lit(1))
+    return pages.select("doc_id", "markdown", F.size("detections").alias("n"))
+
+
+@register(using("v_geo", "v_boxes", sql=f"""SELECT doc_id, 'text-' || place AS region_id, CASE WHEN heading THEN 'title' ELSE 'text' END AS type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, line_no) AS place,
+      lower(text) = 'index of contents' OR regexp_matches(text, '\\A[0-9]+(\\.[0-9]+)*[ \\t]+[A-Z]') OR (bold AND size >= 12 AND length(text) < 120) AS heading FROM v_geo) l WHERE {OUTSIDE}
+    UNION ALL SELECT doc_id, kind || '-' || (box_no + 1), kind FROM v_boxes"""))
+def region_ids(s, d):
+    t, f, _ = laid_out(s, d)
+    return layout.regions(V.geo(s, d), t, f, V.PAGE).select("doc_id", "region_id", "type")
+
+
+# ---------------------------------------------------------------- tables and figures
+
+GRID = "(SELECT page, list(list_transform(string_split(vs, ','), lambda x: x)) AS grid FROM (SELECT page, row_no, string_agg(value::BIGINT::VARCHAR, ',' ORDER BY part, supp) AS vs FROM v_cells GROUP BY page, row_no ORDER BY page, row_no) GROUP BY page)"
+
+
+def grids(s, d):
+    """page, grid: rows of cells as text."""
+    rows = V.cells(s, d).groupBy("page", "row_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "supp", "value"))), lambda x: x["value"].cast(LONG).cast("string")).alias("cells"))
+    return rows.groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "cells"))), lambda x: x["cells"]).alias("grid"))
+
+
+@register(using("v_cells", sql="""SELECT page, round_even(CASE WHEN count(*) < 2 THEN 0 ELSE max(hits)::DOUBLE / count(*) * 0.5::DOUBLE + sum(n)::DOUBLE / (max(n) * count(*)) * 0.3::DOUBLE + max(hits)::DOUBLE / count(*) * 0.2::DOUBLE END, 3) AS quality
+    FROM (SELECT page, n, count(*) OVER (PARTITION BY page, n) AS hits FROM (SELECT page, row_no, count(*) AS n FROM v_cells GROUP BY page, row_no)) GROUP BY page"""))
+def table_quality(s, d):
+    content = F.array_join(F.transform("grid", lambda r: F.concat(F.lit("|"), F.array_join(r, "|"), F.lit("|"))), "\n")
+    return grids(s, d).select("page", tables.quality(content).alias("quality"))
+
+
+@register(using("v_cells", sql="""WITH r AS (SELECT page, row_no, list(value::BIGINT::VARCHAR ORDER BY part, supp) AS c FROM v_cells GROUP BY page, row_no), w AS (SELECT page, max(len(c)) AS width FROM r GROUP BY page),
+    p AS (SELECT page, row_no, '| ' || array_to_string(list_concat(c, list_transform(range(width - len(c)), lambda x: '')), ' | ') || ' |' AS line, width, row_number() OVER (PARTITION BY page ORDER BY row_no) AS k FROM r JOIN w USING (page))
+    SELECT page, string_agg(CASE WHEN k = 1 THEN line || chr(10) || '| ' || array_to_string(list_transform(range(width), lambda x: '---'), ' | ') || ' |' ELSE line END, chr(10) ORDER BY row_no) AS markdown FROM p GROUP BY page""".replace("WITH r", ", r")))
+def rows_to_markdown(s, d):
+    return grids(s, d).select("page", tables.to_markdown(F.col("grid")).alias("markdown"))
+
+
+@register("SELECT p_partkey, (list_contains(c, 'parameter')::INT + list_contains(c, 'symbol')::INT + list_contains(c, 'min')::INT + list_contains(c, 'typ')::INT + list_contains(c, 'max')::INT) >= 4 AS header FROM (SELECT p_partkey, [CASE WHEN p_size % 2 = 0 THEN 'parameter' ELSE 'name' END, 'symbol', CASE WHEN p_size % 3 = 0 THEN 'min' ELSE 'low' END, 'typ', 'max', lower(p_name)] AS c FROM part)")
+def spec_header(s, d):
+    n = F.col("p_size")
+    row = F.array(F.when(n % 2 == 0, "Parameter").otherwise("Name"), F.lit(" SYMBOL "), F.when(n % 3 == 0, "Min").otherwise("Low"), F.lit("Typ"), F.lit("max"), F.col("p_name"))
+    return V.table(s, d, "part").select("p_partkey", tables.is_spec_header(row).alias("header"))
+
+
+@register("SELECT p_partkey, (p_size % 4 = 0)::INT + (p_size % 3 = 0)::INT + 1 >= 2 AS bits FROM part")
+def bit_pattern(s, d):
+    n = F.col("p_size")
+    cells = F.array(F.array(F.lit("0 1"), F.when(n % 4 == 0, "X").otherwise("word")), F.array(F.when(n % 3 == 0, "ACK").otherwise("read"), F.lit(None)), F.array(F.lit("1"), F.lit("S")))
+    return V.table(s, d, "part").select("p_partkey", tables.is_bit_pattern(cells).alias("bits"))
+
+
+ANCHOR = "(SELECT page, part % 4 AS col, list_sort(list(DISTINCT value)) AS c FROM v_cells GROUP BY page, part % 4)"
+
+
+@register(using("v_cells", sql=f"""SELECT page, coalesce(arg_min(col, (round_even(cv * 1000000, 0), -first, col)), -1)::BIGINT AS anchor FROM (SELECT page, col, c[1] AS first, sqrt(list_avg(list_transform(g, lambda x: (x - m) * (x - m)))) / m AS cv, (c[len(c)] - c[1]) / 50.0 AS coverage
+    FROM (SELECT *, list_avg(g) AS m FROM (SELECT page, col, c, list_transform(range(1, len(c)), lambda k: c[k + 1] - c[k]) AS g FROM {ANCHOR} WHERE len(c) >= 2))) WHERE coverage >= 0.6 GROUP BY page"""))
+def anchor_column(s, d):
+    col = V.cells(s, d).withColumn("col", F.col("part") % 4).groupBy("page", "col").agg(F.array_sort(F.collect_set("value")).alias("c")).where("size(c) >= 2")
+    gaps = F.transform(A.neighbours(F.col("c")), lambda p: p["b"] - p["a"])
+    m = A.mean(gaps)
+    stats = col.select("page", "col", F.get("c", 0).alias("first"), (F.sqrt(A.mean(F.transform(gaps, lambda g: (g - m) * (g - m)))) / m).alias("cv"), ((F.try_element_at("c", F.lit(-1)) - F.get("c", 0)) / 50.0).alias("coverage"))
+    return stats.where("coverage >= 0.6").groupBy("page").agg(F.min_by("col", F.struct(F.bround(F.col("cv") * 1000000), -F.col("first"), F.col("col"))).cast(LONG).alias("anchor"))
+
+
+@register(None)
+def tables_extracted(s, d):
+    """Whole table reconstruction over the pages' lines as spans, with drawn rulings."""
+    t = boxed(s, d, "table").where("box_no = 0").withColumn("y1", F.lit(420)).withColumn("rows", F.array(F.array(*map(F.lit, (40.0, 118.0, 560.0, 420.0))))).withColumn("cells", F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c"), F.lit("d"))))
+    f = boxed(s, d, "figure").where("doc_id < 0")
+    docs = t.select("doc_id")
+    at = F.array(F.lit(290.0), F.lit(430.0))
+    strokes = docs.select("doc_id", F.explode(at).alias("x")).select("doc_id", F.lit("l").alias("kind"), F.col("x").alias("x0"), F.lit(118.0).alias("y0"), F.col("x").alias("x1"), F.lit(420.0).alias("y1"), F.lit(40.0).alias("rx0"), F.lit(118.0).alias("ry0"), F.lit(560.0).alias("rx1"), F.lit(420.0).alias("ry1"))
+    spans = V.geo(s, d).select("doc_id", "text", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1")), (F.col("y0") + 10).cast("double").alias("y1"), "size")
+    return tables.extract(t, f, spans, strokes).select("doc_id", "box_no", F.size("rows").alias("n_rows"), "markdown")
+
+
+def captioned(s, d):
+    lines = V.dirty(s, d).where("doc_id % 5 = 0").select("doc_id", F.lit(0).alias("line_no"), F.concat(F.lit("Figure "), (F.col("doc_id") % 7 + 1).cast("string"), F.lit(": left  Fig. "), (F.col("doc_id") % 5 + 2).cast("string"), F.lit(" right")).alias("text"), F.lit(100.0).alias("x0"), F.lit(500.0).alias("y0"), F.lit(500.0).alias("x1"), F.lit(512.0).alias("y1"))
+    lines = lines.unionByName(lines.withColumn("line_no", F.lit(1)).withColumn("text", F.lit("Figure 9: below")).withColumn("y0", F.lit(700.0)).withColumn("y1", F.lit(712.0)))
+    none = boxed(s, d, "table").where("doc_id < 0").withColumn("rows", F.array().cast("array<array<double>>")).withColumn("cells", F.array().cast("array<array<string>>"))
+    return lines, none
+
+
+@register("""SELECT doc_id, caption_no, text, group_no, round(box_x0 * 100)::BIGINT AS left_c, round(box_x1 * 100)::BIGINT AS right_c FROM (SELECT doc_id, unnest([0, 1, 2]) AS caption_no, unnest(['Figure ' || (doc_id % 7 + 1) || ': left', 'Fig. ' || (doc_id % 5 + 2) || ' right', 'Figure 9: below']) AS text, unnest([0, 0, 1]) AS group_no,
+      unnest([55.0, (c1 + c2) / 2 - 5, 55.0]) AS box_x0, unnest([(c1 + c2) / 2 + 5, 545.0, 545.0]) AS box_x1 FROM (SELECT doc_id, (100 + (100 + 400 * (16 / 28.0))) / 2 AS c1, ((100 + 400 * (9 / 28.0)) + 500) / 2 AS c2 FROM documents WHERE doc_id % 5 = 0))""".replace("16 / 28.0", "16 / 28.0"))
+def caption_groups(s, d):
+    found = figures.grouped_captions(figures.captions(*captioned(s, d)), V.PAGE)
+    return found.select("doc_id", F.col("caption_no").cast("int").alias("caption_no"), "text", "group_no", F.round(F.col("box_x0") * 100).cast(LONG).alias("left_c"), F.round(F.col("box_x1") * 100).cast(LONG).alias("right_c"))
+
+
+@register(None)
+def figure_boxes(s, d):
+    lines, none = captioned(s, d)
+    pages = V.dirty(s, d).where("doc_id % 5 = 0")
+    at = F.array(*(F.struct(F.lit(k).alias("kind"), *(F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), b, strict=True))) for k, b in (("drawing", (120, 380, 480, 480)), ("image", (80, 720, 300, 860)), ("image", (350, 150, 480, 260)))))
+    graphics = pages.select("doc_id", F.explode(at).alias("g")).select("doc_id", "g.*")
+    return figures.figure_boxes(pages, lines, none, graphics, V.PAGE)
+
+
+@register(using("v_geo", sql="""SELECT doc_id, 'text-' || line_no AS region_id, CASE WHEN line_no % 3 = 0 THEN 'vlm' ELSE 'native' END AS source, CASE WHEN line_no % 3 = 0 THEN 'new ' || text ELSE text END AS content, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, 'text-' || line_no) - 1 AS place FROM v_geo"""))
+def merge_regions(s, d):
+    rows = V.geo(s, d).select("doc_id", F.concat(F.lit("text-"), F.col("line_no").cast("string")).alias("region_id"), "x0", "y0", F.lit("native").alias("source"), F.col("text").alias("content"), "line_no")
+    new = rows.where("line_no % 3 = 0").withColumn("source", F.lit("vlm")).withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("content", F.when(F.col("seq") == 2, F.concat(F.lit("new "), F.col("content"))).otherwise("old"))
+    return hybrid.merge_regions(rows.drop("line_no"), new.drop("line_no"), ["doc_id"], "seq").select("doc_id", "region_id", "source", "content", "place")
+
+
+@register(None)
+def hybrid_results(s, d):
+    t = boxed(s, d, "table").withColumn("text", F.lit("")).withColumn("markdown", F.when(F.col("doc_id") % 2 == 0, "|A|B|\n|-|-|\n|1|2|").otherwise("|A|B|\n|1|"))
+    f = boxed(s, d, "figure").withColumn("caption", F.lit("Figure")).withColumn("sort_y", F.col("y0") - F.lit(0.1))
+    regions = layout.regions(V.geo(s, d), t, f, V.PAGE)
+    images = V.table(s, d, "documents").select("doc_id", F.concat(F.lit("page-"), (F.col("doc_id") % 4).cast("string")).alias("image"))
+    from ..sources.providers import FakeEngine
+
+    engine = FakeEngine({"page-1": "<|det|>table [0,0,500,500]<|/det|>read again", "page-3": RuntimeError("engine is down")})
+    out = hybrid.hybrid_pages(regions, images, engine, F.lit("s1"))
+    return out.select("doc_id", F.size("detections").alias("n"), "markdown", F.transform("warnings", lambda w: w["type"]).alias("warnings"), "source")
+
+
+# ---------------------------------------------------------------- scans
+
+
+@register(
+    using(
+        "v_dets",
+        sql="""SELECT doc_id, det_index, CASE WHEN det_index % 4 = 1 THEN 'edited ' || (doc_id % 3 + 1) ELSE text END AS text FROM v_dets""",
+    )
+)
+def apply_edits(s, d):
+    pages = parsed(s, d).select(F.col("doc_id").alias("session_id"), F.lit(1).alias("page_num"), F.col("dets").alias("detections"), F.lit("").alias("html"), F.array().cast(blocks.BLOCK).alias("blocks"), F.lit("").alias("markdown"))
+    places = pages.select("session_id", "page_num", F.explode(F.filter(F.sequence(F.lit(0), F.lit(400)), lambda k: k % 4 == 1)).alias("det_index"))
+    edits = places.withColumn("edit_no", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("new_text", F.when(F.col("edit_no") == 2, F.concat(F.lit("edited "), (F.col("session_id") % 3 + 1).cast("string"))).otherwise("first"))
+    out = state.apply_edits(pages, edits)
+    return out.select(F.col("session_id").alias("doc_id"), F.posexplode("detections").alias("k", "x")).select("doc_id", F.col("k").cast(LONG).alias("det_index"), "x.text")
+
+
+def scanned(s, d):
+    return V.scan(s, d).withColumn("truncated", (F.col("event_id") % 7 == 0) & (F.col("event") == "page_done")).withColumn("warnings", F.lit(0)).withColumn("message", F.when(F.col("event") == "error", F.concat(F.lit("failed "), F.col("event_id").cast("string"))))
+
+
+STATE_SQL = """(SELECT session_id, page_num, coalesce(arg_max(CASE event WHEN 'page_start' THEN 'processing' WHEN 'error' THEN 'failed' ELSE CASE WHEN event_id % 7 = 0 THEN 'warning' ELSE 'done' END END, (ts, event_id)) FILTER (event IN ('page_start', 'page_done', 'error')), 'pending') AS state,
+    count(*) FILTER (event = 'page_start') AS attempts, arg_max(CASE WHEN event = 'error' THEN 'failed ' || event_id ELSE '' END, (ts, event_id)) FILTER (event IN ('page_start', 'page_done', 'error')) AS e FROM v_scan GROUP BY session_id, page_num)"""
+
+
+@register(using("v_scan", sql=f"SELECT session_id, page_num, state, attempts, nullif(e, '') AS error FROM {STATE_SQL}"))
+def page_state_latest(s, d):
+    return state.page_states(scanned(s, d), ["ts", "event_id"])
+
+
+@register(using("v_scan", sql=f"SELECT session_id, count(*) AS total_pages, count(*) FILTER (state IN ('done', 'warning')) AS done_pages, count(*) FILTER (state = 'failed') AS failed_pages FROM {STATE_SQL} GROUP BY session_id"))
+def scan_summary(s, d):
+    return state.summary(state.page_states(scanned(s, d), ["ts", "event_id"]))
+
+
+@register(using("v_scan", sql="SELECT session_id, page_num, event_id AS attempt, value FROM (SELECT *, row_number() OVER (PARTITION BY session_id, page_num ORDER BY event_id DESC) AS r FROM v_scan WHERE event = 'page_done') WHERE r = 1"))
+def attempts(s, d):
+    return state.last_results(V.scan(s, d).where("event = 'page_done'").select("session_id", "page_num", F.col("event_id").alias("attempt"), "value"))
+
+
+@register(using("v_scan", sql="SELECT session_id, page_num, event_id, last_value(CASE WHEN event_id % 3 <> 0 OR event = 'page_done' THEN event_id END IGNORE NULLS) OVER (PARTITION BY session_id, page_num ORDER BY ts, event_id) AS stable FROM v_scan WHERE event IN ('token', 'page_done')"))
+def stable_snapshot(s, d):
+    rows = V.scan(s, d).where("event in ('token', 'page_done')")
+    return sequences.stable(rows, ["session_id", "page_num"], ["ts", "event_id"], "event_id", F.col("event_id") % 3 != 0, F.col("event") == "page_done").select("session_id", "page_num", "event_id", "stable")
+
+
+@register("SELECT doc_id, least(e, n)::BIGINT AS upto, greatest(1, least(e, n) // 4)::BIGINT AS tokens, e >= n AS done, md5(substr(text, 1, least(e, n)::INT)) AS digest FROM (SELECT doc_id, text, length(text) AS n, unnest(range(320, length(text) + 320, 320)) AS e FROM documents)")
+def token_chunks(s, d):
+    rows = V.table(s, d, "documents").select("doc_id", F.explode(sequences.chunks(F.col("text"))).alias("c"))
+    return rows.select("doc_id", F.col("c.end").cast(LONG).alias("upto"), F.col("c.tokens").cast(LONG).alias("tokens"), "c.done", F.md5("c.text").alias("digest"))
+
+
+@register(using("v_scan", sql="SELECT event_id, 'event: ' || event || chr(10) || 'data: {\"session_id\":' || session_id || ',\"page_num\":' || page_num || ',\"message\":' || CASE WHEN event = 'error' THEN '\"failed ' || event_id || '\"' ELSE 'null' END || '}' || chr(10) || chr(10) AS frame FROM v_scan"))
+def sse_frames(s, d):
+    return scanned(s, d).select("event_id", state.frame(F.col("event"), F.struct("session_id", "page_num", "message")).alias("frame"))
+
+
+@register(using("v_scan", sql="SELECT session_id, event_id, event FROM (SELECT *, max(CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS stopped FROM v_scan) WHERE stopped = 0"))
+def stop_cutoff(s, d):
+    return state.cut_off(V.scan(s, d), ["ts", "event_id"], F.col("event_id") % 50 == 0).select("session_id", "event_id", "event")
+
+
+@register(None)
+def page_events(s, d):
+    pages = parsed(s, d).select(F.col("doc_id").alias("session_id"), F.lit(1).alias("page_num"), state.detections_markdown(F.col("dets")).alias("markdown"), F.col("dets").alias("detections"))
+    return state.page_events(pages)
+
+
+@register(None)
+def stream_reduce(s, d):
+    rows = V.scan(s, d).select("session_id", "page_num", "ts", "event_id", (F.floor(F.col("event_id") / 1000) + 1).cast("int").alias("attempt"), "event", (F.col("event_id") % 11).cast("int").alias("det_index"), F.concat(F.lit("text "), F.col("event_id").cast("string")).alias("text"), (F.col("event_id") % 13 == 0).alias("truncated"))
+    return state.reduce_events(rows, ["ts", "event_id"])
+
+
+# ---------------------------------------------------------------- audit
+
+def NORM(x: str) -> str:  # noqa: N802
+    return "lower(regexp_replace(" + x + ", '[" + WS + "\\x{200b}\\x{00ad}]+', '', 'g'))"
+
+
+@register(using("v_dirty", sql=f"SELECT d.doc_id, length(s) AS chars, length(translate(s, m, '')) AS uncovered FROM (SELECT v.doc_id, {NORM('v.text')} AS s, {NORM('o.text')} AS m FROM v_dirty v JOIN documents o ON o.doc_id = v.doc_id) d"))
+def coverage_audit(s, d):
+    both = V.dirty(s, d).withColumnRenamed("text", "source").join(V.table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    src = T.norm(F.col("source"))
+    return both.select("doc_id", F.length(src).cast(LONG).alias("chars"), audit.uncovered(src, T.norm(F.col("text"))).alias("uncovered"))
+
+
+DIGITS = "list_distinct(list_filter(list_transform(regexp_extract_all({}, '[0-9][0-9.,:/-]*'), lambda t: regexp_replace(t, '[.,:/-]+$', '')), lambda t: length(t) >= 2))"
+
+
+@register(f"SELECT page_id, coalesce(array_to_string(list_sort(list_filter(a, lambda t: length(t) >= 3 AND NOT list_contains(b, t))), ' '), '') AS missing FROM (SELECT page_id, {DIGITS.format('html')} AS a, {DIGITS.format('substr(html, 1, length(html) // 2)')} AS b FROM pages)")
+def digits_missing(s, d):
+    half = F.substring(F.col("html"), F.lit(1), F.floor(F.length("html") / 2).cast("int"))
+    return V.pages(s, d).select("page_id", F.array_join(audit.missing_digits(F.array("html"), half, F.lit(False)), " ").alias("missing"))
+
+
+@register(f"""WITH l AS (SELECT doc_id, line_no, text AS t FROM v_lines), o AS (SELECT doc_id, regexp_replace({NORM('upper(substr(text, 1, length(text) // 3))')}, '[^{T.SIGNIFICANT}]', '', 'g') AS m FROM documents),
+    s AS (SELECT l.doc_id, l.line_no, regexp_extract_all(regexp_replace({NORM("l.t || ' = 2.5 x 3 , 4 + 5 ; 6 : 7'")}, '[^{T.SIGNIFICANT}]', '', 'g'), '[0-9a-zA-Z\\x{{4e00}}-\\x{{9fff}}]+') AS k, o.m FROM l JOIN o ON o.doc_id = l.doc_id)
+    SELECT doc_id, line_no FROM s WHERE len(k) >= 1 AND len(list_filter(k, lambda x: NOT contains(m, x))) > 0.4 * len(k)""".replace("WITH l", using("v_lines", sql="") .rstrip() + ", l"))
+def math_lost(s, d):
+    lines = V.lines(s, d).select("doc_id", F.col("line_no").cast(LONG).alias("line_no"), F.concat(F.col("text"), F.lit(" = 2.5 x 3 , 4 + 5 ; 6 : 7")).alias("t"))
+    part = V.table(s, d, "documents").select("doc_id", T.significant(F.upper(F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 3).cast("int")))).alias("m"))
+    tokens = F.regexp_extract_all(T.significant(F.col("t")), F.lit(r"[0-9a-zA-Z\x{4e00}-\x{9fff}]+"), F.lit(0))
+    lost = lines.join(part, "doc_id").withColumn("k", tokens).where(T.math_like(F.col("t")) & (F.size("k") >= 1) & (F.size(F.filter("k", lambda x: ~F.contains(F.col("m"), x))) > 0.4 * F.size("k")))
+    return lost.select("doc_id", "line_no")
+
+
+@register(using("v_dirty", sql="SELECT doc_id % 50 AS document, count(*) AS pages, count(*) FILTER (doc_id % 5 = 0) AS pages_with_problems, count(*) FILTER (doc_id % 5 = 0) AS problems, bool_or(doc_id % 5 = 0) AS failed FROM v_dirty GROUP BY 1"))
+def doc_verdict(s, d):
+    text = F.col("text")
+    found = audit.problems(text, T.split_lines(text), text, F.lit(0), F.array().cast("array<string>"), F.lit(0))
+    return audit.verdicts(V.dirty(s, d).select((F.col("doc_id") % 50).alias("document"), found.alias("problems")), "document")
+
+
+# ---------------------------------------------------------------- translation and prompts
+
+
+def items(s, d):
+    return V.conversations(s, d).where("text is not null").select("conv_id", F.col("turn").cast("int").alias("index"), F.when(F.col("role") == "system", "image").otherwise("text").alias("type"), "text")
+
+
+@register("SELECT conv_id, turn::INT AS index, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 30)::BIGINT AS batch_no FROM conversations WHERE text IS NOT NULL AND role <> 'system'")
+def translate_batches(s, d):
+    return translate.batches(items(s, d), ["conv_id"], "index").select("conv_id", "index", "batch_no")
+
+
+@register("SELECT conv_id, turn::INT AS index, text AS original, CASE WHEN turn % 2 = 0 THEN 'new ' || turn ELSE text END AS translated FROM conversations WHERE text IS NOT NULL")
+def translate_apply(s, d):
+    rows = items(s, d)
+    new = rows.where("index % 2 = 0").select("conv_id", "index", F.concat(F.lit("[text] new "), F.col("index").cast("string")).alias("translated"))
+    return translate.apply(rows, new, ["conv_id"]).select("conv_id", "index", "original", "translated")
+
+
+@register(None)
+def translate_pages(s, d):
+    return translate.translate(items(s, d), ["conv_id"], translate.EchoClient)
+
+
+@register("SELECT conv_id, turn, turn::INT AS index, 'a \"b\" ' || turn AS translated FROM conversations WHERE turn % 3 <> 2")
+def json_repair(s, d):
+    obj = F.concat(F.lit('{"translations": [{"index": '), F.col("turn").cast("string"), F.lit(', "translated": "a \\"b\\" '), F.col("turn").cast("string"), F.when(F.col("turn") % 3 == 2, "").otherwise('"}, {"index": 9, "transl'))
+    rows = V.conversations(s, d).select("conv_id", "turn", F.explode(translate.parse_answer(obj)).alias("t"))
+    return rows.select("conv_id", "turn", "t.index", "t.translated")
+
+
+STRIPPED = f"regexp_replace(coalesce(text, ''), '\\A[{WS}]+|[{WS}]+\\z', '', 'g')"
+
+
+@register(f"SELECT conv_id, regexp_replace(string_agg({STRIPPED}, '' ORDER BY turn), '\\A[{WS}]+|[{WS}]+\\z', '', 'g') AS prompt FROM conversations GROUP BY conv_id")
+def prompt_plain(s, d):
+    return prompts.turns(V.conversations(s, d), ["conv_id"], "turn").select("conv_id", prompts.render(F.col("messages"), prompts.TEMPLATES["plain"]).alias("prompt"))
+
+
+@register(f"""SELECT conv_id, regexp_replace(string_agg(CASE WHEN t = '' THEN role || ':' ELSE role || ': ' || t || CASE WHEN k % 2 = 0 THEN chr(10) || chr(10) ELSE '<｜end▁of▁sentence｜>' END END, '' ORDER BY k), '\\A[{WS}]+|[{WS}]+\\z', '', 'g') AS prompt
+    FROM (SELECT conv_id, role, {STRIPPED} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations) GROUP BY conv_id""")
+def prompt_deepseek(s, d):
+    return prompts.turns(V.conversations(s, d), ["conv_id"], "turn").select("conv_id", prompts.render(F.col("messages"), prompts.TEMPLATES["deepseek"]).alias("prompt"))
+
+
+@register("""SELECT conv_id, 0::BIGINT AS k, 'system' AS role, 'be brief' AS content FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS k, CASE WHEN p % 2 = 0 THEN 'user' ELSE 'assistant' END, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations) WHERE p % 2 = 0 OR text IS NOT NULL""")
+def openai_messages(s, d):
+    rows = prompts.turns(V.conversations(s, d), ["conv_id"], "turn").select("conv_id", F.posexplode(prompts.api_messages(F.col("messages"), F.lit("be brief"))).alias("k", "m"))
+    return rows.select("conv_id", F.col("k").cast(LONG).alias("k"), "m.role", "m.content")
+
+
+@register("""SELECT conv_id, p // 2 AS k, max(CASE WHEN p % 2 = 0 THEN text END) AS user, max(CASE WHEN p % 2 = 1 THEN text END) AS assistant FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations) GROUP BY 1, 2""")
+def chatbot_pairs(s, d):
+    rows = prompts.turns(V.conversations(s, d), ["conv_id"], "turn").select("conv_id", F.posexplode(prompts.chatbot_pairs(F.col("messages"))).alias("k", "m"))
+    return rows.select("conv_id", F.col("k").cast(LONG).alias("k"), "m.user", "m.assistant")
+
+
+# ---------------------------------------------------------------- tiling, experts, sequences
+
+
+def sized(s, d):
+    return V.table(s, d, "part").select("p_partkey", (F.col("p_size") * 40 + 100).alias("w"), (F.col("p_partkey") % 37 * 50 + 120).cast("int").alias("h"))
+
+
+RATIOS = ", ".join(f"({i}, {j}, {k})" for k, (i, j) in enumerate(tiling.target_ratios()))
+ASPECT = f"""sized AS (SELECT p_partkey, p_size * 40 + 100 AS w, (p_partkey % 37 * 50 + 120)::INT AS h FROM part), ratios(cols, rows, k) AS (VALUES {RATIOS}),
+    off AS (SELECT p_partkey, w, h, cols, rows, k, abs(w::DOUBLE / h - cols::DOUBLE / rows) AS o FROM sized CROSS JOIN ratios), best AS (SELECT p_partkey, min(o) AS m FROM off GROUP BY 1),
+    tied AS (SELECT off.*, row_number() OVER (PARTITION BY off.p_partkey ORDER BY k) AS r FROM off JOIN best ON best.p_partkey = off.p_partkey AND off.o = best.m),
+    chosen AS (SELECT p_partkey, any_value(w) AS w, any_value(h) AS h, arg_max(cols, k) AS cols, arg_max(rows, k) AS rows FROM tied WHERE r = 1 OR w::DOUBLE * h > 0.5 * 640 * 640 * cols * rows GROUP BY p_partkey)"""
+
+
+@register(f"WITH {ASPECT} SELECT p_partkey, cols, rows FROM chosen")
+def aspect_choice(s, d):
+    return sized(s, d).select("p_partkey", tiling.closest_ratio(F.col("w"), F.col("h")).alias("r")).select("p_partkey", "r.*")
+
+
+@register(f"WITH {ASPECT} SELECT p_partkey, k, ((k % cols) * 640)::INT AS x0, ((k // cols) * 640)::INT AS y0 FROM (SELECT p_partkey, cols, unnest(range(cols * rows)) AS k FROM chosen)")
+def tile_boxes(s, d):
+    rows = sized(s, d).select("p_partkey", tiling.closest_ratio(F.col("w"), F.col("h")).alias("r"))
+    each = rows.select("p_partkey", F.posexplode(tiling.tile_boxes(F.col("r.cols"), F.col("r.rows"))).alias("k", "b"))
+    return each.select("p_partkey", F.col("k").cast(LONG).alias("k"), F.get("b", 0).cast("int").alias("x0"), F.get("b", 1).cast("int").alias("y0"))
+
+
+@register(f"WITH {ASPECT} SELECT p_partkey, (trunc(256 * (1 - (greatest(w, h) - least(w, h))::DOUBLE / greatest(w, h)))::INT + cols * rows * 100)::INT AS valid, (17 * 16 + 1 + CASE WHEN cols > 1 OR rows > 1 THEN (10 * cols + 1) * (10 * rows) ELSE 0 END)::INT AS tokens FROM chosen")
+def visual_tokens(s, d):
+    rows = sized(s, d).withColumn("r", tiling.closest_ratio(F.col("w"), F.col("h")))
+    return rows.select("p_partkey", tiling.valid_tokens(F.col("w"), F.col("h"), F.col("r.cols") * F.col("r.rows")).cast("int").alias("valid"), tiling.layout_tokens(F.col("r.cols"), F.col("r.rows")).cast("int").alias("tokens"))
+
+
+TOP = "(SELECT row_id, expert, score FROM (SELECT row_id, expert, score, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, expert) AS r FROM (SELECT row_id, unnest(range(len(scores))) AS expert, unnest(scores)::DOUBLE AS score FROM v_scores)) WHERE r <= 6)"
+
+
+def chosen(s, d, **more):
+    return V.scores(s, d).select("row_id", experts.route(F.col("scores"), 6, **more).alias("chosen"))
+
+
+@register(using("v_scores", sql=f"SELECT row_id, array_to_string(list(expert ORDER BY expert), ',') AS experts FROM {TOP} GROUP BY row_id"))
+def moe_topk(s, d):
+    return chosen(s, d).select("row_id", F.array_join(F.array_sort(F.transform("chosen", lambda c: c["expert"])).cast("array<string>"), ",").alias("experts"))
+
+
+GROUPS = """e AS (SELECT row_id, unnest(range(len(scores))) AS expert, unnest(scores)::DOUBLE AS score, len(scores) // 8 AS per FROM v_scores), g AS (SELECT row_id, expert // per AS grp, max(score) AS best FROM e GROUP BY 1, 2),
+    k AS (SELECT row_id, grp FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY best DESC, grp) AS r FROM g) WHERE r <= 3),
+    m AS (SELECT e.row_id, e.expert, CASE WHEN k.grp IS NULL THEN 0.0 ELSE e.score END AS score FROM e LEFT JOIN k ON k.row_id = e.row_id AND k.grp = e.expert // e.per)"""
+
+
+@register(using("v_scores", sql=f", {GROUPS} SELECT row_id, array_to_string(list(expert ORDER BY expert), ',') AS experts FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, expert) AS r FROM m) WHERE r <= 6 GROUP BY row_id"))
+def moe_group_topk(s, d):
+    rows = V.scores(s, d)
+    return rows.select("row_id", experts.route(F.col("scores"), 6, "group_limited_greedy", 64, 8, 3).alias("chosen")).select("row_id", F.array_join(F.array_sort(F.transform("chosen", lambda c: c["expert"])).cast("array<string>"), ",").alias("experts"))
+
+
+@register(using("v_scores", sql=f"SELECT expert::INT AS expert, count(*) AS tokens FROM {TOP} GROUP BY expert"))
+def expert_load(s, d):
+    return experts.load(chosen(s, d)).select("expert", "tokens")
+
+
+@register(using("v_scores", sql=f"SELECT row_id, expert::INT AS expert, row_number() OVER (PARTITION BY expert ORDER BY row_id) - 1 AS slot FROM {TOP}"))
+def expert_dispatch(s, d):
+    return experts.dispatch(chosen(s, d), "row_id").select("row_id", "expert", "slot")
+
+
+def word_ids(s, d):
+    """doc_id, ids: characters of the first words modulo 7 stand for token ids."""
+    return V.table(s, d, "documents").select("doc_id", F.transform(F.slice(F.split("text", "[ \n]", -1), 1, 60), lambda w: F.length(w) % 7).alias("ids"))
+
+
+@register("""WITH i AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[ \\n]')[1:60], lambda w: length(w) % 7) AS ids FROM documents)
+    SELECT doc_id, CASE WHEN len(ids) < 3 THEN '' ELSE coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(range(greatest(0, len(ids) - 40), len(ids) - 2), lambda k: ids[k + 1] = ids[len(ids) - 1] AND ids[k + 2] = ids[len(ids)]), lambda k: ids[k + 3]))), ','), '') END AS banned FROM i""")
+def ngram_ban(s, d):
+    return word_ids(s, d).select("doc_id", F.array_join(sequences.banned(F.col("ids"), 3, 40).cast("array<string>"), ",").alias("banned"))
+
+
+@register(using("v_scan", sql="SELECT session_id, event_id FROM (SELECT *, event = 'page_start' AS p, row_number() OVER (PARTITION BY session_id ORDER BY (event = 'page_start')::INT, ts DESC, event_id DESC) AS r FROM v_scan) WHERE p OR r <= 4"))
+def ring_window(s, d):
+    rows = V.scan(s, d).withColumn("prefix", F.col("event") == "page_start")
+    return sequences.ring(rows, ["session_id"], ["ts", "event_id"], "prefix", 4).select("session_id", "event_id")
+
+
+@register("SELECT o_custkey, o_orderkey, coalesce(sum(o_orderkey % 97) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM orders")
+def sequence_offsets(s, d):
+    rows = V.table(s, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 97).alias("size"))
+    return sequences.offsets(rows, ["o_custkey"], ["o_orderkey"], "size").select("o_custkey", "o_orderkey", F.col("start").cast(LONG).alias("start"))
+
+
+@register(using("v_scan", sql="SELECT session_id, page_num, max(event_id) AS tokens FROM v_scan WHERE event = 'token' GROUP BY 1, 2"))
+def latest_snapshot(s, d):
+    rows = V.scan(s, d).where("event = 'token'").withColumn("text", F.col("event"))
+    return sequences.latest(rows, ["session_id", "page_num"], "event_id", "text").select("session_id", "page_num", F.col("event_id").alias("tokens"))
+
+
+# ---------------------------------------------------------------- exports
+
+
+@register(using("v_dets", sql=f"""SELECT s AS session_id, string_agg('<!-- 第 ' || doc_id || ' 页 -->' || chr(10) || chr(10) || md, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) || chr(10) AS markdown FROM
+    (SELECT doc_id % 40 AS s, doc_id, regexp_replace(text, '\\A[{WS}]+|[{WS}]+\\z', '', 'g') AS md FROM documents) GROUP BY s""".replace("v_dets", "v_dets")))
+def markdown_export(s, d):
+    pages = V.table(s, d, "documents").select((F.col("doc_id") % 40).alias("session_id"), F.col("doc_id").alias("page_num"), F.col("text").alias("markdown"))
+    return sinks.markdown_documents(pages)
+
+
+@register(using("v_dets", sql="""SELECT doc_id AS session_id, (det_index * 2 + p)::BIGINT AS para_no, style, text FROM (SELECT doc_id, det_index, 0 AS p, CASE type WHEN 'title' THEN 'heading' WHEN 'table' THEN 'table' WHEN 'image' THEN 'image' WHEN 'page_number' THEN 'page_number' ELSE 'paragraph' END AS style, CASE WHEN type = 'image' THEN '[图片]' ELSE text END AS text FROM v_dets
+    UNION ALL SELECT doc_id, det_index, 1, 'translation', 'translated ' || det_index FROM v_dets WHERE det_index % 2 = 0 AND type NOT IN ('image', 'page_number'))"""))
+def docx_plan(s, d):
+    pages = parsed(s, d).select(F.col("doc_id").alias("session_id"), F.lit(1).alias("page_num"), F.col("dets").alias("detections"))
+    new = pages.select("session_id", "page_num", F.explode(F.filter(F.sequence(F.lit(0), F.lit(400)), lambda k: k % 2 == 0)).alias("index")).withColumn("translated", F.concat(F.lit("translated "), F.col("index").cast("string")))
+    return sinks.docx_plan(pages, new, "bilingual").select("session_id", "para_no", "style", "text")
+
+
+@register(using("v_raw", sql="SELECT doc_id, '# OCR: page ' || doc_id || chr(10) || chr(10) || '```' || chr(10) || raw || chr(10) || '```' || chr(10) AS report FROM v_raw"))
+def batch_reports(s, d):
+    return V.raw(s, d).select("doc_id", sinks.batch_report(F.concat(F.lit("page "), F.col("doc_id").cast("string")), F.col("raw")).alias("report"))
