@@ -128,6 +128,20 @@ def join_bases(big: DataFrame, bases: DataFrame, on: str) -> DataFrame:
     return big.join(F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases, on)
 
 
+#: A written table is sent to all executors up to so many bytes of its files.
+BROADCAST_BYTES = 32 << 20
+
+
+def join_measured(big: DataFrame, written: DataFrame, on: str, how: str) -> DataFrame:
+    """Join a written table: as a broadcast when its measured size is within bounds, else as any join."""
+    from pyspark.sql import functions as F
+
+    spark = big.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(written.written_to)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return big.join(F.broadcast(written) if size <= BROADCAST_BYTES else written, on, how)
+
+
 def prefix_bases(totals: DataFrame, key: str, value: str) -> DataFrame:
     """key, base: the sum of value over all rows of smaller key; totals has one row for each partition of an earlier pass."""
     from pyspark.sql import Window

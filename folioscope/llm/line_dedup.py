@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Keyed, byte_sizes, column, documents, filled, materialize, runs
+from .common import Keyed, byte_sizes, column, documents, filled, join_measured, materialize, runs
 from .textkit import WORD_BASE, RangeHash, Texts
 
 QUERY = "op6_line_dedup"
@@ -144,7 +144,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     own = Keyed(docs.drop("n_lines", "removed_lines", "removed_words"))
     gone = materialize(repeated_lines(own.select("doc_id", "text")), "line-spans")
     text = own["text"]
-    joined = own.table.join(gone, "row", "left").select(
+    joined = join_measured(own.table, gone, "row", "left").select(
         *own.table.columns,
         "gone",
         F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long").alias("n_lines"),

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Keyed, byte_sizes, column, documents, filled, materialize, mix64, random_words, release, runs
+from .common import Keyed, byte_sizes, column, documents, filled, join_measured, materialize, mix64, random_words, release, runs
 from .textkit import Texts
 
 QUERY = "op4_near_dup"
@@ -260,7 +260,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     own = Keyed(docs)
     found = materialize(group_rows(own.select("doc_id", "text")), "near-rows")
     first = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")).select("first.row")
-    return own.restored(own.table.join(first.union(found.where(F.col("group").isNull()).select("row")), "row", "left_semi"))
+    kept = materialize(first.union(found.where(F.col("group").isNull()).select("row")), "near-kept")
+    return own.restored(join_measured(own.table, kept, "row", "left_semi"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

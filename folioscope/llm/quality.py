@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Keyed, byte_sizes, column, documents, filled, materialize, runs
+from .common import Keyed, byte_sizes, column, documents, filled, join_measured, materialize, runs
 from .line_dedup import without_lines
 from .textkit import BASE, EXACT, WORD_BASE, RangeHash, Texts, any_equal, earlier_equal, sum_by
 
@@ -126,7 +126,7 @@ def clean(docs: DataFrame, host: str = "source") -> DataFrame:
     """docs (any columns) without rejected rows, their texts without the lines above the limits."""
     own = Keyed(docs)
     judged = materialize(rules(own.select("doc_id", "text", host), host, numbered=True).where("kept").select("row", "removed_lines"), "quality-kept")
-    return own.restored(own.table.join(judged, "row"), text=without_lines(own["text"], F.col("removed_lines")))
+    return own.restored(join_measured(own.table, judged, "row", "inner"), text=without_lines(own["text"], F.col("removed_lines")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
