@@ -341,7 +341,6 @@ def region_ids(s, d):
 
 # ---------------------------------------------------------------- tables and figures
 
-GRID = "(SELECT page, list(list_transform(string_split(vs, ','), lambda x: x)) AS grid FROM (SELECT page, row_no, string_agg(value::BIGINT::VARCHAR, ',' ORDER BY part, supp) AS vs FROM v_cells GROUP BY page, row_no ORDER BY page, row_no) GROUP BY page)"
 
 
 def grids(s, d):
@@ -357,7 +356,7 @@ def table_quality(s, d):
     return grids(s, d).select("page", tables.quality(content).alias("quality"))
 
 
-@register(using("v_cells", sql="""WITH r AS (SELECT page, row_no, list(value::BIGINT::VARCHAR ORDER BY part, supp) AS c FROM v_cells GROUP BY page, row_no), w AS (SELECT page, max(len(c)) AS width FROM r GROUP BY page),
+@register(using("v_cells", sql="""WITH r AS (SELECT page, row_no, list(value::BIGINT::VARCHAR ORDER BY part, supp, value) AS c FROM v_cells GROUP BY page, row_no), w AS (SELECT page, max(len(c)) AS width FROM r GROUP BY page),
     p AS (SELECT page, row_no, '| ' || array_to_string(list_concat(c, list_transform(range(width - len(c)), lambda x: '')), ' | ') || ' |' AS line, width, row_number() OVER (PARTITION BY page ORDER BY row_no) AS k FROM r JOIN w USING (page))
     SELECT page, string_agg(CASE WHEN k = 1 THEN line || chr(10) || '| ' || array_to_string(list_transform(range(width), lambda x: '---'), ' | ') || ' |' ELSE line END, chr(10) ORDER BY row_no) AS markdown FROM p GROUP BY page""".replace("WITH r", ", r")))
 def rows_to_markdown(s, d):
