@@ -80,3 +80,22 @@ def throughput(snapshots: DataFrame, keys: list[str]) -> DataFrame:
     """tokens, seconds, tokens_per_second of each key from snapshots (tokens, seconds)."""
     rows = snapshots.groupBy(*keys).agg(F.max("tokens").alias("tokens"), F.bround(F.max("seconds"), 2).alias("seconds"))
     return rows.withColumn("tokens_per_second", F.when(F.col("seconds") > 0, F.bround(F.col("tokens") / F.col("seconds"), 1)))
+
+
+def rms_norm(values: Column, weight: float = 1.0, eps: float = 1e-6) -> Column:
+    """Values by the root of their mean square."""
+    square = F.aggregate(values, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")) / F.size(values)
+    return F.transform(values, lambda v: v.cast("double") / F.sqrt(square + eps) * weight)
+
+
+def layer_norm(values: Column, eps: float = 1e-6) -> Column:
+    """Values less their mean, by their population deviation."""
+    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.size(values)
+    spread = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v.cast("double") - mean) * (v.cast("double") - mean)) / F.size(values)
+    return F.transform(values, lambda v: (v.cast("double") - mean) / F.sqrt(spread + eps))
+
+
+def grid_rows(rows: Column, cols: Column) -> Column:
+    """Places of a feature grid in reading order, a newline (col -1) after every row and a separator (row -1) at the end."""
+    places = F.flatten(F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.concat(F.transform(F.sequence(F.lit(0), cols - 1), lambda c: F.struct(r.alias("row"), c.alias("col"))), F.array(F.struct(r.alias("row"), F.lit(-1).alias("col"))))))
+    return F.concat(places, F.array(F.struct(F.lit(-1).alias("row"), F.lit(-1).alias("col"))))

@@ -123,3 +123,14 @@ def reduce_events(events: DataFrame, order: list[str]) -> DataFrame:
         F.bool_or(F.coalesce("truncated", F.lit(False))).alias("truncated"),
         F.max(F.when(F.col("event").isin("error", "page_done"), F.struct(at.alias("at"), F.when(F.col("event") == "error", F.col("text")).alias("message")))).alias("e"),
     ).select(*PAGE, "attempts", "detections", F.col("t.text").alias("markdown"), "truncated", F.col("e.message").alias("error"))
+
+
+def invalid_requests(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """requests (session_id, page_num, force_mode) with a reason why they cannot be served; good ones are left out.
+
+    sessions (session_id, total_pages).
+    """
+    joined = requests.join(sessions.select("session_id", "total_pages"), "session_id", "left")
+    mode = F.col("force_mode").isNotNull() & ~F.col("force_mode").isin("native", "hybrid", "vlm")
+    reason = F.when(F.col("total_pages").isNull(), "Session not found").when(~F.col("page_num").between(1, F.col("total_pages")), "Page not found").when(mode, "Invalid force_mode")
+    return joined.withColumn("reason", reason).where("reason is not null").drop("total_pages")
