@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import language, line_dedup, near_dup, packing, quality
-from folioscope.llm.common import materialize
+from folioscope.llm.common import begin_stage, materialize, prepare
 from folioscope.llm.tokens import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,26 +23,32 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, of which no language can be told, go."""
+    begin_stage(docs)
     return language.keep_identified(docs.select(*COLUMNS), language.fit(docs))
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines above the limits go from texts; documents that fail the base rules or are depleted go."""
+    begin_stage(docs)
     return _documents(quality.clean(docs.select(*COLUMNS)))
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines go; documents of which nothing is left go with them."""
+    begin_stage(docs)
     return _documents(line_dedup.dedup(docs.select(*COLUMNS)).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    begin_stage(docs)
     return near_dup.one_of_each(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
+    begin_stage(docs)
+    prepare(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

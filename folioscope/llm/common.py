@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Python works through an Arrow batch in runs of rows of at most this many bytes (one row at least).
 RUN_BYTES = 2 << 20
+#: The same for operators that hold many 64-bit values for each byte.
+HASH_RUN_BYTES = 1 << 20
+#: Rows of an Arrow batch, where the session does not say: whole texts of some 100 KB stay within 200 MB.
+BATCH_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound the memory of Arrow batches of whole texts, unless the session has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_written: list[tuple[int, DataFrame]] = []  # the stage in which a table was written, and the table
+_stage = 0
+
+
+def begin_stage(keep: DataFrame | None = None) -> None:
+    """For chains of stages, each of which is written before the next one begins: delete the tables of the stage before the last one.
+
+    The last stage's own tables stay, as does ``keep``; outside of such chains nothing is deleted.
+    """
+    global _stage
+    _stage += 1
+    kept = getattr(keep, "written_to", None)
+    old = [t for k, t in _written if k and k < _stage - 1 and t.written_to != kept]
+    release(*old)
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: a lineage cut that outlives executors."""
     spark = df.sparkSession
@@ -33,12 +62,14 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path  # for release()
+    _written.append((_stage, out))
     return out
 
 
 def release(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in tables:
+        _written[:] = [(k, t) for k, t in _written if t is not df]
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -46,6 +77,7 @@ def release(*tables: DataFrame) -> None:
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Columns of the documents table under sf_dir, in any store that Spark can open."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
@@ -74,6 +106,14 @@ def runs(sizes: np.ndarray, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]
         j = max(i + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield i, j
         i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this worker process to the system; its next tasks may be of another kind."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -97,6 +137,7 @@ class Keyed:
     def __init__(self, docs: DataFrame):
         from pyspark.sql import functions as F
 
+        prepare(docs.sparkSession)
         self.names = docs.columns
         renamed = (F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(self.names))
         self.table = materialize(docs.select(*renamed, F.monotonically_increasing_id().alias("row")), "keyed")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_sizes, column, documents, filled, runs
+from .common import HASH_RUN_BYTES, byte_sizes, column, documents, filled, prepare, runs
 
 QUERY = "op3_language_id"
 BUCKETS = 1 << 12
@@ -76,27 +76,28 @@ def shares(text: str) -> np.ndarray:
     return (np.bincount(own, minlength=BUCKETS) / max(1, len(own))).astype(np.float32)
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a linear SVM with squared hinge loss, classes weighted alike, by dual coordinate descent; the last one is the bias."""
-    x = np.concatenate([x * SCALE, np.ones((len(x), 1), x.dtype)], 1)
+def fit_machine(x: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a linear SVM on some rows of x, with squared hinge loss, classes weighted alike, by dual coordinate descent; the last one is the bias."""
     cost = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * COST
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(y))
+    w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(y))
     slack = 1 / (2 * cost)
-    size = (x.astype(np.float64) ** 2).sum(1) + slack
+    size = np.einsum("ij,ij->i", x, x)[rows] * SCALE**2 + 1 + slack
     order = np.random.default_rng(0)
     for _ in range(ROUNDS):
         moved = 0.0
-        for k in order.permutation(len(y)):
-            gradient = y[k] * (x[k] @ w) - 1 + slack[k] * alpha[k]
+        for k in order.permutation(len(y)).tolist():
+            own = x[rows[k]]
+            gradient = y[k] * (SCALE * (own @ w) + bias) - 1 + slack[k] * alpha[k]
             new = max(0.0, alpha[k] - gradient / size[k])
             if new != alpha[k]:
-                moved = max(moved, abs(new - alpha[k]))
-                w += (new - alpha[k]) * y[k] * x[k]
+                step = (new - alpha[k]) * y[k]
+                moved = max(moved, abs(step))
+                w += step * SCALE * own
+                bias += step
                 alpha[k] = new
         if moved < 1e-3:
             break
-    w[:-1] *= SCALE
-    return w
+    return np.append(w * SCALE, bias)
 
 
 class Model:
@@ -110,11 +111,11 @@ class Model:
         self.names = sorted(self.families)
         of = np.array(labels)
         family = np.array([FAMILY_OF.get(c, c) for c in labels])
-        machines = [fit_machine(x, np.where(family == f, 1.0, -1.0)) for f in self.names] if len(self.names) > 1 else []
+        machines = [fit_machine(x, np.arange(len(x)), np.where(family == f, 1.0, -1.0)) for f in self.names] if len(self.names) > 1 else []
         self.pairs = [(f, a, b) for f in self.names for a, b in combinations(self.families[f], 2)]
         for _, a, b in self.pairs:
-            rows = (of == a) | (of == b)
-            machines.append(fit_machine(x[rows], np.where(of[rows] == a, 1.0, -1.0)))
+            rows = np.flatnonzero((of == a) | (of == b))
+            machines.append(fit_machine(x, rows, np.where(of[rows] == a, 1.0, -1.0)))
         table = np.array(machines, np.float32).reshape(-1, BUCKETS + 1)
         self.weights, self.bias = np.ascontiguousarray(table[:, :-1].T), table[:, -1].astype(np.float64)
 
@@ -161,6 +162,7 @@ def held_out() -> F.Column:
 
 def fit(docs: DataFrame) -> Model | None:
     """The model of a bounded sample of the labelled rows of docs (doc_id, text, lang); None without such rows."""
+    prepare(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") > 0))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
@@ -179,8 +181,11 @@ def fit(docs: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([column(batch, "lang"), column(batch, "th"), pa.array(x, pa.binary())], ["lang", "th", "x"])
 
     rows = ranked.select("lang", "th", "text").mapInArrow(run, "lang string, th long, x binary").toArrow().sort_by([("lang", "ascending"), ("th", "ascending")])
-    labels = rows["lang"].to_pylist()
-    return Model(labels, np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(len(labels), BUCKETS)) if labels else None
+    labels, x = rows["lang"].to_pylist(), np.empty((rows.num_rows, BUCKETS), np.float32)
+    for k, value in enumerate(rows["x"]):
+        x[k] = np.frombuffer(value.as_buffer(), np.float32)
+    del rows
+    return Model(labels, x) if labels else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -189,7 +194,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(column(batch, "text"))
-            for i, j in runs(byte_sizes(texts)):
+            for i, j in runs(byte_sizes(texts), HASH_RUN_BYTES):
                 own = texts[i:j].to_pylist()
                 named, score = model.predict(own) if model is not None else ([UNKNOWN] * len(own), np.zeros(len(own)))
                 lettered = np.array([LETTER.search(t) is not None for t in own], bool)
@@ -205,7 +210,7 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(column(batch, "text"))
-            for i, j in runs(byte_sizes(texts)):
+            for i, j in runs(byte_sizes(texts), HASH_RUN_BYTES):
                 own = texts[i:j].to_pylist()
                 named = model.predict(own)[0] if model is not None else [UNKNOWN] * len(own)
                 yield batch.slice(i, j - i).filter(pa.array([x != UNKNOWN and LETTER.search(t) is not None for x, t in zip(named, own, strict=True)], pa.bool_()))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Keyed, byte_sizes, column, documents, filled, join_measured, materialize, runs
+from .common import HASH_RUN_BYTES, Keyed, byte_sizes, column, documents, filled, join_measured, materialize, release, runs
 from .textkit import WORD_BASE, RangeHash, Texts
 
 QUERY = "op6_line_dedup"
@@ -65,7 +65,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(column(batch, "text"))
-            for i, j in runs(byte_sizes(texts)):
+            for i, j in runs(byte_sizes(texts), HASH_RUN_BYTES):
                 t = Texts(texts[i:j].to_pylist())
                 t.lines()
                 owner = np.repeat(np.arange(t.n), np.diff(t.line_at))
@@ -118,7 +118,7 @@ def extend(matched: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """row, gone (line numbers to delete) and gone_words of the documents of docs (row, doc_id, text) that repeat earlier runs."""
+    """A written table of row, gone (line numbers to delete) and gone_words of the documents of docs (row, doc_id, text) that repeat earlier runs."""
     lines = materialize(line_table(docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")), "line-table")
     marks = lines.select("row", "doc_id", F.explode(F.arrays_zip("grams", "places")).alias("g")).select(F.col("g.grams").alias("gram"), "row", "doc_id", F.col("g.places").alias("place"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "place")
@@ -130,7 +130,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     named = gone.join(lines.select("row", "numbers", "words"), "row")
     # From places among lines with words to line numbers; lines without words between two deleted neighbours go as well.
     between = F.flatten(F.transform("lines", lambda p: F.when(F.array_contains("lines", p + 1), F.sequence(F.get("numbers", p), F.get("numbers", p + 1) - 1)).otherwise(F.array(F.get("numbers", p)))))
-    return named.select("row", F.array_distinct(between).alias("gone"), F.aggregate("lines", F.lit(0).cast("long"), lambda total, p: total + F.get("words", p)).alias("gone_words"))
+    gone_lines = named.select("row", F.array_distinct(between).alias("gone"), F.aggregate("lines", F.lit(0).cast("long"), lambda total, p: total + F.get("words", p)).alias("gone_words"))
+    spans = materialize(gone_lines, "line-spans")
+    release(lines)
+    return spans
 
 
 def without_lines(text: Column, gone: Column) -> Column:
@@ -142,7 +145,7 @@ def without_lines(text: Column, gone: Column) -> Column:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and any other columns) without later repeated runs; adds n_lines, removed_lines, removed_words, which replace columns of these names."""
     own = Keyed(docs.drop("n_lines", "removed_lines", "removed_words"))
-    gone = materialize(repeated_lines(own.select("doc_id", "text")), "line-spans")
+    gone = repeated_lines(own.select("doc_id", "text"))
     text = own["text"]
     joined = join_measured(own.table, gone, "row", "left").select(
         *own.table.columns,

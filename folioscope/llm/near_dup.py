@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Keyed, byte_sizes, column, documents, filled, join_measured, materialize, mix64, random_words, release, runs
+from .common import HASH_RUN_BYTES, Keyed, byte_sizes, column, documents, filled, join_measured, materialize, mix64, random_words, release, runs
 from .textkit import Texts
 
 QUERY = "op4_near_dup"
@@ -68,7 +68,7 @@ def signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(column(batch, "text"))
-            for i, j in runs(byte_sizes(texts)):
+            for i, j in runs(byte_sizes(texts), HASH_RUN_BYTES):
                 sets = Texts(texts[i:j].to_pylist()).shingles(WORDS)
                 names = pa.array([set_name(s) if len(s) else None for s in sets], pa.binary())
                 sketches = pa.array([signature(s) if len(s) else None for s in sets], pa.binary())
@@ -216,7 +216,7 @@ def with_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(column(batch, "text"))
-            for i, j in runs(byte_sizes(texts)):
+            for i, j in runs(byte_sizes(texts), HASH_RUN_BYTES):
                 sets = [s.astype("<u8").tobytes() for s in Texts(texts[i:j].to_pylist()).shingles(WORDS)]
                 yield pa.RecordBatch.from_arrays([*(column(batch, c)[i:j] for c in ("cluster", "m", "node")), pa.array(sets, pa.binary())], ["cluster", "m", "node", "shingles"])
 
@@ -226,7 +226,7 @@ def with_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def group_rows(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n_shingles, component_id and group (null for an empty set) of every row of docs (row, doc_id, text)."""
+    """A written table of row, doc_id, n_shingles, component_id and group (null for an empty set) of every row of docs (row, doc_id, text)."""
     docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rows = materialize(signed(docs), "near-signed")
     classes = materialize(
@@ -246,7 +246,9 @@ def group_rows(docs: DataFrame) -> DataFrame:
     joined = classes.select("node", "least_id").join(named, "node", "left")
     ids = joined.select("node", F.when(F.col("root").isNotNull(), F.col("group_id")).otherwise(F.col("least_id")).alias("component_id"), F.coalesce("root", "node").alias("group"))
     out = rows.select("row", "doc_id", "n_shingles", "node").join(ids, "node", "left")
-    return out.select("row", "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group")
+    found = materialize(out.select("row", "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group"), "near-rows")
+    release(rows, classes)
+    return found
 
 
 def find_groups(docs: DataFrame) -> DataFrame:
@@ -258,9 +260,10 @@ def find_groups(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs (any columns) with one row of each group, that of the smallest (doc_id, row); rows of empty sets stay."""
     own = Keyed(docs)
-    found = materialize(group_rows(own.select("doc_id", "text")), "near-rows")
+    found = group_rows(own.select("doc_id", "text"))
     first = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")).select("first.row")
     kept = materialize(first.union(found.where(F.col("group").isNull()).select("row")), "near-kept")
+    release(found)
     return own.restored(join_measured(own.table, kept, "row", "left_semi"))
 
 

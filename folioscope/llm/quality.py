@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Keyed, byte_sizes, column, documents, filled, join_measured, materialize, runs
+from .common import HASH_RUN_BYTES, Keyed, byte_sizes, column, documents, filled, join_measured, materialize, release, runs
 from .line_dedup import without_lines
 from .textkit import BASE, EXACT, WORD_BASE, RangeHash, Texts, any_equal, earlier_equal, sum_by
 
@@ -84,7 +84,7 @@ def features(docs: DataFrame, host: str = "source", numbered: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(column(batch, "text"))
-            for i, j in runs(byte_sizes(texts)):
+            for i, j in runs(byte_sizes(texts), HASH_RUN_BYTES):
                 m = measure(texts[i:j].to_pylist())
                 failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * m["n_words"])
                 lists = [pa.ListArray.from_arrays(pa.array(m["lines_at"].astype(np.int32)), pa.array(m[k])) for k in ("line_hashes", "line_words", "lines")]
@@ -104,7 +104,9 @@ def common_lines(found: DataFrame, least: int, share: int) -> DataFrame:
     once = found.select("row", "host", "line_hashes").join(firsts.select("row"), "row", "left_semi")
     lines = once.select("host", F.explode(F.array_distinct("line_hashes")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > least)
     above = lines.join(hosts, lines["host"].eqNullSafe(hosts["host"])).where(100 * F.col("docs") > share * F.col("host_docs"))
-    return materialize(above.select(lines["host"].alias("c_host"), F.col("line").alias("c_line")), "quality-lines")
+    found_lines = materialize(above.select(lines["host"].alias("c_host"), F.col("line").alias("c_line")), "quality-lines")
+    release(firsts)
+    return found_lines
 
 
 def removals(found: DataFrame, common: DataFrame) -> DataFrame:
@@ -116,7 +118,11 @@ def removals(found: DataFrame, common: DataFrame) -> DataFrame:
 
 def rules(docs: DataFrame, host: str = "source", least: int = LEAST_DOCS, share: int = SHARE_PERCENT, depleted: int = DEPLETED_PERCENT, numbered: bool = False) -> DataFrame:
     """All rows of docs (doc_id, text, host) with base features, removed_words, removed_lines and kept."""
-    found = features(docs, host, numbered)
+    return judged(features(docs, host, numbered), least, share, depleted)
+
+
+def judged(found: DataFrame, least: int = LEAST_DOCS, share: int = SHARE_PERCENT, depleted: int = DEPLETED_PERCENT) -> DataFrame:
+    """The verdicts on measured rows."""
     removed = removals(found, common_lines(found, least, share))
     rest = found.select(*NAMES[:10]).join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     return rest.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_words") <= depleted * F.col("n_words")))
@@ -125,8 +131,10 @@ def rules(docs: DataFrame, host: str = "source", least: int = LEAST_DOCS, share:
 def clean(docs: DataFrame, host: str = "source") -> DataFrame:
     """docs (any columns) without rejected rows, their texts without the lines above the limits."""
     own = Keyed(docs)
-    judged = materialize(rules(own.select("doc_id", "text", host), host, numbered=True).where("kept").select("row", "removed_lines"), "quality-kept")
-    return own.restored(join_measured(own.table, judged, "row", "inner"), text=without_lines(own["text"], F.col("removed_lines")))
+    found = features(own.select("doc_id", "text", host), host, numbered=True)
+    kept = materialize(judged(found).where("kept").select("row", "removed_lines"), "quality-kept")
+    release(found)
+    return own.restored(join_measured(own.table, kept, "row", "inner"), text=without_lines(own["text"], F.col("removed_lines")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
