@@ -102,15 +102,14 @@ def placed(docs: DataFrame, dims: list[str], bits: int = BITS, carry: tuple[str,
     written = materialize(ordered.withColumn("place", F.monotonically_increasing_id()), "shards")
     part = F.shiftright("place", 33)
     bases = prefix_bases(written.groupBy(part.alias("part")).agg(F.count("*").alias("n")), "part", "n")
-    total = written.agg(F.count("*").alias("total"))
     located = join_bases(written.withColumn("part", part), bases, "part")
     rank = F.col("base") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    return located.crossJoin(F.broadcast(total)).withColumn("rank", rank).drop("part", "base", "place")
+    return located.withColumn("total", F.lit(written.count())).withColumn("rank", rank).drop("part", "base", "place")
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, ...] = ("source", "lang", "n_chars"), carry: tuple[str, ...] = ()) -> DataFrame:
     """Every document with its shard and its slot there."""
-    rows = placed(docs, list(dims), carry=carry).withColumn("shard", F.expr(f"(rank * {shards}) div total"))
+    rows = placed(docs, list(dims), carry=carry).withColumn("shard", F.expr(f"(rank * {shards}) div greatest(total, 1)"))
     begin = F.expr(f"(shard * total + {shards - 1}) div {shards}")
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("rank") - begin).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert", *carry
