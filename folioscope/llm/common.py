@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Python works through an Arrow batch in runs of rows of at most this many bytes (one row at least).
 RUN_BYTES = 2 << 20
 #: The same for operators that hold many 64-bit values for each byte.
-HASH_RUN_BYTES = 1 << 20
+HASH_RUN_BYTES = 1 << 19
 #: Rows of an Arrow batch, where the session does not say: whole texts of some 100 KB stay within 200 MB.
 BATCH_ROWS = 2000
 

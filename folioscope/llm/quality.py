@@ -140,3 +140,25 @@ def clean(docs: DataFrame, host: str = "source") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules(documents(spark, sf_dir, "doc_id", "text", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("removed_lines"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+b AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols FROM w),
+g AS (SELECT doc_id, k, array_to_string(ws[k:k + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS k FROM w WHERE len(ws) >= 8)),
+r AS (SELECT doc_id, count(DISTINCT k + o) AS n_repeat_words FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g), range(8) AS o(o) WHERE c > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+n AS (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw FROM l),
+k AS (SELECT doc_id, source, t, line, array_to_string(lw, ' ') AS norm, len(lw) AS nw FROM n WHERE len(lw) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM k GROUP BY doc_id),
+hosts AS (SELECT source, count(DISTINCT t) AS host_docs FROM d GROUP BY source),
+common AS (SELECT k.source, norm FROM k JOIN hosts h ON h.source IS NOT DISTINCT FROM k.source GROUP BY k.source, norm, host_docs HAVING count(DISTINCT t) > 10 AND 100 * count(DISTINCT t) > 5 * host_docs),
+gone AS (SELECT k.doc_id, sum(nw)::BIGINT AS removed_words, count(*) AS removed_lines FROM k JOIN common c ON c.source IS NOT DISTINCT FROM k.source AND c.norm = k.norm GROUP BY k.doc_id)
+SELECT b.doc_id, b.n_words, b.word_chars, b.n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words) AND 100 * coalesce(removed_words, 0) <= 70 * n_words AS kept,
+  coalesce(removed_words, 0) AS removed_words, coalesce(removed_lines, 0) AS removed_lines
+FROM b LEFT JOIN r USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
