@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import audit as _audit
-from .operators import blocks, records, routing, state
+from .operators import blocks, records, routing, sequences, state
 from .operators.translate import EchoClient
 from .operators.translate import translate as _translate
 from .sources import sinks
@@ -40,7 +40,10 @@ def progress(pages: DataFrame, expected: Column) -> DataFrame:
 
 
 def _read(pages: DataFrame, engine, max_length: int) -> DataFrame:
-    """session_id, page_num, raw, error by the engine; one for each worker, failures are rows."""
+    """session_id, page_num, raw, truncated, error by the engine; one for each worker, failures are rows.
+
+    An engine's answer is a text, or (text, truncated) if it knows that it hit its cap.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = engine() if isinstance(engine, type) else engine
@@ -48,12 +51,34 @@ def _read(pages: DataFrame, engine, max_length: int) -> DataFrame:
             rows = []
             for session, page, image in zip(batch["session_id"], batch["page_num"], batch["image"], strict=True):
                 try:
-                    rows.append((session, page, own.read(image, [0, 0, 1000, 1000], max_length), None))
+                    answer = own.read(image, [0, 0, 1000, 1000], max_length)
+                    raw, truncated = answer if isinstance(answer, tuple) else (answer, False)
+                    rows.append((session, page, raw, truncated, None))
                 except Exception as e:  # noqa: BLE001  a page's failure is data
-                    rows.append((session, page, None, str(e)))
-            yield pd.DataFrame(rows, columns=["session_id", "page_num", "raw", "error"])
+                    rows.append((session, page, None, False, str(e)))
+            yield pd.DataFrame(rows, columns=["session_id", "page_num", "raw", "truncated", "error"])
+
+    return pages.select(*KEYS, "image").mapInPandas(run, "session_id long, page_num long, raw string, truncated boolean, error string")
+
+
+def snapshots(pages: DataFrame, engine, max_length: int = 8192) -> DataFrame:
+    """session_id, page_num, seq, text, tokens, done, truncated: an engine's growing answers, one row for each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = engine() if isinstance(engine, type) else engine
+        for batch in batches:
+            for session, page, image in zip(batch["session_id"], batch["page_num"], batch["image"], strict=True):
+                rows = [(session, page, k, i["text"], i.get("tokens", 0), bool(i.get("done")), bool(i.get("truncated"))) for k, i in enumerate(own.snapshots(image, max_length))]
+                yield pd.DataFrame(rows, columns=["session_id", "page_num", "seq", "text", "tokens", "done", "truncated"])
+
+    return pages.select(*KEYS, "image").mapInPandas(run, "session_id long, page_num long, seq int, text string, tokens int, done boolean, truncated boolean")
+
 
-    return pages.select(*KEYS, "image").mapInPandas(run, "session_id long, page_num long, raw string, error string")
+def live_markdown(snaps: DataFrame) -> DataFrame:
+    """snapshots with markdown, the last one up to there that was no unstable draft; a final one always counts."""
+    made = snaps.withColumn("draft", records.raw_markdown(F.col("text"), F.col("session_id").cast("string"), F.col("page_num")))
+    found = sequences.stable(made, KEYS, ["seq"], "draft", ~records.is_repetitive(F.col("draft")), F.col("done"))
+    return found.withColumn("markdown", F.coalesce("stable", F.lit(""))).drop("draft", "stable")
 
 
 def scan(pages: DataFrame, engine, force_mode: str | None = None, max_length: int = 8192) -> DataFrame:
@@ -68,7 +93,7 @@ def scan(pages: DataFrame, engine, force_mode: str | None = None, max_length: in
     chars = T.dense_length(F.col("text"))
     routed = rows.withColumn("chars", chars).withColumn("route", routing.route_page(F.col("analysis"), F.col("chars"), F.lit(force_mode).cast("string")))
     own_markdown, own_detections = F.coalesce("markdown", records.native_markdown(F.col("text"))), F.coalesce("detections", records.native_detections(F.col("text"))).cast(DETECTIONS)
-    native = routed.where("route <> 'vlm'").select(*KEYS, "route", F.col("route").alias("source"), own_detections.alias("detections"), own_markdown.alias("markdown"), F.lit(None).cast("string").alias("error"))
+    native = routed.where("route <> 'vlm'").select(*KEYS, "route", F.col("route").alias("source"), own_detections.alias("detections"), own_markdown.alias("markdown"), F.lit(False).alias("truncated"), F.lit(None).cast("string").alias("error"))
     seen = routed.where("route = 'vlm'").join(_read(routed.where("route = 'vlm'"), engine, max_length), KEYS)
     made = records.raw_markdown(F.col("raw"), F.col("session_id").cast("string"), F.col("page_num"))
     back = routing.use_native_fallback(F.col("chars"), T.dense_length(made))
@@ -78,10 +103,11 @@ def scan(pages: DataFrame, engine, force_mode: str | None = None, max_length: in
         F.lit("vlm").alias("source"),
         F.when(F.col("error").isNotNull(), F.array().cast(DETECTIONS)).when(back, records.native_detections(F.col("text")).cast(DETECTIONS)).otherwise(records.detections(F.col("raw")).cast(DETECTIONS)).alias("detections"),
         F.when(F.col("error").isNotNull(), F.lit("")).when(back, records.native_markdown(F.col("text"))).otherwise(made).alias("markdown"),
+        "truncated",
         "error",
     )
     both = native.unionByName(vision)
-    return both.select("*", blocks.page_html(F.col("detections"), F.col("page_num")).alias("html"), blocks.blocks(F.col("detections")).alias("blocks"), F.lit(False).alias("truncated"), F.when(F.col("error").isNotNull(), "failed").otherwise("done").alias("status"))
+    return both.select("*", blocks.page_html(F.col("detections"), F.col("page_num")).alias("html"), blocks.blocks(F.col("detections")).alias("blocks"), F.when(F.col("error").isNotNull(), "failed").when(F.col("truncated"), "warning").otherwise("done").alias("status"))
 
 
 def rescan(results: DataFrame, pages: DataFrame, keys: DataFrame, engine, force_mode: str | None = None) -> DataFrame:

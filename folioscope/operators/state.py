@@ -91,19 +91,43 @@ def parse_frames(stream: Column) -> Column:
     return F.filter(pairs, lambda p: (p["event"] != "") & (p["data"] != "") & F.try_parse_json(p["data"]).isNotNull())
 
 
+EVENT = "struct<event:string,text:string,tokens:int,det_index:int,html:string,done:boolean>"
+
+
+def _event(event, text=None, tokens=None, det_index=None, html=None, done=None) -> Column:
+    return F.struct(*(v if isinstance(v, Column) else F.lit(v) for v in (event, text, tokens, det_index, html, done))).cast(EVENT)
+
+
 def page_events(pages: DataFrame) -> DataFrame:
-    """Events of native pages: session_id, page_num, seq, event, text, tokens, det_index, html, done.
+    """The events of pages in order: session_id, page_num, seq, event, text, tokens, det_index, html, done.
 
     pages (session_id, page_num, markdown, detections): start, progress, tokens, one event for each
-    detection, done, image.
+    detection, done, image. Where pages has a source column, vision pages say that they are parsing
+    and take their tokens from snapshots (text, tokens, done); where it has an error column, pages with
+    an error end with it.
+    """
+    own = F.transform(chunks(F.col("markdown")), lambda c: _event("token", c["text"], c["tokens"], done=c["done"]))
+    if "source" in pages.columns and "snapshots" in pages.columns:
+        seen = F.transform("snapshots", lambda c: _event("token", c["text"], c["tokens"], done=c["done"]))
+        own = F.when(F.col("source") == "vlm", F.concat(F.coalesce(seen, F.array().cast(f"array<{EVENT}>")), F.array(_event("page_progress", "parsing")))).otherwise(own)
+    found = F.transform("detections", lambda d, k: _event("det_result", d["text"], None, k, detection_html(d, k)))
+    rest = F.concat(own, found, F.array(_event("page_done", F.col("markdown"), html=page_html(F.col("detections"), F.col("page_num"))), _event("page_image")))
+    if "error" in pages.columns:
+        rest = F.when(F.col("error").isNotNull(), F.array(_event("error", F.col("error")))).otherwise(rest)
+    everything = F.concat(F.array(_event("page_start"), _event("page_progress", "scanning")), rest)
+    return pages.select(*PAGE, F.posexplode(everything).alias("seq", "e")).select(*PAGE, "seq", "e.*")
+
+
+def scan_events(states: DataFrame, stopped: DataFrame | None = None) -> DataFrame:
+    """session_id, event, total_pages, done_pages, failed_pages: the closing event of every scan.
+
+    Sessions in stopped end as scan_stopped, all others as scan_complete.
     """
-    kind = "struct<phase:int,i:int,event:string,text:string,tokens:int,det_index:int,html:string,done:boolean>"
-    made = lambda phase, i, event, text=None, tokens=None, det=None, html=None, done=None: F.struct(*(F.lit(v) if not isinstance(v, Column) else v for v in (phase, i, event, text, tokens, det, html, done))).cast(kind)
-    tokens = F.transform(chunks(F.col("markdown")), lambda c, k: made(2, k, "token", c["text"], c["tokens"], None, None, c["done"]))
-    found = F.transform("detections", lambda d, k: made(3, k, "det_result", d["text"], None, k, detection_html(d, k)))
-    whole = made(4, 0, "page_done", F.col("markdown"), None, None, page_html(F.col("detections"), F.col("page_num")))
-    everything = F.concat(F.array(made(0, 0, "page_start"), made(1, 0, "page_progress", "scanning")), tokens, found, F.array(whole, made(5, 0, "page_image")))
-    return pages.select(*PAGE, F.posexplode(everything).alias("seq", "e")).select(*PAGE, "seq", "e.event", "e.text", "e.tokens", "e.det_index", "e.html", "e.done")
+    rows = summary(states)
+    if stopped is None:
+        return rows.select("session_id", F.lit("scan_complete").alias("event"), "total_pages", "done_pages", "failed_pages")
+    marked = rows.join(stopped.select("session_id").distinct().withColumn("s", F.lit(True)), "session_id", "left")
+    return marked.select("session_id", F.when(F.col("s"), "scan_stopped").otherwise("scan_complete").alias("event"), "total_pages", "done_pages", "failed_pages")
 
 
 def reduce_events(events: DataFrame, order: list[str]) -> DataFrame:

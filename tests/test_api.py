@@ -42,3 +42,42 @@ def test_requests_and_status(spark):
 def test_norms_and_grids(spark):
     r = spark.range(1).select(sequences.rms_norm(F.lit([3.0, 4.0])).alias("a"), sequences.layer_norm(F.lit([1.0, 3.0])).alias("b"), sequences.grid_rows(F.lit(1), F.lit(2)).alias("c")).first()
     assert [round(v, 4) for v in r.a] == [0.8485, 1.1314] and [round(v, 3) for v in r.b] == [-1.0, 1.0] and [tuple(x) for x in r.c] == [(0, 0), (0, 1), (0, -1), (-1, -1)]
+
+
+def typist():
+    """An engine whose answers grow; its first drafts repeat one line. Made here so that workers get it by value."""
+
+    class Typist:
+        def read(self, image, box, max_length):
+            return "<|det|>text [1,2,3,4]<|/det|>cut", True
+
+        def snapshots(self, image, max_length):
+            yield {"text": "a\na\na", "tokens": 4}
+            yield {"text": "a fine line", "tokens": 8}
+            yield {"text": "b\nb\nb", "tokens": 12}
+            yield {"text": "c\nc\nc", "tokens": 16, "done": True, "truncated": True}
+
+    return Typist
+
+
+def test_truncation_is_a_warning_and_drafts_are_held_back(spark):
+    one = pages(spark).where("page_num = 2")
+    r = api.scan(one, typist()).first()
+    assert (r.status, r.truncated) == ("warning", True)
+    live = api.live_markdown(api.snapshots(one, typist())).orderBy("seq").collect()
+    assert [x.markdown for x in live] == ["", "a fine line", "a fine line", "c\nc\nc"] and [x.truncated for x in live] == [False, False, False, True]
+
+
+def test_events_of_vision_and_failed_pages(spark):
+    rows = [(1, 1, "m", [("text", [], "a")], "vlm", [("a", 4, False), ("ab", 8, True)], None), (1, 2, "", [], "vlm", None, "boom"), (1, 3, "x", [], "native", None, None)]
+    table = spark.createDataFrame(rows, "session_id long, page_num long, markdown string, detections array<struct<type:string,bbox:array<int>,text:string>>, source string, snapshots array<struct<text:string,tokens:int,done:boolean>>, error string")
+    got = {}
+    for r in state.page_events(table).orderBy("page_num", "seq").collect():
+        got.setdefault(r.page_num, []).append(r.event)
+    assert got == {1: ["page_start", "page_progress", "token", "token", "page_progress", "det_result", "page_done", "page_image"], 2: ["page_start", "page_progress", "error"], 3: ["page_start", "page_progress", "token", "page_done", "page_image"]}
+
+
+def test_closing_events(spark):
+    states = spark.createDataFrame([(1, 1, "done"), (1, 2, "failed"), (2, 1, "warning")], "session_id long, page_num long, state string")
+    got = {r.session_id: tuple(r)[1:] for r in state.scan_events(states, spark.createDataFrame([(2,), (2,)], "session_id long")).collect()}
+    assert got == {1: ("scan_complete", 2, 1, 1), 2: ("scan_stopped", 1, 1, 0)}
