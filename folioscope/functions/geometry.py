@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 #: A number as Python's float() reads it, but for the special ones.
 NUMBER = r"\A[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?\z"
 
@@ -19,12 +21,14 @@ def clamp(c: Column, low: int = 0, high: int = 1000) -> Column:
 
 def valid_box(values: Column) -> Column:
     """Four numbers, cut to integers, within 0..1000 and in order; anything else is an empty box."""
-    trimmed = F.transform(values, lambda v: F.btrim(v))
-    numbers = F.transform(trimmed, lambda v: F.when(v.rlike(NUMBER), F.replace(v, F.lit("_"), F.lit("")).try_cast("double")))
-    fits = F.forall(numbers, lambda v: F.coalesce((v > -1) & (v < 1001), F.lit(False)))
-    whole = F.transform(numbers, lambda v: F.when((v > -1) & (v < 1001), v).cast("int"))
-    ordered = (F.get(whole, 0) < F.get(whole, 2)) & (F.get(whole, 1) < F.get(whole, 3))
-    return F.when((F.size(values) == 4) & fits & ordered, whole).otherwise(empty_box())
+    number = lambda v: let(F.btrim(v), lambda t: F.when(t.rlike(NUMBER), F.replace(t, F.lit("_"), F.lit("")).try_cast("double")))
+
+    def judge(numbers: Column) -> Column:
+        whole = F.transform(numbers, lambda v: F.when((v > -1) & (v < 1001), v).cast("int"))
+        ordered = lambda w: F.coalesce(F.forall(w, lambda v: v.isNotNull()) & (F.get(w, 0) < F.get(w, 2)) & (F.get(w, 1) < F.get(w, 3)), F.lit(False))
+        return let(whole, lambda w: F.when((F.size(w) == 4) & ordered(w), w).otherwise(empty_box()))
+
+    return let(F.transform(values, number), judge)
 
 
 def page_to_unit(box: list[Column], rect: list[Column]) -> Column:

@@ -10,9 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import let
 from ..functions.geometry import valid_box
 
-RECORD = r"(?s)<\|det\|>(.*?)<\|/det\|>(.*?)(?=<\|det\|>|\z)"
+#: Metadata up to the first closing tag, content up to the next opening tag; possessive, so that long texts need no stack.
+RECORD = r"<\|det\|>([^<]*+(?:<(?!\|/det\|>)[^<]*+)*+)<\|/det\|>([^<]*+(?:<(?!\|det\|>)[^<]*+)*+)"
 NON_TEXT = ("[non-text]", "[non text]", "[non_text]")
 #: Types whose records become image links, and types set off by blank lines. Fixed values.
 PICTURES, SET_OFF = "image|figure|chart|diagram", "table|formula|display-formula|figure_caption"
@@ -43,11 +45,15 @@ def records(raw: Column) -> Column:
     preface = item(F.lit(None), T.strip(F.substring_index(raw, "<|det|>", 1)))
 
     def parts(r: Column) -> Column:
-        content = T.rstrip(r["1"])
-        blank = F.locate("\n\n", content)
-        main = F.when(blank > 0, T.rstrip(F.substring(content, F.lit(1), blank - 1))).otherwise(content)
-        tail = F.when(blank > 0, T.strip(F.substring(content, blank + 2, F.length(content)))).otherwise(F.lit(""))
-        return F.array(item(r["0"], main), item(F.lit(None), tail))
+        def cut(content: Column) -> Column:
+            def at(blank: Column) -> Column:
+                main = F.when(blank > 0, T.rstrip(F.substring(content, F.lit(1), blank - 1))).otherwise(content)
+                tail = F.when(blank > 0, T.strip(F.substring(content, blank + 2, F.length(content)))).otherwise(F.lit(""))
+                return F.array(item(r["0"], main), item(F.lit(None), tail))
+
+            return let(F.locate("\n\n", content), at)
+
+        return let(T.rstrip(r["1"]), cut)
 
     pairs = F.arrays_zip(F.regexp_extract_all(raw, F.lit(RECORD), F.lit(1)), F.regexp_extract_all(raw, F.lit(RECORD), F.lit(2)))
     return F.concat(F.array(preface), F.flatten(F.transform(pairs, parts)))

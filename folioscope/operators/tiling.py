@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
+
 
 def target_ratios(least: int = 2, most: int = 32) -> list[tuple[int, int]]:
     """(columns, rows) whose product is within bounds, by area; equal areas by columns, then rows, so that ties are settled."""
@@ -16,14 +18,18 @@ def target_ratios(least: int = 2, most: int = 32) -> list[tuple[int, int]]:
 def closest_ratio(width: Column, height: Column, size: int = 640, least: int = 2, most: int = 32) -> Column:
     """(cols, rows) with the least difference of aspect; of equals the last one that the image's area fills by more than half."""
     ratios = target_ratios(least, most)
-    candidates = F.array(*(F.struct(F.lit(i).alias("cols"), F.lit(j).alias("rows"), F.lit(i / j).alias("aspect")) for i, j in ratios))
     w, h = width.cast("double"), height.cast("double")
-    off = lambda c: F.abs(w / h - c["aspect"])
-    best = F.array_min(F.transform(candidates, off))
-    tied = F.filter(candidates, lambda c: off(c) == best)
+    aspect = w / h
+    candidates = F.array(*(F.struct(F.lit(i).alias("cols"), F.lit(j).alias("rows"), F.lit(i / j).alias("aspect")) for i, j in ratios))
+    measured = let(aspect, lambda own: F.transform(candidates, lambda c: F.struct(F.abs(own - c["aspect"]).alias("off"), c["cols"].alias("cols"), c["rows"].alias("rows"))))
     fills = lambda c: w * h > 0.5 * size * size * c["cols"] * c["rows"]
-    chosen = F.coalesce(F.try_element_at(F.filter(F.slice(tied, 2, F.greatest(F.lit(0), F.size(tied) - 1)), fills), F.lit(-1)), F.get(tied, 0))
-    return F.struct(chosen["cols"].alias("cols"), chosen["rows"].alias("rows"))
+
+    def choose(tied: Column) -> Column:
+        later = F.filter(F.slice(tied, 2, F.greatest(F.lit(0), F.size(tied) - 1)), fills)
+        return let(F.coalesce(F.try_element_at(later, F.lit(-1)), F.get(tied, 0)), lambda c: F.struct(c["cols"].alias("cols"), c["rows"].alias("rows")))
+
+    closest = lambda all_of: let(F.array_min(F.transform(all_of, lambda c: c["off"])), lambda best: let(F.filter(all_of, lambda c: c["off"] == best), choose))
+    return let(measured, closest)
 
 
 def tile_boxes(cols: Column, rows: Column, size: int = 640, thumbnail: bool = False) -> Column:
