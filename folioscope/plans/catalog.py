@@ -456,7 +456,7 @@ def hybrid_results(s, d):
 )
 def apply_edits(s, d):
     pages = parsed(s, d).select(F.col("doc_id").alias("session_id"), F.lit(1).alias("page_num"), F.col("dets").alias("detections"), F.lit("").alias("html"), F.array().cast(blocks.BLOCK).alias("blocks"), F.lit("").alias("markdown"))
-    places = pages.select("session_id", "page_num", F.explode(F.filter(F.sequence(F.lit(0), F.lit(400)), lambda k: k % 4 == 1)).alias("det_index"))
+    places = pages.select("session_id", "page_num", F.explode(F.filter(F.sequence(F.lit(0), F.size("detections")), lambda k: k % 4 == 1)).alias("det_index"))
     edits = places.withColumn("edit_no", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("new_text", F.when(F.col("edit_no") == 2, F.concat(F.lit("edited "), (F.col("session_id") % 3 + 1).cast("string"))).otherwise("first"))
     out = state.apply_edits(pages, edits)
     return out.select(F.col("session_id").alias("doc_id"), F.posexplode("detections").alias("k", "x")).select("doc_id", F.col("k").cast(LONG).alias("det_index"), "x.text")
@@ -725,7 +725,7 @@ def markdown_export(s, d):
     UNION ALL SELECT doc_id, det_index, 1, 'translation', 'translated ' || det_index FROM v_dets WHERE det_index % 2 = 0 AND type NOT IN ('image', 'page_number'))"""))
 def docx_plan(s, d):
     pages = parsed(s, d).select(F.col("doc_id").alias("session_id"), F.lit(1).alias("page_num"), F.col("dets").alias("detections"))
-    new = pages.select("session_id", "page_num", F.explode(F.filter(F.sequence(F.lit(0), F.lit(400)), lambda k: k % 2 == 0)).alias("index")).withColumn("translated", F.concat(F.lit("translated "), F.col("index").cast("string")))
+    new = pages.select("session_id", "page_num", F.explode(F.filter(F.sequence(F.lit(0), F.size("detections")), lambda k: k % 2 == 0)).alias("index")).withColumn("translated", F.concat(F.lit("translated "), F.col("index").cast("string")))
     return sinks.docx_plan(pages, new, "bilingual").select("session_id", "para_no", "style", "text")
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINES_PER_PAGE = 60
 PAGE = (0.0, 0.0, 600.0, 1000.0)
 LINE_TYPES = ("text", "title", "image", "table", "page_number", "display-formula", "figure")
 
@@ -20,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line_no, text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split("text", "\n", -1), 1, LINES_PER_PAGE).alias("l"))
+    """doc_id, line_no, text of all lines; a document is one page, as tall as its lines need."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("l"))
     return docs.select("doc_id", F.posexplode("l").alias("line_no", "text"))
 
 
@@ -57,7 +56,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind = F.get(F.array(*map(F.lit, LINE_TYPES)), (no % 7).cast("int"))
         return F.concat(F.lit("<|det|>"), kind, F.lit(" ["), g["x0"].cast("string"), F.lit(", "), g["y0"].cast("string"), F.lit(", "), x1.cast("string"), F.lit(", "), g["y1"].cast("string"), F.lit("]<|/det|>"), text)
 
-    body = F.array_join(F.transform(F.slice(F.split("text", "\n", -1), 1, LINES_PER_PAGE), record), "\n")
+    body = F.array_join(F.transform(F.split("text", "\n", -1), record), "\n")
     preface = F.when(doc % 7 == 0, F.lit("[non-text]\n")).when(doc % 7 == 1, F.lit("Loose words first\n")).otherwise(F.lit(""))
     tail = F.when(doc % 11 == 0, F.lit("\n<|det|>text [1, 2, 3")).when(doc % 11 == 1, F.lit("\n\nLoose words last")).otherwise(F.lit(""))
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(preface, body, tail).alias("raw"))
