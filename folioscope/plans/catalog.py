@@ -288,8 +288,8 @@ def nearest_center(s, d):
 
 
 def word_spans(s, d):
-    """The first words of lines as spans: every fifth small, every seventh raised, gaps of 1 or 4 points."""
-    words = V.lines(s, d).where("line_no < 5").select("doc_id", F.col("line_no").cast(LONG).alias("line_no"), F.slice(F.filter(F.split("text", " ", -1), lambda w: w != ""), 1, 12).alias("w")).where("size(w) > 0")
+    """The words of lines as spans: every fifth small, every seventh raised, gaps of 1 or 4 points."""
+    words = V.lines(s, d).select("doc_id", F.col("line_no").cast(LONG).alias("line_no"), F.filter(F.split("text", " ", -1), lambda w: w != "").alias("w")).where("size(w) > 0")
     small = lambda k: k % 5 == 4
     x0 = lambda k: (k * 20 + F.when(k % 3 == 2, 3).otherwise(0)).cast("double")
     up = lambda k: F.when(k % 7 == 4, 2.0).otherwise(0.0)
@@ -393,9 +393,9 @@ def anchor_column(s, d):
 @register(None)
 def tables_extracted(s, d):
     """Whole table reconstruction over the pages' lines as spans, with drawn rulings."""
-    t = boxed(s, d, "table").where("box_no = 0").withColumn("y1", F.lit(420)).withColumn("rows", F.array(F.array(*map(F.lit, (40.0, 118.0, 560.0, 420.0))))).withColumn("cells", F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c"), F.lit("d"))))
+    t = boxed(s, d, "table").withColumn("y1", F.lit(420)).withColumn("rows", F.array(F.array(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))))).withColumn("cells", F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c"), F.lit("d"))))
     f = boxed(s, d, "figure").where("doc_id < 0")
-    docs = t.select("doc_id")
+    docs = t.select("doc_id").distinct()
     at = F.array(F.lit(290.0), F.lit(430.0))
     strokes = docs.select("doc_id", F.explode(at).alias("x")).select("doc_id", F.lit("l").alias("kind"), F.col("x").alias("x0"), F.lit(118.0).alias("y0"), F.col("x").alias("x1"), F.lit(420.0).alias("y1"), F.lit(40.0).alias("rx0"), F.lit(118.0).alias("ry0"), F.lit(560.0).alias("rx1"), F.lit(420.0).alias("ry1"))
     spans = V.geo(s, d).select("doc_id", "text", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1")), (F.col("y0") + 10).cast("double").alias("y1"), "size")
@@ -403,7 +403,7 @@ def tables_extracted(s, d):
 
 
 def captioned(s, d):
-    lines = V.dirty(s, d).where("doc_id % 5 = 0").select("doc_id", F.lit(0).alias("line_no"), F.concat(F.lit("Figure "), (F.col("doc_id") % 7 + 1).cast("string"), F.lit(": left  Fig. "), (F.col("doc_id") % 5 + 2).cast("string"), F.lit(" right")).alias("text"), F.lit(100.0).alias("x0"), F.lit(500.0).alias("y0"), F.lit(500.0).alias("x1"), F.lit(512.0).alias("y1"))
+    lines = V.dirty(s, d).select("doc_id", F.lit(0).alias("line_no"), F.concat(F.lit("Figure "), (F.col("doc_id") % 7 + 1).cast("string"), F.lit(": left  Fig. "), (F.col("doc_id") % 5 + 2).cast("string"), F.lit(" right")).alias("text"), F.lit(100.0).alias("x0"), F.lit(500.0).alias("y0"), F.lit(500.0).alias("x1"), F.lit(512.0).alias("y1"))
     lines = lines.unionByName(lines.withColumn("line_no", F.lit(1)).withColumn("text", F.lit("Figure 9: below")).withColumn("y0", F.lit(700.0)).withColumn("y1", F.lit(712.0)))
     none = boxed(s, d, "table").where("doc_id < 0").withColumn("rows", F.array().cast("array<array<double>>")).withColumn("cells", F.array().cast("array<array<string>>"))
     return lines, none
@@ -419,7 +419,7 @@ def caption_groups(s, d):
 @register(None)
 def figure_boxes(s, d):
     lines, none = captioned(s, d)
-    pages = V.dirty(s, d).where("doc_id % 5 = 0")
+    pages = V.dirty(s, d)
     at = F.array(*(F.struct(F.lit(k).alias("kind"), *(F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), b, strict=True))) for k, b in (("drawing", (120, 380, 480, 480)), ("image", (80, 720, 300, 860)), ("image", (350, 150, 480, 260)))))
     graphics = pages.select("doc_id", F.explode(at).alias("g")).select("doc_id", "g.*")
     return figures.figure_boxes(pages, lines, none, graphics, V.PAGE)
@@ -683,8 +683,8 @@ def expert_dispatch(s, d):
 
 
 def word_ids(s, d):
-    """doc_id, ids: characters of the first words modulo 7 stand for token ids."""
-    return V.table(s, d, "documents").select("doc_id", F.transform(F.slice(F.split("text", "[ \n]", -1), 1, 60), lambda w: F.length(w) % 7).alias("ids"))
+    """doc_id, ids: characters of the words modulo 7 stand for token ids."""
+    return V.table(s, d, "documents").select("doc_id", F.transform(F.split("text", "[ \n]", -1), lambda w: F.length(w) % 7).alias("ids"))
 
 
 @register("""WITH i AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[ \\n]')[1:60], lambda w: length(w) % 7) AS ids FROM documents)
