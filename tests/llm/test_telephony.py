@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from folioscope.llm import common
 from folioscope.llm import telephony as T
 
 
@@ -73,3 +74,14 @@ def test_store_pcm(spark):
     good = T.encode(b" " * 192, "alaw")
     rows = T.store_pcm(spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(b"no"))], "doc_id long, media binary")).orderBy("doc_id").collect()
     assert T.parse(bytes(rows[0].pcm))[:2] == ("pcm", 16000) and rows[1].pcm is None and rows[2].pcm is None
+
+
+def test_query_stores_pcm(spark, tmp_path):
+    spark.createDataFrame([(k, "some text " * k * k) for k in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.feature for r in T.query(spark, str(tmp_path)).collect()}
+    table = next(t for _, t in reversed(common._written) if "/pcm-" in t.written_to)
+    stored = {r.doc_id: bytes(r.pcm) for r in table.collect()}
+    assert len(stored) == len(found) == 20
+    for k, pcm in stored.items():
+        assert T.parse(pcm)[:2] == ("pcm", T.TARGET_RATE)
+        assert found[k].endswith(f";pcm={zlib.crc32(pcm):08x}") and f";n={len(T.parse(pcm)[3]) // 2};" in found[k]
