@@ -164,12 +164,13 @@ def fit(docs: DataFrame) -> Model | None:
     """The model of a bounded sample of the labelled rows of docs (doc_id, text, lang); None without such rows."""
     prepare(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
+    hashed = known.select("lang", F.xxhash64("text").alias("th"))
+    counts = {r["lang"]: r["count"] for r in hashed.distinct().groupBy("lang").count().collect()}  # distinct texts, a row for each language
     if not counts:
         return None
     per = max(1, min(PER_LANGUAGE, SAMPLE // len(counts)))
-    # Twice the wanted share of each language by text hash, equal texts once, then the first ones.
-    share = F.create_map(*(x for c, n in counts.items() for x in (F.lit(c), F.lit(int(min(1.0, 2 * per / n) * (1 << 20))))))
+    # Over twice the wanted share of each language's distinct texts by text hash, equal texts once, then the first ones.
+    share = F.create_map(*(x for c, n in counts.items() for x in (F.lit(c), F.lit(min(1 << 20, -(-(2 * per + 64 << 20) // n))))))
     chosen = known.select("lang", "text", F.xxhash64("text").alias("th")).where(F.pmod("th", F.lit(1 << 20)) < F.element_at(share, F.col("lang")))
     from pyspark.sql import Window
 

@@ -52,3 +52,13 @@ def test_single_language_and_other_families(spark):
     assert m.names == ["slavic", "xx", "yy"] and [x[1:] for x in m.pairs] == [("ru", "uk")]
     assert m.predict(["alpha beta alpha", "eta phi", "omega rho"])[0] == ["xx", "uk", "ru"]
     assert L.fit(docs.where("lang = 'xx'")).predict(["any"])[0] == ["xx"]
+
+
+def test_copies_do_not_thin_the_sample(spark, monkeypatch):
+    """A language of many copies of few texts gives all of them to the sample."""
+    rows = spark.range(60000).selectExpr("id AS doc_id", "concat('alpha beta ', id % 20) AS text", "'xx' AS lang")
+    rows = rows.union(spark.range(1000).selectExpr("id", "concat('gamma zeta ', id)", "'yy'"))
+    model, labels = L.Model, []
+    monkeypatch.setattr(L, "Model", lambda names, x: labels.extend(names) or model(names, x))
+    assert L.fit(rows).predict(["alpha beta 3", "gamma zeta 5"])[0] == ["xx", "yy"]
+    assert labels.count("xx") == 20 and labels.count("yy") == L.PER_LANGUAGE
