@@ -1,7 +1,7 @@
 """Hilbert-curve ordering of documents into shards, with DataFrame functions only.
 
 Three metadata dimensions (host, language, characters) are quantised to 16 levels each at their
-approximate quantiles, a table-driven Hilbert curve turns the levels into one index, and the
+quantiles (of whole strings, approximate ones of numbers), a table-driven Hilbert curve turns the levels into one index, and the
 documents in the order of (index, doc_id, crc) are cut into runs. Rows of a run are near each other
 in all three dimensions, so a file's minima and maxima prune reads along any of them. The law is
 ``rows``: the counts of two shards differ by one at most.
@@ -16,10 +16,10 @@ no rows; extra columns are ignored unless asked for with ``carry``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, join_bases, materialize, prefix_bases
+from .common import documents, join_bases, materialize, prefix_bases, release
 
 QUERY = "op5_hilbert_shards"
 SHARDS = 24
@@ -68,19 +68,25 @@ def hilbert_index(levels: list[Column], bits: int) -> Column:
     return index
 
 
-def as_number(column: Column, kind: str) -> Column:
-    """An order-keeping number: of strings, the first 7 bytes."""
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(column.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
-    return column.cast("double")
+def string_quantiles(docs: DataFrame, dim: str, parts: int) -> list[str]:
+    """parts - 1 quantiles of whole strings from their grouped counts, summed up in range order."""
+    counts = docs.where(F.col(dim).isNotNull()).groupBy(F.col(dim).alias("value")).agg(F.count("*").alias("n"))
+    ranged = materialize(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "shard-values")
+    bases = prefix_bases(ranged.groupBy("part").agg(F.sum("n").alias("total")), "part", "total")
+    up_to = F.col("base") + F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    total = ranged.agg(F.sum("n")).first()[0] or 0
+    row = join_bases(ranged, bases, "part").select("value", up_to.alias("up_to")).agg(*(F.min(F.when(F.col("up_to") * parts >= k * total, F.col("value"))).alias(f"q{k}") for k in range(1, parts))).first()
+    release(ranged)
+    return [x for x in row if x is not None]
 
 
 def boundaries(docs: DataFrame, dims: list[str], bits: int) -> list[list]:
-    """2**bits - 1 approximate quantiles of each dimension: a mergeable sketch, whatever the input's size."""
+    """2**bits - 1 quantiles of each dimension: exact ones of strings, of numbers a mergeable sketch, whatever the input's size."""
     kinds = dict(docs.dtypes)
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    row = docs.agg(*(F.percentile_approx(as_number(F.col(d), kinds[d]), shares, 2000).alias(f"q{k}") for k, d in enumerate(dims))).first()
-    return [list(x or []) for x in row]
+    numbers = [d for d in dims if kinds[d] != "string"]
+    found = docs.agg(*(F.percentile_approx(F.col(d).cast("double"), shares, 2000).alias(d) for d in numbers)).first() if numbers else {}
+    return [list(found[d] or []) if d in numbers else string_quantiles(docs, d, 1 << bits) for d in dims]
 
 
 def placed(docs: DataFrame, dims: list[str], bits: int = BITS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -88,7 +94,7 @@ def placed(docs: DataFrame, dims: list[str], bits: int = BITS, carry: tuple[str,
     kinds = dict(docs.dtypes)
     levels = []
     for d, cuts in zip(dims, boundaries(docs, dims, bits), strict=True):
-        value = as_number(F.col(d), kinds[d])
+        value = F.col(d) if kinds[d] == "string" else F.col(d).cast("double")
         level = F.lit(0)
         for cut in cuts:
             level = level + F.coalesce((value >= F.lit(cut)).cast("int"), F.lit(0))

@@ -42,3 +42,12 @@ def test_written_shards(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i}", f"s{i % 5}", "en", i) for i in range(100)], "doc_id long, text string, source string, lang string, n_chars long")
     found = S.write_shards(docs, f"{tmp_path}/out", 4).collect()
     assert sorted(r.rows for r in found) == [25] * 4 and spark.read.parquet(f"{tmp_path}/out").select("text").distinct().count() == 100
+
+
+def test_strings_with_a_common_prefix(spark):
+    """Sources that differ behind their first bytes have levels, and so cells of the curve, of their own."""
+    docs = spark.createDataFrame([(i, f"text {i}", f"https://www.example{i % 8}.org", "en", 7) for i in range(400)], "doc_id long, text string, source string, lang string, n_chars long")
+    cells = {r.source: r.n for r in S.assign(docs, carry=("source",)).groupBy("source").agg(F.count_distinct("hilbert").alias("n")).collect()}
+    assert set(cells.values()) == {1} and len(cells) == 8
+    assert S.assign(docs).select("hilbert").distinct().count() == 8
+    assert S.string_quantiles(docs, "source", 8) == [f"https://www.example{k}.org" for k in range(7)]
