@@ -155,7 +155,7 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Each document of the written segments, read through its segment's directory."""
+    """Each document of the written segments; a segment is decoded whole and cut at its documents' ends."""
     bases = prefix_bases(segments.groupBy("part").agg(F.sum("n_ids").alias("total")), "part", "total")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
