@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,46 +32,36 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session has no such setting (tests in local mode) a local folder is made and set.
+    Only a local master without such a setting (tests) gets a local folder, which goes with the process;
+    on a cluster a folder of one machine would lose tables, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="folioscope-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="folioscope-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-_written: list[tuple[int, DataFrame]] = []  # the stage in which a table was written, and the table
-_stage = 0
-
-
-def begin_stage(keep: DataFrame | None = None) -> None:
-    """For chains of stages, each of which is written before the next one begins: delete the tables of the stage before the last one.
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: a lineage cut that outlives executors.
 
-    The last stage's own tables stay, as does ``keep``; outside of such chains nothing is deleted.
+    The table belongs to the caller, who alone may ``release`` it; what a result still reads stays.
     """
-    global _stage
-    _stage += 1
-    kept = getattr(keep, "written_to", None)
-    old = [t for k, t in _written if k and k < _stage - 1 and t.written_to != kept]
-    release(*old)
-
-
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: a lineage cut that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path  # for release()
-    _written.append((_stage, out))
     return out
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
+    """Delete tables of one's own that nothing reads any more."""
     for df in tables:
-        _written[:] = [(k, t) for k, t in _written if t is not df]
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -131,16 +123,32 @@ def random_words(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
+def read_from_files(docs: DataFrame) -> bool:
+    """Whether docs is a table of Parquet files just as it is read: one relation with places of rows and nothing above it but a choice of columns."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "Project" and not docs.isStreaming and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.relation().toString().lower()
+
+
 class Keyed:
-    """A written copy of a table under neutral column names with a row number, so that any columns can come along."""
+    """A table under neutral column names with a unique ``row``, so that any columns can come along and decisions find their rows.
+
+    Rows of a table that is read from files as it is get the place in their file, so nothing is copied
+    (``in_files`` says that docs is such a table); any other table is written once with row numbers.
+    """
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, in_files: bool = False):
         from pyspark.sql import functions as F
 
         prepare(docs.sparkSession)
         self.names = docs.columns
-        renamed = (F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(self.names))
-        self.table = materialize(docs.select(*renamed, F.monotonically_increasing_id().alias("row")), "keyed")
+        renamed = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(self.names)]
+        if in_files:
+            place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+            self.table = docs.select(*renamed, place.alias("row"))
+        else:
+            self.table = materialize(docs.select(*renamed, F.monotonically_increasing_id().alias("row")), "keyed")
 
     def __getitem__(self, name: str):
         from pyspark.sql import functions as F
@@ -158,6 +166,18 @@ class Keyed:
         return joined.select(*(changed.get(c, F.col(f"c{k}")).alias(c) for k, c in enumerate(self.names)))
 
 
+def free_name(name: str, taken: set[str]) -> str:
+    """name, with underscores behind it until it is none of the taken names (in lower case)."""
+    while name in taken:
+        name += "_"
+    return name
+
+
+def row_type(df: DataFrame) -> str:
+    """The type of a table's row column, for schemas of Python operators."""
+    return dict(df.dtypes)["row"]
+
+
 #: A table of one row for each partition of an earlier pass is sent to all executors up to so many rows (24 MB at most).
 BROADCAST_ROWS = 1_000_000
 

@@ -7,16 +7,20 @@ the hash evaluations of plain MinHash fill the bands. 36 permutations make 24 ba
 
 1. Documents with equal shingle sets form a class; from here on classes are compared.
 2. Band keys that several classes share are buckets. The members of a bucket are compared by their
-   signatures in blocks of BLOCK rows; pairs whose sizes and signatures allow 0.75 (five standard
-   deviations of slack) are plausible, and a block returns only a spanning forest of them.
+   signatures; pairs whose sizes and signatures allow 0.75 (five standard deviations of slack) are
+   plausible, and only a spanning forest of them is returned.
 3. The components of the plausible pairs are clusters. Every member's shingle set goes to its
-   cluster once (in a large cluster, once for each block that it meets), where all pairs are
-   counted exactly by products of incidence blocks; a block returns a spanning forest of the links.
+   cluster, where pairs are counted exactly by products of incidence blocks; again a spanning forest
+   of the links is returned.
 4. The components of the links are the groups.
 
-No pair list is ever made: a bucket or cluster of n members costs n rows for each of its n / BLOCK
-blocks, and returns less than two rows for each of those. Components come from alternating large-
-and small-star steps over written tables.
+No pair list is ever made. A bucket or cluster of BLOCK members at most is one block, in which all
+pairs are compared. In a larger one every member is first compared with PIVOTS of its members; those
+that fit the pivot with the most fits are settled, as they are in one component with it. Pairs of two
+settled members need no look any more: only the others are dealt to blocks, with each other and with
+the settled ones. So n members of which r are not settled cost n rows for the pivots and about
+2 * n * r / BLOCK + n rows in blocks, which is in proportion to n for a group of copies. Components
+come from alternating large- and small-star steps over written tables.
 
 Defined results: a text without words (null, empty, white space) has an empty set and is linked with
 nothing; rows that share a doc_id are documents of their own; a null doc_id counts as larger than
@@ -33,20 +37,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HASH_RUN_BYTES, Keyed, byte_sizes, column, documents, filled, join_measured, materialize, mix64, random_words, release, runs
+from .common import HASH_RUN_BYTES, Keyed, byte_sizes, column, documents, filled, join_measured, materialize, mix64, random_words, release, row_type, runs
 from .textkit import Texts
 
 QUERY = "op4_near_dup"
 WORDS, PERCENT = 5, 75
 PERMUTATIONS, BAND_ROWS = 36, 3
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
-BLOCK = 512
+BLOCK, PIVOTS = 512, 4
 #: Agreeing signature values that a pair of similarity 0.75 has but for five standard deviations.
 LEAST_AGREEING = int(2 * PERMUTATIONS * 0.75 - 5 * (2 * PERMUTATIONS * 0.75 * 0.25) ** 0.5)
 MULTIPLIERS = random_words(PERMUTATIONS, 1) | np.uint64(1)
 SHIFTS = random_words(PERMUTATIONS, 2)
 
-SIGNED = "row long, doc_id long, text_hash long, n_shingles long, node binary, sketch binary"
+SIGNED = "row {}, doc_id long, text_hash long, n_shingles long, node binary, sketch binary"
 EDGES = "a binary, b binary"
 
 
@@ -65,6 +69,9 @@ def set_name(shingles: np.ndarray) -> bytes:
 def signed(docs: DataFrame) -> DataFrame:
     """SIGNED of docs (row, doc_id, text, text_hash); node and sketch are null for an empty set."""
 
+    kind = SIGNED.format(row_type(docs))
+    columns = ["row", *(x.split(" ")[0] for x in SIGNED.split(", ")[1:])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(column(batch, "text"))
@@ -72,9 +79,9 @@ def signed(docs: DataFrame) -> DataFrame:
                 sets = Texts(texts[i:j].to_pylist()).shingles(WORDS)
                 names = pa.array([set_name(s) if len(s) else None for s in sets], pa.binary())
                 sketches = pa.array([signature(s) if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(column(batch, c)[i:j] for c in ("row", "doc_id", "text_hash")), pa.array([len(s) for s in sets], pa.int64()), names, sketches], [x.split(" ")[0] for x in SIGNED.split(", ")])
+                yield pa.RecordBatch.from_arrays([*(column(batch, c)[i:j] for c in ("row", "doc_id", "text_hash")), pa.array([len(s) for s in sets], pa.int64()), names, sketches], columns)
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.mapInArrow(run, kind)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
@@ -103,8 +110,52 @@ def in_blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
     """Deals rows of each key, of the given size, to blocks (key, one, two) that hold every pair of its rows together; side tells the row's part."""
     parts = F.expr(f"cast((`{size}` + {BLOCK - 1}) div {BLOCK} as int)")
     mine = rows.withColumn("side", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = mine.withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other")).drop("other", size)
-    return dealt.repartition(key, "one", "two").sortWithinPartitions(key, "one", "two")
+    return mine.withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other")).drop("other", size)
+
+
+def across(rest: DataFrame, settled: DataFrame, key: str) -> DataFrame:
+    """Deals rest and settled rows of each key, with their numbers in r and s, to blocks that hold every row of one together with every row of the other."""
+    parts = {c: F.expr(f"cast((`{c}` + {BLOCK - 1}) div {BLOCK} as int)") for c in ("r", "s")}
+    part = lambda c: F.pmod(F.xxhash64("node"), parts[c]).cast("int")
+    left = rest.where("s > 0").withColumn("side", F.lit(-1)).withColumn("one", part("r")).withColumn("two", F.explode(F.sequence(parts["r"], parts["r"] + parts["s"] - 1)))
+    right = settled.where("r > 0").withColumn("side", F.lit(-2)).withColumn("one", F.explode(F.sequence(F.lit(0), parts["r"] - 1))).withColumn("two", part("s") + parts["r"])
+    return left.unionByName(right).drop("r", "s")
+
+
+def settle(large: DataFrame, key: str, fits) -> tuple[DataFrame, DataFrame]:
+    """Stars of the settled members of large groups, and the blocks that are left to compare; large is a written table (key, m, node and more).
+
+    fits(rows) gives node, pivot and key of the rows (node, more, pivot, pivot_more) that fit their pivot.
+    """
+    more = [c for c in large.columns if c not in (key, "m", "node")]
+    picked = large.groupBy(key).agg(*(F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)))
+    named = picked.select(key, F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("node"))
+    pivots = materialize(large.join(named, [key, "node"], "left_semi").select(key, F.col("node").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in more)).distinct(), "near-pivots")
+    tested = materialize(fits(join_measured(large, pivots, key, "inner").select(key, "node", *more, "pivot", *(f"pivot_{c}" for c in more))), "near-tested")
+    best = tested.groupBy(key, "pivot").agg(F.count("*").alias("c")).groupBy(key).agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
+    star = materialize(tested.join(best, [key, "pivot"], "left_semi"), "near-stars")
+    release(tested, pivots)
+    counted = large.select(key, "m", "node").join(star.select(key, "node").withColumn("in", F.lit(1)), [key, "node"], "left")
+    sizes = counted.groupBy(key).agg(F.count("in").alias("s"), F.count(F.when(F.col("in").isNull(), 1)).alias("r"))
+    rows = large.drop("m").join(sizes, key)
+    rest, settled = (rows.join(star.select(key, "node"), [key, "node"], how) for how in ("left_anti", "left_semi"))
+    return star.select(F.col("node").alias("a"), F.col("pivot").alias("b")), in_blocks(rest.drop("s"), key, "r").unionByName(across(rest, settled, key))
+
+
+def linked(groups: DataFrame, key: str, members, compare, fits) -> DataFrame:
+    """EDGES that join the fitting pairs of every group of groups (key, m).
+
+    members(groups) gives (key, m, node and more) of some groups; compare does a table of blocks, fits one of rows with pivots.
+    """
+    if groups.where(F.col("m") > BLOCK).isEmpty():
+        return compare(in_blocks(members(groups), key, "m"))
+    small = compare(in_blocks(members(groups.where(F.col("m") <= BLOCK)), key, "m"))
+    star, blocks = settle(materialize(members(groups.where(F.col("m") > BLOCK)), "near-large"), key, fits)
+    return small.union(star).union(compare(blocks))
+
+
+def by_blocks(blocks: DataFrame, key: str) -> DataFrame:
+    return blocks.repartition(key, "one", "two").sortWithinPartitions(key, "one", "two")
 
 
 def forest(n: int, joined) -> list[tuple[int, int]]:
@@ -119,8 +170,8 @@ def forest(n: int, joined) -> list[tuple[int, int]]:
     return out
 
 
-def plausible(members: DataFrame) -> DataFrame:
-    """Edges of spanning forests of the plausible pairs in buckets: members (key, m, node, n, sketch)."""
+def plausible(blocks: DataFrame) -> DataFrame:
+    """EDGES of spanning forests of the plausible pairs in blocks of buckets (key, one, two, side, node, n, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in grouped(batches, ["key", "one", "two"]):
@@ -144,7 +195,20 @@ def plausible(members: DataFrame) -> DataFrame:
                     b.append(nodes[i + y])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return in_blocks(members, "key", "m").mapInArrow(run, EDGES)
+    return by_blocks(blocks, "key").mapInArrow(run, EDGES)
+
+
+def plausible_with_pivot(rows: DataFrame) -> DataFrame:
+    """key, node, pivot of the rows (key, node, n, sketch, pivot, pivot_n, pivot_sketch) that are plausible with their pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(column(batch, c).to_pylist()), "<u4").reshape(-1, 2 * PERMUTATIONS) for c in ("sketch", "pivot_sketch"))
+            n, m = (column(batch, c).to_numpy() for c in ("n", "pivot_n"))
+            fit = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ((a == b).sum(1) >= LEAST_AGREEING)
+            yield batch.select(["key", "node", "pivot"]).filter(pa.array(fit))
+
+    return rows.mapInArrow(run, "key long, node binary, pivot binary")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -165,8 +229,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def confirmed(members: DataFrame) -> DataFrame:
-    """Edges of spanning forests of the true links in clusters: members (cluster, m, node, shingles)."""
+def confirmed(blocks: DataFrame) -> DataFrame:
+    """EDGES of spanning forests of the true links in blocks of clusters (cluster, one, two, side, node, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in grouped(batches, ["cluster", "one", "two"]):
@@ -188,7 +252,22 @@ def confirmed(members: DataFrame) -> DataFrame:
                     b.append(nodes[rows[y]])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return in_blocks(members, "cluster", "m").mapInArrow(run, EDGES)
+    return by_blocks(blocks, "cluster").mapInArrow(run, EDGES)
+
+
+def confirmed_with_pivot(rows: DataFrame) -> DataFrame:
+    """cluster, node, pivot of the rows (cluster, node, shingles, pivot, pivot_shingles) that are linked with their pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fit = []
+            for own, pivot in zip(column(batch, "shingles"), column(batch, "pivot_shingles"), strict=True):
+                a, b = np.frombuffer(own.as_buffer(), "<u8"), np.frombuffer(pivot.as_buffer(), "<u8")
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                fit.append(100 * common >= PERCENT * (len(a) + len(b) - common))
+            yield batch.select(["cluster", "node", "pivot"]).filter(pa.array(fit, pa.bool_()))
+
+    return rows.mapInArrow(run, "cluster binary, node binary, pivot binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,12 +314,12 @@ def group_rows(docs: DataFrame) -> DataFrame:
     width = 4 * BAND_ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sketch", k * width + 1, F.lit(width))))
     bands = classes.select(F.explode(keys).alias("key"), "node")
-    shared = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = bands.join(shared, "key").join(classes.select("node", "n", "sketch"), "node")
-    clusters = components(plausible(members.select("key", "m", "node", "n", "sketch")))
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
-    inside = clusters.join(sizes, "root").join(classes.select("node", "rep"), "node").select("node", F.col("root").alias("cluster"), "m", "rep")
-    groups = components(confirmed(with_sets(inside, docs)))
+    shared = materialize(bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "near-buckets")
+    bucketed = lambda some: bands.join(some, "key").join(classes.select("node", "n", "sketch"), "node").select("key", "m", "node", "n", "sketch")
+    clusters = components(linked(shared, "key", bucketed, plausible, plausible_with_pivot)).withColumnRenamed("root", "cluster")
+    sizes = materialize(clusters.groupBy("cluster").agg(F.count("*").alias("m")), "near-clusters")
+    inside = lambda some: with_sets(clusters.join(some, "cluster").join(classes.select("node", "rep"), "node").select("node", "cluster", "m", "rep"), docs)
+    groups = components(linked(sizes, "cluster", inside, confirmed, confirmed_with_pivot))
     placed = groups.join(classes.select("node", "least_id"), "node")
     named = placed.join(placed.groupBy("root").agg(F.min("least_id").alias("group_id")), "root").select("node", "group_id", "root")
     joined = classes.select("node", "least_id").join(named, "node", "left")
@@ -257,9 +336,9 @@ def find_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs (any columns) with one row of each group, that of the smallest (doc_id, row); rows of empty sets stay."""
-    own = Keyed(docs)
+def one_of_each(docs: DataFrame, in_files: bool = False) -> DataFrame:
+    """docs (any columns) with one row of each group, that of the smallest (doc_id, row); rows of empty sets stay. in_files: see ``Keyed``."""
+    own = Keyed(docs, in_files)
     found = group_rows(own.select("doc_id", "text"))
     first = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")).select("first.row")
     kept = materialize(first.union(found.where(F.col("group").isNull()).select("row")), "near-kept")

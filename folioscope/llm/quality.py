@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HASH_RUN_BYTES, Keyed, byte_sizes, column, documents, filled, join_measured, materialize, release, runs
+from .common import HASH_RUN_BYTES, Keyed, byte_sizes, column, documents, filled, join_measured, materialize, release, row_type, runs
 from .line_dedup import without_lines
 from .textkit import BASE, EXACT, WORD_BASE, RangeHash, Texts, any_equal, earlier_equal, sum_by
 
@@ -36,10 +36,10 @@ SYMBOLS = np.zeros(256, np.uint8)
 SYMBOLS[list(b"#*$%&|<>")] = 1
 
 FEATURES = (
-    "row long, doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "row {}, doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, line_hashes array<long>, line_words array<int>, lines array<int>"
 )
-NAMES = [x.split(" ")[0] for x in FEATURES.split(", ")]
+NAMES = ["row", *(x.split(" ")[0] for x in FEATURES.split(", ")[1:])]
 
 
 def measure(texts: list[str]) -> dict[str, np.ndarray]:
@@ -93,7 +93,7 @@ def features(docs: DataFrame, host: str = "source", numbered: bool = False) -> D
 
     number = F.col("row") if numbered else F.monotonically_increasing_id().alias("row")
     rows = docs.select(number, F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
-    return materialize(rows.mapInArrow(run, FEATURES), "quality")
+    return materialize(rows.mapInArrow(run, FEATURES.format(row_type(rows))), "quality")
 
 
 def common_lines(found: DataFrame, least: int, share: int) -> DataFrame:
@@ -128,9 +128,9 @@ def judged(found: DataFrame, least: int = LEAST_DOCS, share: int = SHARE_PERCENT
     return rest.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_words") <= depleted * F.col("n_words")))
 
 
-def clean(docs: DataFrame, host: str = "source") -> DataFrame:
-    """docs (any columns) without rejected rows, their texts without the lines above the limits."""
-    own = Keyed(docs)
+def clean(docs: DataFrame, host: str = "source", in_files: bool = False) -> DataFrame:
+    """docs (any columns) without rejected rows, their texts without the lines above the limits. in_files: see ``Keyed``."""
+    own = Keyed(docs, in_files)
     found = features(own.select("doc_id", "text", host), host, numbered=True)
     kept = materialize(judged(found).where("kept").select("row", "removed_lines"), "quality-kept")
     release(found)

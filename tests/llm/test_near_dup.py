@@ -73,6 +73,35 @@ def test_groups(spark, monkeypatch):
         assert sorted(str(tuple(r)) for r in N.find_groups(docs).collect()) == want
 
 
+def test_large_groups_cost_rows_in_proportion(spark, monkeypatch):
+    """Near copies of one text beside a few others: the rows dealt to blocks are a small multiple of the members, and every link counts."""
+    monkeypatch.setattr(N, "BLOCK", 32)
+    dealt = []
+    plain = N.by_blocks
+    monkeypatch.setattr(N, "by_blocks", lambda blocks, key: dealt.append((key, blocks.count())) or plain(blocks, key))
+    for n in (300, 1200):
+        rng, base, dealt[:] = random.Random(n), [f"b{k}" for k in range(200)], []
+        rows = []
+        for k in range(n):
+            b = list(base)
+            b[rng.randrange(200)] = f"x{k}"
+            rows.append((k, " ".join(b)))
+        half = base[:100] + [f"h{k}" for k in range(100)]
+        rows += [(n + k, " ".join([*half[:199], f"y{k}"])) for k in range(3)]
+        got = {r.doc_id: r.component_id for r in N.find_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {k: 0 if k < n else n for k in range(n + 3)}
+        clusters = sum(c for key, c in dealt if key == "cluster")
+        assert clusters <= 3 * n, dealt
+        assert sum(c for key, c in dealt if key == "key") <= 3 * N.BANDS * n, dealt
+
+
+def test_a_group_whose_pivots_do_not_reach_all(spark, monkeypatch):
+    """A chain of texts, each near to the next ones only: what no pivot settles is compared in blocks."""
+    monkeypatch.setattr(N, "BLOCK", 16)
+    rows = [(k, " ".join(f"w{j}" for j in range(4 * k, 4 * k + 120))) for k in range(150)]
+    assert all(r.component_id == 0 for r in N.find_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_overlaps():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 3000)).astype(np.uint64)) for _ in range(30)]
