@@ -8,21 +8,22 @@ for each of its n-grams, which numpy gathers for whole runs of texts.
 
 The machines are fitted on a bounded sample: at most SAMPLE rows over all languages and PER_LANGUAGE
 of one, the rows of the smallest text hashes, from rows with a language that are not held out
-(crc32 of doc_id as text, modulo 5, is 0). Everything else covers all rows.
+(crc32 of doc_id as text, modulo 5, is 0). Of more than MAX_LANGUAGES values of ``lang`` those with the
+most distinct texts are learned. Everything else covers all rows.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; a null doc_id is
+Defined results: a null text, or one without a letter (Unicode category L), is ``und`` with score 0; a null doc_id is
 neither learned from nor held out; without a labelled row every text is ``und``; equal texts have
 equal results; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ from .common import HASH_RUN_BYTES, byte_sizes, column, documents, filled, prepa
 
 QUERY = "op3_language_id"
 BUCKETS = 1 << 12
-SAMPLE, PER_LANGUAGE = 4000, 600
+SAMPLE, PER_LANGUAGE, MAX_LANGUAGES = 4000, 600, 200
+#: A score below which a corpus should not trust a prediction, for ``keep_identified``.
+LEAST_SCORE = 0.4
 FOLDS = 5
 UNKNOWN = "und"
 #: Features are scaled by this before fitting; margins are turned to probabilities by SLOPE.
@@ -51,7 +54,7 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 FOLD = np.arange(256, dtype=np.uint32)
 FOLD[65:91] += 32
 FOLD[[k for k in range(128) if not chr(k).isalpha()]] = 32
@@ -165,7 +168,8 @@ def fit(docs: DataFrame) -> Model | None:
     prepare(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") > 0))
     hashed = known.select("lang", F.xxhash64("text").alias("th"))
-    counts = {r["lang"]: r["count"] for r in hashed.distinct().groupBy("lang").count().collect()}  # distinct texts, a row for each language
+    ranked_by_texts = hashed.distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in ranked_by_texts.collect()}  # distinct texts, a row for each language
     if not counts:
         return None
     per = max(1, min(PER_LANGUAGE, SAMPLE // len(counts)))
@@ -205,18 +209,23 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, RESULT)
 
 
-def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs (any columns) without the rows whose language is ``und``."""
+def keep_identified(docs: DataFrame, model: Model | None, wanted: tuple[str, ...] | None = None, least: float = 0.0, into: str = "lang") -> DataFrame:
+    """The rows of docs (text and any columns) whose predicted language is wanted (all that the model knows, if not said) with a score of least or more; into holds it."""
+    kinds = [f"`{c}` {'string' if c == into else t}" for c, t in docs.dtypes]
+    names = [*docs.columns, *([] if into in docs.columns else [into])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(column(batch, "text"))
             for i, j in runs(byte_sizes(texts), HASH_RUN_BYTES):
                 own = texts[i:j].to_pylist()
-                named = model.predict(own)[0] if model is not None else [UNKNOWN] * len(own)
-                yield batch.slice(i, j - i).filter(pa.array([x != UNKNOWN and LETTER.search(t) is not None for x, t in zip(named, own, strict=True)], pa.bool_()))
+                named, score = model.predict(own) if model is not None else ([UNKNOWN] * len(own), np.zeros(len(own)))
+                kept = [s >= least and (x in wanted if wanted else x != UNKNOWN) and LETTER.search(t) is not None for x, s, t in zip(named, score, own, strict=True)]
+                part = batch.slice(i, j - i)
+                columns = [pa.array(named, pa.string()) if c == into else column(part, c) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, ", ".join(kinds if into in docs.columns else [*kinds, f"`{into}` string"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
