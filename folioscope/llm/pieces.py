@@ -12,7 +12,7 @@ No piece holds some pairs of characters (a letter before the mark of a space, fo
 goes through the node between such a pair, so the lattice falls apart there into segments: the
 search runs once for each distinct segment, and the N best paths of a text are found by the same
 search over its segments, of which only the N - 1 with the least loss to their second path can
-depart from their best.
+depart from their best. Long texts are taken in parts of about PART characters, cut between segments.
 
 Scores are the model's piece scores (of a BPE model: less the rank of the merge). ``encode`` is the
 library's own encoding; ``decode`` turns ids back to text.
@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +44,7 @@ NBEST = 3
 UNKNOWN_PENALTY = 10.0
 SPACE = "\N{LOWER ONE EIGHTH BLOCK}"
 STORE_SEGMENTS, STORE_IDS = 900_000, 16_000_000
+PART = 1 << 20
 
 RESULT = "doc_id long, n_bytes long, n_pieces long, score double, path_scores array<double>, second_pieces long, ids_crc32 long, restored boolean"
 
@@ -56,6 +59,7 @@ class Lattice:
         self.nbest = nbest
         plain = [k for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k) or sp.is_byte(k))]
         self.pieces = {sp.id_to_piece(k): (sp.get_score(k), k) for k in plain}
+        self.longest = max(map(len, self.pieces))
         # Every beginning of a piece; () where it is no piece itself.
         self.prefixes = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
         self.unknown = min(s for s, _ in self.pieces.values()) - UNKNOWN_PENALTY
@@ -78,50 +82,52 @@ class Lattice:
         self.at, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.scores, self.sizes = np.zeros((0, self.nbest)), np.zeros((0, self.nbest), np.int32)
 
-    def forward(self, text: str) -> tuple[list[float], list[list[tuple[int, float, int]]]]:
-        """Best scores from the beginning to every node, and the edges that end at each node: begin, score, id (-1: unknown)."""
+    def forward(self, text: str) -> array:
+        """The best score from the beginning to every node."""
         n, get = len(text), self.prefixes.get
-        best, ends = [0.0] + [-np.inf] * n, [[] for _ in range(n + 1)]
+        best = array("d", [-np.inf]) * (n + 1)
+        best[0] = 0.0
         for i in range(n):
             own, j = best[i], i + 1
             found = get(text[i:j])
-            if not found:  # no piece is this character alone
-                ends[j].append((i, self.unknown, -1))
-                if own + self.unknown > best[j]:
-                    best[j] = own + self.unknown
+            if not found and own + self.unknown > best[j]:  # no piece is this character alone
+                best[j] = own + self.unknown
             while found is not None:
-                if found:
-                    s, k = found
-                    ends[j].append((i, s, k))
-                    if own + s > best[j]:
-                        best[j] = own + s
+                if found and own + found[0] > best[j]:
+                    best[j] = own + found[0]
                 j += 1
                 if j > n:
                     break
                 found = get(text[i:j])
-        return best, ends
+        return best
+
+    def edges(self, text: str, node: int) -> Iterator[tuple[int, float, int]]:
+        """The edges that end at a node: begin, score, id (-1: unknown)."""
+        if text[node - 1] not in self.pieces:
+            yield node - 1, self.unknown, -1
+        for i in range(node - 1, max(-1, node - 1 - self.longest), -1):
+            if found := self.pieces.get(text[i:node]):
+                yield i, *found
 
     def search(self, text: str, nbest: int) -> list[tuple[float, tuple[int, ...]]]:
         """The nbest best paths as (score, ids)."""
         if not text:
             return [(0.0, ())]
-        best, ends = self.forward(text)
-        agenda, count, found = [(-best[-1], 0, len(text), 0.0, None)], 0, []
-        push, pop = heapq.heappush, heapq.heappop
-        while agenda:
-            f, _, node, own, rest = pop(agenda)
+        best = self.forward(text)
+        agenda, count, found = [(-round(best[-1], 6), len(text), 0, 0.0, None)], 0, []
+        while agenda and len(found) < nbest:
+            _, node, _, own, rest = agenda.pop(0)
             if not node:
                 ids = []
                 while rest is not None:
                     (i, k), rest = rest
                     ids.extend(self.spell(text[i]) if k < 0 else (k,))
-                found.append((-f, tuple(ids)))
-                if len(found) == nbest:
-                    break
+                found.append((own, tuple(ids)))
                 continue
-            for i, s, k in ends[node]:
+            for i, s, k in self.edges(text, node):
                 count += 1
-                push(agenda, (-(own + s + best[i]), count, i, own + s, ((i, k), rest)))
+                insort(agenda, (-round(own + s + best[i], 6), i, count, own + s, ((i, k), rest)), key=lambda x: x[:3])
+            del agenda[nbest - len(found) :]
         return found
 
     def spell(self, character: str) -> list[int]:
@@ -129,7 +135,8 @@ class Lattice:
 
     def decode(self, ids) -> str:
         """The text of ids: pieces and bytes in a row, marks of spaces as spaces, without the one put in front."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace").replace(SPACE, " ")
+        raw = b"".join(b"".join(map(self.raw.__getitem__, ids[k : k + PART])) for k in range(0, len(ids), PART))
+        text = raw.decode(errors="replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
     def _learn(self, hashes: list[int], segments: list[str]) -> None:
@@ -166,9 +173,38 @@ class Lattice:
 
     def segment(self, texts: list[str]) -> list[tuple[np.ndarray, list[tuple[float, int]]]]:
         """For each text the ids of its best path, and score and pieces of the nbest best."""
+        normal = [self.library.normalize(t) if t else "" for t in texts]
+        if all(len(t) <= PART for t in normal):
+            return self._segment(normal)
+        out = []
+        for text in normal:
+            ids, paths = [], [(0.0, 0)]
+            for part in self.parts(text):
+                ((own, found),) = self._segment([part])
+                ids.append(own)
+                paths = sorted(((a + s, m + n) for a, m in paths for s, n in found), key=lambda x: -x[0])[: self.nbest]
+            out.append((np.concatenate(ids), paths))
+        return out
+
+    def parts(self, text: str) -> Iterator[str]:
+        """text in parts of about PART characters that no piece reaches across; a longer run without such a place is one part."""
+        begin = 0
+        while len(text) - begin > PART:
+            end = begin + PART
+            while end < len(text) and not self.apart(text[end - 1], text[end]):
+                end += 1
+            yield text[begin:end]
+            begin = end
+        yield text[begin:]
+
+    def apart(self, a: str, b: str) -> bool:
+        """Whether no piece holds the characters a and b in a row, as far as the table of pairs tells."""
+        return (ord(a) < 256 and ord(b) < 256 and not self.held[ord(a) << 8 | ord(b)]) or (self.splits_at_space and b == SPACE and a != SPACE)
+
+    def _segment(self, normal: list[str]) -> list[tuple[np.ndarray, list[tuple[float, int]]]]:
+        """The same for normalised texts."""
         if len(self.at) > STORE_SEGMENTS or len(self.ids) > STORE_IDS:
             self._clear()
-        normal = [self.library.normalize(t) if t else "" for t in texts]
         joined = "\0".join(normal) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(t) + 1 for t in normal]) - 1
@@ -197,7 +233,7 @@ class Lattice:
         ids = self.ids[np.repeat(self.at[mine] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
         id_at = np.concatenate([[0], np.cumsum(size)])[at]
         out = []
-        for k in range(len(texts)):
+        for k in range(len(normal)):
             own = ids[id_at[k] : id_at[k + 1]]
             paths = self._combine(mine[at[k] : at[k + 1]], float(self.scores[mine[at[k] : at[k + 1]], 0].sum()))
             out.append((own, [(s, len(own) + change) for s, change in paths]))
@@ -227,7 +263,7 @@ def segment(docs: DataFrame, path: str, nbest: int = NBEST) -> DataFrame:
                 found = model.segment(own)
                 columns = [
                     pa.array([len(ids) for ids, _ in found], pa.int64()), pa.array([p[0][0] for _, p in found], pa.float64()), pa.array([[s for s, _ in p] for _, p in found], pa.list_(pa.float64())),
-                    pa.array([p[1][1] if len(p) > 1 else None for _, p in found], pa.int64()), pa.array([zlib.crc32(ids.astype("<u4").tobytes()) for ids, _ in found], pa.int64()), pa.array([model.decode(ids.tolist()) == t for (ids, _), t in zip(found, own, strict=True)]),
+                    pa.array([p[1][1] if len(p) > 1 else None for _, p in found], pa.int64()), pa.array([zlib.crc32(ids.astype("<u4").tobytes()) for ids, _ in found], pa.int64()), pa.array([model.decode(ids) == t for (ids, _), t in zip(found, own, strict=True)]),
                 ]
                 yield pa.RecordBatch.from_arrays([doc_ids[i:j], pa.array(sizes[i:j]), *columns], [x.split(" ")[0] for x in RESULT.split(", ")])
 

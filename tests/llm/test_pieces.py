@@ -1,6 +1,8 @@
 """op1: N-best scores against all segmentations, decoding, and the table's columns."""
 
 import random
+import resource
+import time
 import zlib
 
 import numpy as np
@@ -76,3 +78,33 @@ def test_table(spark, model):
         if len(text) < 100:
             assert r.ids_crc32 == zlib.crc32(np.array(want[0][1], "<u4").tobytes())
     assert S.segment(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_runs_of_one_character(model):
+    """All paths of a run tie with others; the search stays in proportion to its length."""
+    for c in "=a":
+        began = time.time()
+        (ids, paths), = model.segment([c * 20_000])
+        assert time.time() - began < 10 and len(paths) == 3 and model.decode(ids) == c * 20_000
+    want = sorted((s for s, _ in all_paths(model, "=" * 14)), reverse=True)
+    assert [s for s, _ in model.search("=" * 14, 40)] == pytest.approx(want[:40])
+
+
+def test_long_texts_in_parts(model, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["one", "Two,", "x" * 30, "日本", "3.5", "line\n", "  "], k=k)) for k in (3, 90, 400)] + ["=" * 500 + " a" * 300]
+    want = model.segment(texts)
+    monkeypatch.setattr(S, "PART", 64)
+    for (ids, paths), (ids2, paths2) in zip(model.segment(texts), want, strict=True):
+        assert ids.tolist() == ids2.tolist() and [s for s, _ in paths] == pytest.approx([s for s, _ in paths2]) and paths[0] == paths2[0]
+    assert all("".join(model.parts(t)) == t for t in texts)
+
+
+def test_twenty_megabytes(model):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(5000)]
+    text = " ".join(rng.choices(words, k=3_100_000))
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    (ids, paths), = model.segment([text])
+    assert len(ids) == paths[0][1] and model.decode(ids) == text
+    assert time.time() - began < 90 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_200_000
