@@ -6,13 +6,21 @@ Two deterministic transducers replace the tokenizer:
   and emits 1 where a pre-token begins. It has 8 states. Text is cut into chunks of equal length;
   each chunk's map from every start state to its end state is found for all chunks in lockstep, and
   the maps compose through a parallel prefix scan, which gives every chunk its true start state.
-* the *counter* reads the bytes of a pre-token; the annotation of a transition is the change that
-  the byte makes to the number of tokens (it may be negative, when a merge takes tokens together).
-  A state is the set of open vocabulary-trie nodes, each with the last token before it and the
-  count there. Merging is decided by one fact of BPE: a sequence of tokens is the encoding of its
-  bytes when every neighbouring pair is, so exactly one token that ends at a byte is compatible
-  with the last token of what is before it. States are made when they are first reached, as in a
-  lazy DFA, and dropped together when there are too many; that changes speed only.
+* the *counter* reads bytes and the splitter's marks; a mark takes it back to its start. The annotation
+  of a transition is the change that the byte makes to the number of tokens (it may be negative, when
+  a merge takes tokens together). A state is the set of open vocabulary-trie nodes, each with the last
+  token before it and the count there. Merging is decided by one fact of BPE: a sequence of tokens is
+  the encoding of its bytes when every neighbouring pair is, so exactly one token that ends at a byte
+  is compatible with the last token of what is before it. Its chunks are composed in the same way: from
+  the first mark of a chunk on, state and counts do not depend on what is before, so the map of a
+  chunk with a mark is a constant. Chunks without one, inside long pre-tokens, have maps over the few
+  states that can reach them, which compose through a prefix scan; if there are too many such states,
+  these chunks are walked one after the other. Last, all chunks are walked from their true states up
+  to their first marks.
+
+States are made when they are first reached, as in a lazy DFA. When there are more than MAX_STATES, all
+go but those in which chunks just are; that is looked at after each step and changes speed only. Long
+texts are cut where a pre-token must begin, before white space after a letter, digit or stop.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; special strings of the tokenizer
 inside a text count as one token each (the library's default); repeated rows are counted each;
@@ -22,6 +30,7 @@ an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +45,16 @@ QUERY = "op2_token_counts"
 LIMIT = 1024
 CHUNK = 256
 MAX_STATES = 100_000
-#: Pre-tokens of more bytes than this are walked byte by byte when few are left in a batch.
-FEW = 24
+#: States that may reach chunks without a mark, for their maps.
+MAP_STATES = 16
+#: Texts of more characters are cut; this many characters are counted at once.
+PART = 1 << 20
+#: The counter's state at the beginning of a pre-token, and that of a chunk before its first mark.
+START, OPEN = 0, 1
 
 RESULT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+#: Behind such a character a pre-token begins, as white space follows.
+SURE_BEGIN = re.compile(r"[A-Za-z0-9.,;:?](?=[ \n\t])")
 
 # Symbols of the splitter: other, letter, number, white space inside a run (space or not), the last
 # white space before something else (space or not), apostrophe of a contraction of 2 or 3
@@ -112,14 +127,22 @@ class Counter:
                 node = self.child[node * 256 + b]
             self.token[node] = t
         self.max_states = max_states
-        self.to = np.full((1024, 256), -1, np.int32)
-        self.change = np.zeros((1024, 256), np.int8)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.states: list[tuple] = [((0, -1, 0),)]  # open node, last token before it, count there less the count now
-        self.number = {self.states[0]: 0}
-        self.to[:] = -1
+        self._clear([])
+
+    def _clear(self, kept: list[tuple]) -> None:
+        """Only the two first states and the kept ones, in this order."""
+        self.states: list[tuple] = [((0, -1, 0),), (), *kept]  # open node, last token before it, count there less the count now
+        self.number = {key: k for k, key in enumerate(self.states)}
+        size = max(1024, 2 * len(self.states))
+        self.to, self.change = np.full((size, 256), -1, np.int32), np.zeros((size, 256), np.int8)
+        self.to[OPEN] = OPEN
+
+    def _drop_states(self, *live: np.ndarray) -> None:
+        """Drops all states but those in live, whose numbers are changed in place."""
+        used = np.unique(np.concatenate([[START, OPEN], *live]))
+        self._clear([self.states[k] for k in used[2:].tolist()])
+        for a in live:
+            a[:] = np.searchsorted(used, a)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """What stands at a token's right (0) or left (1) edge while it forms: symbol, rank of the merge that takes it in."""
@@ -138,7 +161,7 @@ class Counter:
             return True
         key = (left, right)
         if key not in self.compatible_pairs:
-            if len(self.compatible_pairs) > 2_000_000:
+            if len(self.compatible_pairs) > 500_000:
                 self.compatible_pairs.clear()
             rank, never = self.rank, self.never
             self.compatible_pairs[key] = not any((m := rank.get((x, y), never)) < until_x and m <= until_y and m < never for x, until_x in self._spine(left, 0) for y, until_y in self._spine(right, 1))
@@ -170,43 +193,85 @@ class Counter:
         self.to[state, byte] = found
         self.change[state, byte] = count
 
-    def _step(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Next states and changes for state * 256 + byte."""
+    def _step(self, state: np.ndarray, letters: np.ndarray, *live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and changes; live has other states that must not be dropped."""
+        at = (state << 8) | letters
         after = self.to.reshape(-1)[at]
         if (missing := after < 0).any():
             for k in np.unique(at[missing]).tolist():
                 self._grow(k >> 8, k & 255)
             after = self.to.reshape(-1)[at]
-        return after, self.change.reshape(-1)[at]
-
-    def counts(self, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Tokens of each pre-token, given by its first byte in text and its size; all walk in lockstep."""
+        change = self.change.reshape(-1)[at]
         if len(self.states) > self.max_states:
-            self._clear()
-        order = np.argsort(-np.minimum(size, 60_000).astype(np.int32).astype(np.int16, casting="unsafe") if size.max(initial=0) < 32_000 else -size, kind="stable")
-        start, size = start[order], size[order]
-        state, count = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
-        live, step = len(start), 0
-        falling = -size
-        while True:
-            live = int(np.searchsorted(falling[:live], -step, "left"))  # those with size > step
-            if live <= FEW:
-                break
-            at = (state[:live] << 8) | text[start[:live] + step]
-            state[:live], change = self._step(at)
-            count[:live] += change
-            step += 1
-        for k in range(live):
-            s, total = int(state[k]), int(count[k])
-            for b in text[start[k] + step : start[k] + size[k]].tobytes():
-                if self.to[s, b] < 0:
-                    self._grow(s, b)
-                total += int(self.change[s, b])
-                s = int(self.to[s, b])
-            count[k] = total
-        out = np.empty(len(start), np.int32)
-        out[order] = count
-        return out
+            self._drop_states(after, *live)
+        return after, change
+
+    def changes(self, text: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The change of the number of tokens at each byte from the first mark of its chunk on, and the sum of those before it for each chunk; the first byte is marked."""
+        n, chunks = len(text), -(-len(text) // CHUNK)
+        letters, fresh = np.full(chunks * CHUNK, 10, np.int32), np.ones(chunks * CHUNK, bool)
+        letters[:n], fresh[:n] = text, marks
+        letters, fresh = (np.ascontiguousarray(x.reshape(chunks, CHUNK).T) for x in (letters, fresh))
+        end, change = np.full(chunks, OPEN, np.int32), np.empty((CHUNK, chunks), np.int8)
+        for k in range(CHUNK):
+            end[fresh[k]] = START
+            end, change[k] = self._step(end, letters[k])
+        marked = fresh.any(0)
+        head = np.zeros(chunks, np.int64)
+        if not marked.all():
+            self._compose(letters, np.flatnonzero(~marked), end, head)
+        size = np.where(marked, fresh.argmax(0), 0)
+        order = np.argsort(-size, kind="stable")
+        falling = -size[order]
+        state = end[order - 1]  # the first chunk begins with a mark and is not walked
+        total = np.zeros(chunks, np.int64)
+        for k in range(int(size.max(initial=0))):
+            live = int(np.searchsorted(falling, -k, "left"))
+            state = state[:live].copy()
+            state, more = self._step(state, letters[k, order[:live]])
+            total[:live] += more
+        head[order] += total
+        return np.ascontiguousarray(change.T).reshape(-1)[:n], head
+
+    def _compose(self, letters: np.ndarray, chunks: np.ndarray, end: np.ndarray, head: np.ndarray) -> None:
+        """Sets the end states and counts of chunks without a mark, which lie behind each other or behind a chunk with one."""
+        first = np.flatnonzero(end[chunks - 1] != OPEN)
+        known, ends, counts = np.zeros(0, np.int32), [], []
+        new = np.unique(end[chunks[first] - 1])
+        while len(new) and len(known) + len(new) <= MAP_STATES:
+            known = np.concatenate([known, new])
+            for i in range(len(new)):
+                state, total = np.full(len(chunks), new[i], np.int32), np.zeros(len(chunks), np.int64)
+                for k in range(CHUNK):
+                    state, more = self._step(state, letters[k, chunks], known, end, new, *ends)
+                    total += more
+                ends.append(state)
+                counts.append(total)
+            new = np.setdiff1d(np.unique(np.concatenate(ends)), known).astype(np.int32)
+        if len(new):
+            for c in chunks.tolist():
+                s, total = int(end[c - 1]), 0
+                for b in letters[:, c].tolist():
+                    if self.to[s, b] < 0:
+                        self._grow(s, b)
+                    total, s = total + int(self.change[s, b]), int(self.to[s, b])
+                end[c], head[c] = s, total
+                if len(self.states) > self.max_states:
+                    self._drop_states(end)
+            return
+        sort = np.argsort(known)
+        place = lambda states: sort[np.searchsorted(known, states, sorter=sort)]
+        maps = np.stack([place(x) for x in ends], 1)
+        begins = place(end[chunks[first] - 1])
+        scan = maps.copy()
+        scan[first] = maps[first, begins][:, None]
+        shift = 1
+        while shift < len(chunks):  # scan[i] becomes the map from the chain's beginning over chunk i
+            scan[shift:] = np.take_along_axis(scan[shift:], scan[:-shift], 1)
+            shift *= 2
+        start = np.concatenate([[0], scan[:-1, 0]])
+        start[first] = begins
+        end[chunks], head[chunks] = known[scan[:, 0]], np.stack(counts, 1)[np.arange(len(chunks)), start]
 
 
 class Transducer:
@@ -269,35 +334,47 @@ class Transducer:
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
-        extra = np.zeros(len(texts), np.int64)
-        parts, owner = texts, np.arange(len(texts))
-        if any(s in t for s in self.specials for t in texts):
-            parts, owner = [], []
-            for k, t in enumerate(texts):
-                pieces = [t]
-                for s in self.specials:
-                    pieces = [y for x in pieces for y in x.split(s)]
-                extra[k] = len(pieces) - 1
-                parts += pieces
-                owner += [k] * len(pieces)
-            owner = np.array(owner)
+        out, parts, owner, held = np.zeros(len(texts), np.int64), [], [], 0
+        for k, t in enumerate(texts):
+            pieces = [t]
+            for s in self.specials:
+                pieces = [y for x in pieces for y in x.split(s)]
+            out[k] = len(pieces) - 1
+            for piece in (y for x in pieces for y in self.cut(x)):
+                if held + len(piece) > 2 * PART:
+                    np.add.at(out, owner, self._count(parts))
+                    parts, owner, held = [], [], 0
+                parts.append(piece)
+                owner.append(k)
+                held += len(piece)
+        if parts:
+            np.add.at(out, owner, self._count(parts))
+        return out
+
+    def cut(self, text: str) -> Iterator[str]:
+        """text in parts of about PART characters, each but the first beginning with a pre-token; without a place for that it stays whole."""
+        begin = 0
+        while len(text) - begin > PART and (m := SURE_BEGIN.search(text, begin + PART)):
+            yield text[begin : m.end()]
+            begin = m.end()
+        yield text[begin:]
+
+    def _count(self, parts: list[str]) -> np.ndarray:
         joined = "\n".join(parts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-        symbol = self.symbols(points, ends)
-        first = np.flatnonzero(self.begin_flags(symbol))
+        flags = self.begin_flags(self.symbols(points, ends)) == 1
         text = np.frombuffer(joined.encode(), np.uint8)
-        place = first
-        if len(text) != len(points):
-            width = np.ones(len(points), np.int64)
-            for least in (0x80, 0x800, 0x10000):
-                width += points >= least
-            place = (np.cumsum(width) - width)[first]
-        size = np.diff(place, append=len(text))
-        is_end = symbol[first] == END
-        row = np.cumsum(is_end)[~is_end]  # texts that ended before
-        counts = self.counter.counts(text, place[~is_end], size[~is_end])
-        return extra + np.bincount(owner[row], counts, len(texts)).astype(np.int64)
+        heads = np.flatnonzero((text & 0xC0) != 0x80) if len(text) != len(points) else slice(None)
+        marks = np.zeros(len(text), bool)
+        marks[heads] = flags
+        ends = ends if isinstance(heads, slice) else heads[ends]
+        change, head = self.counter.changes(text, marks)
+        change[ends] = 0  # line feeds between the parts
+        sums = np.concatenate([[0], np.cumsum(change, dtype=np.int64)])
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        of_chunk = np.searchsorted(ends, np.arange(len(head)) * CHUNK)
+        return sums[ends] - sums[begins] + np.bincount(of_chunk, head, len(parts)).astype(np.int64)
 
 
 _compiled: dict[str, Transducer] = {}
