@@ -44,6 +44,44 @@ def test_near_duplicate_stage(spark):
     assert sorted(map(str, got)) == sorted(str(w[0]) for w in want)
 
 
+def test_language_stage(spark):
+    """Rows go by language and score, and lang is the predicted one."""
+    from folioscope.llm import language as L
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen = {r.doc_id: r for r in L.identify(docs, L.fit(docs)).collect()}
+    got = {r.doc_id: r.lang for r in P.identify_language(spark, docs, "").collect()}
+    assert got == {d: r.lang_pred for d, r in seen.items() if r.lang_pred != "und" and r.score >= L.LEAST_SCORE} and len(got) > 900
+
+
+def test_results_outlive_another_run(spark, tmp_path):
+    """Results of operators, of a stage and of a first run can be read after a second run."""
+    from folioscope.llm import near_dup, sharding
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(folder + "/documents.parquet")
+    held = [near_dup.query(spark, folder), sharding.query(spark, folder), P.apply_quality_rules(spark, docs, folder), P.remove_repeated_lines(spark, docs, folder), P.remove_near_duplicates(spark, docs, folder), P.run(spark, folder)]
+    before = [x.count() for x in held]
+    again = P.run(spark, folder).count()
+    assert [x.count() for x in held] == before and before[:2] == [200, 200] and again == before[-1]
+
+
+def test_stages_on_files_copy_nothing(spark, monkeypatch):
+    """Rows read from Parquet files are named by their places, also where rows are repeated and files are several."""
+    from folioscope.llm import common
+
+    rows = test_line_dedup.made_up()
+    folder = common.materialize(table(spark, [(*r, "s") for r in rows]), "test-rows")
+    names, plain = [], common.materialize
+    for module in (P.line_dedup, P.near_dup, P.quality, common):
+        monkeypatch.setattr(module, "materialize", lambda df, name, **more: names.append(name) or plain(df, name, **more))
+    assert common.read_from_files(folder) and not common.read_from_files(folder.where("doc_id > 1"))
+    for stage in (P.apply_quality_rules, P.remove_repeated_lines, P.remove_near_duplicates):
+        in_memory = sorted(map(str, stage(spark, table(spark, [(*r, "s") for r in rows]), "").collect()))
+        names.clear()
+        assert sorted(map(str, stage(spark, folder, "").collect())) == in_memory and "keyed" not in names
+
+
 def test_run(spark):
     got = P.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "sequence_id", "length", "offset"} <= set(got.columns) and got.count() > 100
