@@ -1,8 +1,8 @@
 """Hilbert-curve ordering of documents into shards, with DataFrame functions only.
 
-Three metadata dimensions (host, language, characters) are quantised to 16 levels each at their
-quantiles (of whole strings, approximate ones of numbers), a table-driven Hilbert curve turns the levels into one index, and the
-documents in the order of (index, doc_id, crc) are cut into runs. Rows of a run are near each other
+Three metadata dimensions (host, language, characters) are quantised to 16 levels each at their exact
+quantiles, a table-driven Hilbert curve turns the levels into one index, and the documents in the
+order of (index, doc_id, crc) are cut into runs. Rows of a run are near each other
 in all three dimensions, so a file's minima and maxima prune reads along any of them. The law is
 ``rows``: the counts of two shards differ by one at most.
 
@@ -68,8 +68,8 @@ def hilbert_index(levels: list[Column], bits: int) -> Column:
     return index
 
 
-def string_quantiles(docs: DataFrame, dim: str, parts: int) -> list[str]:
-    """parts - 1 quantiles of whole strings from their grouped counts, summed up in range order."""
+def quantiles(docs: DataFrame, dim: str, parts: int) -> list:
+    """parts - 1 exact quantiles of whole values from their grouped counts, summed up in range order; a quantile below the least value is left out."""
     counts = docs.where(F.col(dim).isNotNull()).groupBy(F.col(dim).alias("value")).agg(F.count("*").alias("n"))
     ranged = materialize(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "shard-values")
     bases = prefix_bases(ranged.groupBy("part").agg(F.sum("n").alias("total")), "part", "total")
@@ -80,24 +80,13 @@ def string_quantiles(docs: DataFrame, dim: str, parts: int) -> list[str]:
     return [x for x in row if x is not None]
 
 
-def boundaries(docs: DataFrame, dims: list[str], bits: int) -> list[list]:
-    """2**bits - 1 quantiles of each dimension: exact ones of strings, of numbers a mergeable sketch, whatever the input's size."""
-    kinds = dict(docs.dtypes)
-    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    numbers = [d for d in dims if kinds[d] != "string"]
-    found = docs.agg(*(F.percentile_approx(F.col(d).cast("double"), shares, 2000).alias(d) for d in numbers)).first() if numbers else {}
-    return [list(found[d] or []) if d in numbers else string_quantiles(docs, d, 1 << bits) for d in dims]
-
-
 def placed(docs: DataFrame, dims: list[str], bits: int = BITS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every row with hilbert and rank, its place in the order of the curve, and total, the number of rows; written once."""
-    kinds = dict(docs.dtypes)
     levels = []
-    for d, cuts in zip(dims, boundaries(docs, dims, bits), strict=True):
-        value = F.col(d) if kinds[d] == "string" else F.col(d).cast("double")
+    for d in dims:
         level = F.lit(0)
-        for cut in cuts:
-            level = level + F.coalesce((value >= F.lit(cut)).cast("int"), F.lit(0))
+        for cut in quantiles(docs, d, 1 << bits):
+            level = level + F.coalesce((F.col(d) >= F.lit(cut)).cast("int"), F.lit(0))
         levels.append(level)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
@@ -122,13 +111,44 @@ def assign(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, ...] = ("sour
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, dims: tuple[str, ...] = ("source", "lang", "n_chars")) -> DataFrame:
-    """Write one folder of Parquet files for each shard, texts included; returns each shard's minima and maxima."""
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, dims: tuple[str, ...] = ("source", "lang", "n_chars"), rows_per_file: int = 1_000_000) -> DataFrame:
+    """Write one folder of Parquet files for each shard, texts included, each file a run of the curve; returns each shard's minima and maxima.
+
+    Rows are dealt by ranges of (shard, slot), so a shard is the work of as many tasks as its share of the rows.
+    """
     out = assign(docs, shards, dims, carry=tuple(c for c in dict.fromkeys((*dims, "text"))))
-    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    ordered = out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
     back = docs.sparkSession.read.parquet(path)
     return back.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *(f(d).alias(f"{n}_{d}") for d in dims for n, f in (("min", F.min), ("max", F.max))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(documents(spark, sf_dir, "doc_id", "text", "source", "lang", "n_chars"))
+
+
+def _oracle() -> str:
+    """The query in SQL: quantiles by running counts, the curve by its table, crc32 (polynomial 0xEDB88320, reflected) by its table over the bytes in hexadecimal."""
+    parts, crc = 1 << BITS, []
+    for k in range(256):
+        for _ in range(8):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        crc.append(k)
+    dims = ("source", "lang", "n_chars")
+    cuts = ", ".join(
+        f"q_{d} AS (SELECT list(q) AS cuts FROM (SELECT k, min(v) AS q FROM (SELECT {d} AS v, sum(count(*)) OVER (ORDER BY {d}) AS up_to, sum(count(*)) OVER () AS total FROM documents WHERE {d} IS NOT NULL GROUP BY {d}), range(1, {parts}) AS k(k) WHERE up_to * {parts} >= k * total GROUP BY k))"
+        for d in dims
+    )
+    levels = ", ".join(f"coalesce(len(list_filter((SELECT cuts FROM q_{d}), lambda q: q <= {d})), 0)::INT AS l{k}" for k, d in enumerate(dims))
+    walk, table = "SELECT *, 0 AS state, 0::BIGINT AS h FROM leveled", f"{curve_table(len(dims))}::INT[]"
+    for b in range(BITS - 1, -1, -1):
+        cell = " + ".join(f"((l{k} >> {b}) & 1) * {1 << len(dims) - 1 - k}" for k in range(len(dims)))
+        walk = f"SELECT * EXCLUDE (state, h, step), step >> {len(dims)} AS state, h * {1 << len(dims)} + (step & {(1 << len(dims)) - 1}) AS h FROM (SELECT *, list_extract({table}, state * {1 << len(dims)} + {cell} + 1) AS step FROM ({walk}))"
+    return f"""WITH {cuts}, leveled AS (SELECT doc_id, coalesce(text, '') AS t, {levels} FROM documents), curved AS ({walk}),
+    summed AS (SELECT doc_id, octet_length(encode(t)) + {FIXED_BYTES} AS size, h, xor(list_reduce(list_transform(range(octet_length(encode(t))), lambda i: ('0x' || substr(x, (2 * i + 1)::BIGINT, 2))::BIGINT),
+      lambda c, b: xor(c >> 8, list_extract({crc}::BIGINT[], (xor(c, b) & 255) + 1)), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM (SELECT *, hex(encode(t)) AS x FROM curved)),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY h, doc_id NULLS FIRST, text_crc32) - 1 AS place, count(*) OVER () AS total FROM summed)
+    SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (place * {SHARDS} // total)::INT AS shard, place - (place * {SHARDS} // total * total + {SHARDS - 1}) // {SHARDS} AS slot, NULL::INT AS grown_shard, h AS hilbert FROM ranked"""
+
+
+ORACLE_SQL = _oracle()

@@ -2,6 +2,7 @@
 
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,4 +51,17 @@ def test_strings_with_a_common_prefix(spark):
     cells = {r.source: r.n for r in S.assign(docs, carry=("source",)).groupBy("source").agg(F.count_distinct("hilbert").alias("n")).collect()}
     assert set(cells.values()) == {1} and len(cells) == 8
     assert S.assign(docs).select("hilbert").distinct().count() == 8
-    assert S.string_quantiles(docs, "source", 8) == [f"https://www.example{k}.org" for k in range(7)]
+    assert S.quantiles(docs, "source", 8) == [f"https://www.example{k}.org" for k in range(7)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 300])
+def test_against_sql(spark, tmp_path, n):
+    """Levels, curve, ranks, shards and checksums of the query against its DuckDB statement, with nulls, ties and equal metadata."""
+    rows = [(i, None if i % 9 == 0 else "tëxt 日 " * (i % 7), None if i % 8 == 0 else f"https://host{i * i % 23}", None if i % 5 == 0 else ("en", "de", "fr")[i % 3], None if i % 11 == 0 else i * 37 % 101) for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = S.query(spark, str(tmp_path))
+    result = db.execute(S.ORACLE_SQL)
+    at = [[d[0] for d in result.description].index(c) for c in got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[k] for k in at) for r in result.fetchall())
