@@ -5,8 +5,9 @@
 * ``decode``: the chunks of a stored file are parsed, 8-bit samples are expanded by lookup tables,
   ADPCM blocks are decoded in lockstep with one numpy lane for each block of a whole batch.
 * ``resample``: PCM at another rate through a windowed-sinc polyphase filter.
-* ``converted``: a table with resampled 16-bit PCM WAV files, which the query writes and describes.
-* ``store_pcm``: a media column as resampled 16-bit PCM WAV.
+* ``describe``: a stored media column read back: payload digests, features, and a ``pcm`` column of
+  resampled 16-bit WAV files, which is stored wherever the result is written.
+* ``store_pcm``: the same column for any media column.
 
 Defined results: a null or empty text has a payload of 192 spaces; repeated texts have equal values;
 an empty table gives no rows; extra columns are ignored; bytes that are not such a WAV file raise
@@ -38,10 +39,7 @@ BLOCK_HEADER = 4
 TAPS = 8
 
 MEDIA = "doc_id long, n_bytes long, codec string, media binary"
-RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string"
-CONVERTED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, pcm binary"
-#: Bytes of a row group of stored PCM, which a writing task holds in memory.
-PCM_BLOCK = 16 << 20
+RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, pcm binary"
 
 
 @cache
@@ -192,12 +190,12 @@ def resample(samples: np.ndarray, rate: int, target: int = TARGET_RATE) -> np.nd
 
 
 def feature(codec: str, pcm: np.ndarray, stored: bytes) -> str:
-    """Codec, samples, root mean square, peak, sign changes, and the crc of the stored PCM."""
-    x = pcm.astype(np.float32)
-    rms = float(np.sqrt(np.dot(x, x) / max(1, len(x)))) if len(x) < 1 << 16 else float(np.sqrt(np.mean(pcm.astype(np.float64) ** 2)))
-    peak = int(max(abs(int(pcm.max(initial=0))), abs(int(pcm.min(initial=0)))))
-    signs = np.signbit(x)
-    return f"{codec};n={len(pcm)};rms={rms:.1f};peak={peak};turns={int(np.count_nonzero(signs[1:] != signs[:-1]))};pcm={zlib.crc32(stored):08x}"
+    """Codec, samples, root mean square (of an exact sum of squares), peak, sign changes, and the crc of the resampled file."""
+    x = pcm.astype(np.int64)
+    rms = (int(np.dot(x, x)) / max(1, len(x))) ** 0.5
+    peak = int(np.abs(x).max(initial=0))
+    turns = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+    return f"{codec};n={len(pcm)};rms={rms:.1f};peak={peak};turns={turns};pcm={zlib.crc32(stored):08x}"
 
 
 def to_payload(text: bytes) -> bytes:
@@ -222,8 +220,8 @@ def store(docs: DataFrame, codec: str | None = None) -> DataFrame:
     return materialize(rows, "media", compression="zstd")
 
 
-def converted(media: DataFrame, target: int = TARGET_RATE) -> DataFrame:
-    """Reads a media column (doc_id, n_bytes, media) back: digests of the payloads and a pcm column, written to the shared folder."""
+def describe(media: DataFrame, target: int = TARGET_RATE) -> DataFrame:
+    """RESULT of a stored media column (doc_id, n_bytes, media): what is read back is decoded, resampled and described; pcm has the resampled files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,28 +231,12 @@ def converted(media: DataFrame, target: int = TARGET_RATE) -> DataFrame:
                 for file, (codec, rate, payload, samples) in zip(files, decode(files), strict=True):
                     pcm = resample(samples, rate, target)
                     image = wav(1, target, 16, 2, pcm.tobytes(), len(pcm))
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), codec, image))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature(codec, pcm, image), codec, image))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
                 arrays = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([doc_ids[i:j], n_bytes[i:j], *arrays], [x.split(" ")[0] for x in CONVERTED.split(", ")])
-
-    rows = media.select("doc_id", "n_bytes", "media").mapInArrow(run, CONVERTED)
-    return materialize(rows, "pcm", compression="zstd", **{"parquet.block.size": str(PCM_BLOCK)})
-
-
-def describe(media: DataFrame, target: int = TARGET_RATE) -> DataFrame:
-    """Payloads, digests and features of a media column (doc_id, n_bytes, media); the features are of the stored PCM, read back."""
-    names = [x.split(" ")[0] for x in RESULT.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codecs, stored = column(batch, "codec"), column(batch, "pcm")
-            for i, j in runs(byte_sizes(stored)):
-                images = stored[i:j].to_pylist()
-                found = [feature(c, np.frombuffer(parse(x)[3], "<i2"), x) for c, x in zip(codecs[i:j].to_pylist(), images, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()) if n == "feature" else column(batch, n)[i:j] for n in names], names)
+                yield pa.RecordBatch.from_arrays([doc_ids[i:j], n_bytes[i:j], *arrays], [x.split(" ")[0] for x in RESULT.split(", ")])
 
-    return converted(media, target).mapInArrow(run, RESULT)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, RESULT)
 
 
 def store_pcm(media: DataFrame, target: int = TARGET_RATE) -> DataFrame:

@@ -6,7 +6,6 @@ import zlib
 import numpy as np
 import pytest
 
-from folioscope.llm import common
 from folioscope.llm import telephony as T
 
 
@@ -77,11 +76,39 @@ def test_store_pcm(spark):
 
 
 def test_query_stores_pcm(spark, tmp_path):
+    """The result, written and read again, holds the resampled files that its features describe."""
     spark.createDataFrame([(k, "some text " * k * k) for k in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r.doc_id: r.feature for r in T.query(spark, str(tmp_path)).collect()}
-    table = next(t for _, t in reversed(common._written) if "/pcm-" in t.written_to)
-    stored = {r.doc_id: bytes(r.pcm) for r in table.collect()}
-    assert len(stored) == len(found) == 20
-    for k, pcm in stored.items():
+    T.query(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    stored = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert len(stored) == 20
+    for r in stored:
+        pcm = bytes(r.pcm)
         assert T.parse(pcm)[:2] == ("pcm", T.TARGET_RATE)
-        assert found[k].endswith(f";pcm={zlib.crc32(pcm):08x}") and f";n={len(T.parse(pcm)[3]) // 2};" in found[k]
+        samples = [int.from_bytes(T.parse(pcm)[3][k : k + 2], "little", signed=True) for k in range(0, len(T.parse(pcm)[3]), 2)]
+        rms = (sum(x * x for x in samples) / len(samples)) ** 0.5
+        turns = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:], strict=False))
+        assert r.feature == f"{r.codec};n={len(samples)};rms={rms:.1f};peak={max(map(abs, samples))};turns={turns};pcm={zlib.crc32(pcm):08x}"
+
+
+def plain_resample(samples, up, down):
+    """Each output sample as a sum over its filter's taps."""
+    h, n = T.phases(up, down), len(samples)
+    out = []
+    for k in range(-(-n * up // down)):
+        begin, phase = divmod(k * down, up)
+        total = sum(float(h[phase, t]) * samples[min(max(begin + t - T.TAPS + 1, 0), n - 1)] for t in range(2 * T.TAPS))
+        out.append(max(-32768, min(32767, total)))
+    return out
+
+
+@pytest.mark.parametrize("target", [16000, 12000, 11025])
+def test_resample_against_plain_sums(target):
+    samples = np.random.default_rng(target).integers(-9000, 9000, 300).astype(np.int16)
+    g = int(np.gcd(8000, target))
+    got, want = T.resample(samples, 8000, target), plain_resample(samples.tolist(), target // g, 8000 // g)
+    assert len(got) == len(want) and max(abs(a - b) for a, b in zip(got.tolist(), want, strict=True)) <= 1
+
+
+def test_one_root_mean_square_for_all_sizes():
+    pcm = np.full(70_001, 32767, np.int16)
+    assert ";rms=32767.0;peak=32767;turns=0;" in T.feature("alaw", pcm, b"") and ";rms=32767.0;" in T.feature("alaw", pcm[:60_000], b"")
