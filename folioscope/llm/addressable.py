@@ -5,9 +5,16 @@ the level's continuation bitmap says that the id goes on, and the id's next chun
 bit's rank in level 1, and so on. A rank directory holds the ones before each 512 bits, so a rank
 costs one lookup and at most 64 bytes of counting. No block is ever decoded to reach an id.
 
-A segment is one file image: header, document directory, then codes, bitmap and directory of each
-level. Segments are stored as rows of a Parquet table (payload BINARY), written in ascending
-doc_id order, so any store that Spark can write to holds them and a lost task leaves nothing.
+A segment is one image: header, document directory, then codes, bitmap and directory of each level. A
+file holds the segments of a run of documents one behind the other, as raw bytes without compression,
+so any byte of it is reached by its offset: ``FileReader`` opens a file and reads the few bytes that an
+id needs. Files are written through Spark's text writer (bytes pass as they are, a line feed ends the
+file) and its commit protocol, so any store that Spark can write to holds them and a lost task leaves
+nothing. A file's folder names tell its partition, its number there, and the ids before it and in it,
+so global positions come from a listing. Documents are in ascending doc_id order.
+
+The read-back takes every document by its own slice: the ranks of all documents' begins are looked up
+together at each level, and every document's last id is taken on its own as a check.
 
 Defined results: a null or empty text is a document of the end id alone; a null doc_id comes
 first; rows that share a doc_id follow in the order of their texts' hashes; an empty table gives
@@ -17,7 +24,9 @@ no rows; extra columns are ignored.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_sizes, column, documents, filled, join_bases, materialize, prefix_bases, runs
+from .common import byte_sizes, column, documents, filled, join_bases, prefix_bases, runs, shared_dir
 from .tokens import tokenizer_path, word_encoder
 
 QUERY = "op9_addressable_codes"
@@ -35,7 +44,10 @@ MAGIC = b"DAC1"
 HEADER = "<4sIQB"
 RANK_BITS = 512
 
-SEGMENTS = "part int, segment int, before long, n_docs int, n_ids long, payload binary"
+#: Bytes of segments in a file.
+FILE_BYTES = 32 << 20
+
+FILES = "part int, file int, before long, ids long, payload binary"
 READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -64,13 +76,13 @@ def build(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
 
 
 class Segment:
-    """Reads a file image in place."""
+    """Reads an image in place, from an offset of a buffer; size is its bytes."""
 
-    def __init__(self, image: bytes):
-        magic, n_docs, self.n_ids, n_levels = struct.unpack_from(HEADER, image)
+    def __init__(self, image, at: int = 0):
+        begin, (magic, n_docs, self.n_ids, n_levels) = at, struct.unpack_from(HEADER, image, at)
         if magic != MAGIC:
             raise ValueError("not a segment of directly addressable codes")
-        at = struct.calcsize(HEADER)
+        at += struct.calcsize(HEADER)
 
         def array(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -86,6 +98,7 @@ class Segment:
             (n,) = struct.unpack_from("<Q", image, at)
             at += 8
             self.levels.append((array("u1", n), array("u1", -(-n // 8)), array("<u4", -(-n // RANK_BITS))))
+        self.size = at - begin
 
     def rank(self, level: int, positions: np.ndarray) -> np.ndarray:
         """Ones in the level's bitmap before each position."""
@@ -114,63 +127,151 @@ class Segment:
                 break
         return out
 
+    def begins(self, positions: np.ndarray) -> list[np.ndarray]:
+        """Where the chunks of the ids from each position on begin at every level."""
+        out = [np.asarray(positions, np.int64)]
+        for level in range(len(self.levels) - 1):
+            out.append(self.rank(level, out[-1]))
+        return out
+
+    def slices(self, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids between neighbouring bounds, each slice on its own."""
+        at = [x.tolist() for x in self.begins(bounds)]
+        for k in range(len(bounds) - 1):
+            out, live = self.levels[0][0][at[0][k] : at[0][k + 1]].astype(np.uint32), None
+            for level in range(1, len(self.levels)):
+                begin, end = at[level][k], at[level][k + 1]
+                if begin == end:
+                    break
+                b, e = at[level - 1][k], at[level - 1][k + 1]
+                more = np.flatnonzero(np.unpackbits(self.levels[level - 1][1][b >> 3 : (e + 7) >> 3], bitorder="little")[b & 7 : (b & 7) + e - b])
+                live = more if live is None else live[more]
+                out[live] |= self.levels[level][0][begin:end].astype(np.uint32) << np.uint32(8 * level)
+            yield out
+
     def slice(self, begin: int, end: int) -> np.ndarray:
-        """The ids of positions [begin, end): one rank a level finds where their chunks begin."""
-        codes, bits, _ = self.levels[0]
-        out = codes[begin:end].astype(np.uint32)
-        live = None
-        for level in range(1, len(self.levels)):
-            flags = np.unpackbits(bits[begin >> 3 : (end + 7) >> 3], bitorder="little")[begin & 7 : (begin & 7) + end - begin]
-            more = np.flatnonzero(flags)
-            if not len(more):
+        """The ids of positions [begin, end)."""
+        return next(self.slices(np.array([begin, end])))
+
+
+def segments(content) -> Iterator[Segment]:
+    """The segments of a file's bytes; the line feed at its end is none of them."""
+    at = 0
+    while len(content) - at > 1:
+        found = Segment(content, at)
+        at += found.size
+        yield found
+
+
+class FileReader:
+    """Random access to the ids of a file: reads only the headers once, and then the bytes that an id needs.
+
+    ``source`` is a seekable binary file. ``bytes_read`` counts what was read.
+    """
+
+    def __init__(self, source):
+        self.source, self.bytes_read = source, 0
+        source.seek(0, 2)
+        size, at, ids = source.tell() - 1, 0, 0
+        self.firsts: list[int] = []
+        self.tables: list[list[tuple[int, int, int]]] = []  # of each segment and level: offsets of codes, bitmap, directory
+        while at < size:
+            magic, n_docs, n_ids, n_levels = struct.unpack(HEADER, self._read(at, struct.calcsize(HEADER)))
+            if magic != MAGIC:
+                raise ValueError("not a file of directly addressable codes")
+            at += struct.calcsize(HEADER) + 17 * n_docs
+            levels = []
+            for _ in range(n_levels):
+                (n,) = struct.unpack("<Q", self._read(at, 8))
+                levels.append((at + 8, at + 8 + n, at + 8 + n + -(-n // 8)))
+                at = levels[-1][2] + 4 * -(-n // RANK_BITS)
+            self.firsts.append(ids)
+            self.tables.append(levels)
+            ids += n_ids
+        self.n_ids = ids
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.source.seek(at)
+        self.bytes_read += n
+        return self.source.read(n)
+
+    def __getitem__(self, position: int) -> int:
+        """The id at a position of the file."""
+        if not 0 <= position < self.n_ids:
+            raise IndexError(position)
+        k = bisect_right(self.firsts, position) - 1
+        at, out = position - self.firsts[k], 0
+        for level, (codes, bits, ranks) in enumerate(self.tables[k]):
+            out |= self._read(codes + at, 1)[0] << 8 * level
+            block = at // RANK_BITS
+            word = int.from_bytes(self._read(bits + block * (RANK_BITS // 8), at // 8 + 1 - block * (RANK_BITS // 8)), "little")
+            place = at % RANK_BITS
+            if not word >> place & 1:
                 break
-            live = more if live is None else live[more]
-            begin = int(self.rank(level - 1, np.array([begin]))[0])
-            end = begin + len(more)
-            codes, bits, _ = self.levels[level]
-            out[live] |= codes[begin:end].astype(np.uint32) << np.uint32(8 * level)
+            at = int.from_bytes(self._read(ranks + 4 * block, 4), "little") + (word & ((1 << place) - 1)).bit_count()
         return out
 
 
 def write(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """Tokenize docs in ascending doc_id order and write their segments; returns the written table."""
+    """Tokenize docs in ascending doc_id order and write their files; returns them as a table (path, content, part, file, before, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = word_encoder(path)
-        part, segment, before = TaskContext.get().partitionId(), 0, 0
+        code, part = word_encoder(path), TaskContext.get().partitionId()
+        file, before, n_ids, images = 0, 0, 0, []
+
+        def finished() -> pa.RecordBatch:
+            row = ((part, pa.int32()), (file, pa.int32()), (before, pa.int64()), (n_ids, pa.int64()), (b"".join(images), pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in row], [x.split(" ")[0] for x in FILES.split(", ")])
+
         for batch in batches:
             texts, doc_ids = filled(column(batch, "text")), column(batch, "doc_id")
             for i, j in runs(byte_sizes(texts)):
                 ids, counts = code.encode_run(texts[i:j].to_pylist())
-                ids = np.insert(ids, np.cumsum(counts), end_id)
                 lengths = counts + 1
-                image = build(doc_ids[i:j].to_pylist(), lengths, ids)
-                n = int(lengths.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (segment, pa.int32()), (before, pa.int64()), (j - i, pa.int32()), (n, pa.int64()), (image, pa.binary()))], ["part", "segment", "before", "n_docs", "n_ids", "payload"])
-                segment, before = segment + 1, before + n
+                images.append(build(doc_ids[i:j].to_pylist(), lengths, np.insert(ids, np.cumsum(counts), end_id)))
+                n_ids += int(lengths.sum())
+                if sum(map(len, images)) >= FILE_BYTES:
+                    yield finished()
+                    file, before, n_ids, images = file + 1, before + n_ids, 0, []
+        if images:
+            yield finished()
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(ordered.mapInArrow(run, SEGMENTS), "addressable")
+    spark, keys = docs.sparkSession, [x.split(" ")[0] for x in FILES.split(", ")][:-1]
+    folder = f"{shared_dir(spark)}/addressable-{uuid.uuid4().hex}"
+    files = ordered.mapInArrow(run, FILES)
+    files.select(*keys, F.col("payload").cast("string").alias("value")).write.partitionBy(*keys).text(folder)
+    return read_files(spark, folder)
+
 
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files under a folder that ``write`` has made; of an empty table there are none."""
+    kinds = FILES.rpartition(", ")[0]
+    found = spark.read.format("binaryFile").load(folder)
+    if "part" not in found.columns:
+        return spark.createDataFrame([], f"path string, content binary, {kinds}")
+    return found.select("path", "content", *(F.col(x.split(" ")[0]).cast(x.split(" ")[1]) for x in kinds.split(", ")))
 
-def read_back(segments: DataFrame) -> DataFrame:
-    """Each document of the written segments; a segment is decoded whole and cut at its documents' ends."""
-    bases = prefix_bases(segments.groupBy("part").agg(F.sum("n_ids").alias("total")), "part", "total")
+
+def read_back(files: DataFrame, end_id: int = END_ID) -> DataFrame:
+    """Each document of the written files, by its own slice."""
+    bases = prefix_bases(files.groupBy("part").agg(F.sum("ids").alias("total")), "part", "total")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                s = Segment(column(batch, "payload")[k].as_py())
-                ends = np.cumsum(s.lengths)
-                begins = ends - s.lengths
-                ids = memoryview(s.slice(0, s.n_ids).astype("<u4").view(np.uint8))
-                crc = [zlib.crc32(ids[4 * b : 4 * e]) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
-                start = column(batch, "start")[k].as_py() + begins
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(start), pa.array(s.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    placed = join_bases(segments.select("part", "before", "payload"), bases, "part")
-    return placed.select((F.col("base") + F.col("before")).alias("start"), "payload").mapInArrow(run, READ_BACK)
+                start = column(batch, "start")[k].as_py()
+                for s in segments(column(batch, "content")[k].as_buffer()):
+                    bounds = np.concatenate([[0], np.cumsum(s.lengths)])
+                    if (s.take(bounds[1:] - 1) != end_id).any():
+                        raise ValueError("a document does not end with the end id")
+                    crc = [zlib.crc32(ids.astype("<u4", copy=False).view(np.uint8)) for ids in s.slices(bounds)]
+                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(start + bounds[:-1]), pa.array(s.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    start += s.n_ids
+
+    placed = join_bases(files.select("part", "before", "content"), bases, "part")
+    return placed.select((F.col("base") + F.col("before")).alias("start"), "content").mapInArrow(run, READ_BACK)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """op9: exact round trips, random access, brute force against the library."""
 
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from folioscope.llm import addressable as A
+from folioscope.llm.common import runs as plain_runs
 from folioscope.llm.tokens import tokenizer_path
 
 ROWS = [(3, "A word, two  words\n\nCafé 日本 😀 it's"), (1, ""), (2, None), (None, "x"), (7, "same same"), (7, "other"), (4, "longer " * 3000)]
@@ -20,6 +22,8 @@ def test_every_position(n, top):
     assert (s.take(np.arange(n)) == ids).all() and s.doc_ids == [5, None]
     for b, e in ((0, n), (n // 3, n // 2), (n - 1, n)):
         assert (s.slice(b, e) == ids[b:e]).all()
+    bounds = np.unique([0, n // 5, n // 3, n // 3 + 1, n - 1, n])
+    assert [x.tolist() for x in s.slices(bounds)] == [ids[b:e].tolist() for b, e in zip(bounds, bounds[1:], strict=False)]
 
 
 def test_against_library(spark):
@@ -37,6 +41,28 @@ def test_against_library(spark):
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_tokens, r.ids_crc32)) for r in got)
 
 
+def test_files_by_offset(spark, monkeypatch):
+    """Any id of a written file is reached with a few bytes, and the files hold the documents in order."""
+    monkeypatch.setattr(A, "runs", lambda sizes: plain_runs(sizes, 3000))
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    rows = [(k, f"text {k} of many words, " * (k % 40)) for k in range(200)]
+    files = A.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tokenizer_path("word_bpe_49k.json")).orderBy("part", "file").collect()
+    want = [i for _, x in rows for i in [*t.encode(x, add_special_tokens=False).ids, 1]]
+    at = 0
+    for f in files:
+        with open(urllib.parse.unquote(f.path.removeprefix("file:")), "rb") as source:
+            assert source.read() == bytes(f.content) and len(list(A.segments(bytes(f.content)))) > 1
+            reader = A.FileReader(source)
+            assert reader.n_ids == f.ids
+            for k in [0, 1, f.ids // 2, *range(7, f.ids, 97), f.ids - 1]:
+                before = reader.bytes_read
+                assert reader[k] == want[at + k] and reader.bytes_read - before <= 2 * (1 + 64 + 4)
+            with pytest.raises(IndexError):
+                reader[f.ids]
+        at += f.ids
+    assert at == len(want)
+
+
 def test_empty_table(spark):
     assert A.read_back(A.write(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path("word_bpe_49k.json"))).count() == 0
 
