@@ -193,14 +193,18 @@ def join_bases(big: DataFrame, bases: DataFrame, on: str) -> DataFrame:
 BROADCAST_BYTES = 32 << 20
 
 
+def is_small(written: DataFrame) -> bool:
+    """Whether the measured size of a written table lets it, or a part of it, go to all executors."""
+    spark = written.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(written.written_to)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength() <= BROADCAST_BYTES
+
+
 def join_measured(big: DataFrame, written: DataFrame, on: str, how: str) -> DataFrame:
     """Join a written table: as a broadcast when its measured size is within bounds, else as any join."""
     from pyspark.sql import functions as F
 
-    spark = big.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(written.written_to)
-    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return big.join(F.broadcast(written) if size <= BROADCAST_BYTES else written, on, how)
+    return big.join(F.broadcast(written) if is_small(written) else written, on, how)
 
 
 def prefix_bases(totals: DataFrame, key: str, value: str) -> DataFrame:

@@ -15,12 +15,13 @@ the hash evaluations of plain MinHash fill the bands. 36 permutations make 24 ba
 4. The components of the links are the groups.
 
 No pair list is ever made. A bucket or cluster of BLOCK members at most is one block, in which all
-pairs are compared. In a larger one every member is first compared with PIVOTS of its members; those
-that fit the pivot with the most fits are settled, as they are in one component with it. Pairs of two
-settled members need no look any more: only the others are dealt to blocks, with each other and with
-the settled ones. So n members of which r are not settled cost n rows for the pivots and about
-2 * n * r / BLOCK + n rows in blocks, which is in proportion to n for a group of copies. Components
-come from alternating large- and small-star steps over written tables.
+pairs are compared. In a larger one every member is first compared with two pivots, its members of the
+least and the greatest name; those that fit the pivot with more fits are settled, as they are in one
+component with it. Pairs of two settled members need no look any more: only the others are dealt to
+blocks, with each other and with the settled ones. So n members of which r are not settled cost 2 * n
+rows for the pivots and, if r > 0, about 2 * n * r / BLOCK + n rows in blocks, which is in proportion to
+n for a group of copies. Components come from alternating large- and small-star steps over written
+tables.
 
 Defined results: a text without words (null, empty, white space) has an empty set and is linked with
 nothing; rows that share a doc_id are documents of their own; a null doc_id counts as larger than
@@ -37,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HASH_RUN_BYTES, Keyed, byte_sizes, column, documents, filled, join_measured, materialize, mix64, random_words, release, row_type, runs
+from .common import HASH_RUN_BYTES, Keyed, byte_sizes, column, documents, filled, is_small, join_measured, materialize, mix64, random_words, release, row_type, runs
 from .textkit import Texts
 
 QUERY = "op4_near_dup"
 WORDS, PERCENT = 5, 75
 PERMUTATIONS, BAND_ROWS = 36, 3
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
-BLOCK, PIVOTS = 512, 4
+BLOCK = 512
 #: Agreeing signature values that a pair of similarity 0.75 has but for five standard deviations.
 LEAST_AGREEING = int(2 * PERMUTATIONS * 0.75 - 5 * (2 * PERMUTATIONS * 0.75 * 0.25) ** 0.5)
 MULTIPLIERS = random_words(PERMUTATIONS, 1) | np.uint64(1)
@@ -113,45 +114,41 @@ def in_blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
     return mine.withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other")).drop("other", size)
 
 
-def across(rest: DataFrame, settled: DataFrame, key: str) -> DataFrame:
-    """Deals rest and settled rows of each key, with their numbers in r and s, to blocks that hold every row of one together with every row of the other."""
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Deals rows of large groups (r of them not settled, s settled; ``settled`` marks them) to blocks that hold every pair with a row that is not settled."""
     parts = {c: F.expr(f"cast((`{c}` + {BLOCK - 1}) div {BLOCK} as int)") for c in ("r", "s")}
-    part = lambda c: F.pmod(F.xxhash64("node"), parts[c]).cast("int")
-    left = rest.where("s > 0").withColumn("side", F.lit(-1)).withColumn("one", part("r")).withColumn("two", F.explode(F.sequence(parts["r"], parts["r"] + parts["s"] - 1)))
-    right = settled.where("r > 0").withColumn("side", F.lit(-2)).withColumn("one", F.explode(F.sequence(F.lit(0), parts["r"] - 1))).withColumn("two", part("s") + parts["r"])
-    return left.unionByName(right).drop("r", "s")
-
-
-def settle(large: DataFrame, key: str, fits) -> tuple[DataFrame, DataFrame]:
-    """Stars of the settled members of large groups, and the blocks that are left to compare; large is a written table (key, m, node and more).
-
-    fits(rows) gives node, pivot and key of the rows (node, more, pivot, pivot_more) that fit their pivot.
-    """
-    more = [c for c in large.columns if c not in (key, "m", "node")]
-    picked = large.groupBy(key).agg(*(F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)))
-    named = picked.select(key, F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("node"))
-    pivots = materialize(large.join(named, [key, "node"], "left_semi").select(key, F.col("node").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in more)).distinct(), "near-pivots")
-    tested = materialize(fits(join_measured(large, pivots, key, "inner").select(key, "node", *more, "pivot", *(f"pivot_{c}" for c in more))), "near-tested")
-    best = tested.groupBy(key, "pivot").agg(F.count("*").alias("c")).groupBy(key).agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
-    star = materialize(tested.join(best, [key, "pivot"], "left_semi"), "near-stars")
-    release(tested, pivots)
-    counted = large.select(key, "m", "node").join(star.select(key, "node").withColumn("in", F.lit(1)), [key, "node"], "left")
-    sizes = counted.groupBy(key).agg(F.count("in").alias("s"), F.count(F.when(F.col("in").isNull(), 1)).alias("r"))
-    rows = large.drop("m").join(sizes, key)
-    rest, settled = (rows.join(star.select(key, "node"), [key, "node"], how) for how in ("left_anti", "left_semi"))
-    return star.select(F.col("node").alias("a"), F.col("pivot").alias("b")), in_blocks(rest.drop("s"), key, "r").unionByName(across(rest, settled, key))
+    mine = {c: F.pmod(F.xxhash64("node"), F.greatest(parts[c], F.lit(1))).cast("int") for c in ("r", "s")}
+    place = lambda one, two, side: F.struct(one.cast("int").alias("one"), two.cast("int").alias("two"), side.cast("int").alias("side"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    among = F.transform(upto(parts["r"]), lambda k: place(F.least(mine["r"], k), F.greatest(mine["r"], k), mine["r"]))
+    across = F.transform(upto(parts["s"]), lambda k: place(mine["r"], parts["r"] + k, F.lit(-1)))
+    met = F.transform(upto(parts["r"]), lambda k: place(k, parts["r"] + mine["s"], F.lit(-2)))
+    at = F.explode(F.when(F.col("settled"), met).otherwise(F.concat(among, across)))
+    return rows.select("*", at.alias("at")).select("*", "at.one", "at.two", "at.side").drop("at", "r", "s", "settled")
 
 
 def linked(groups: DataFrame, key: str, members, compare, fits) -> DataFrame:
-    """EDGES that join the fitting pairs of every group of groups (key, m).
+    """EDGES that join the fitting pairs of every group of a written table of groups (key, m, least, most: the members of the least and the greatest name).
 
-    members(groups) gives (key, m, node and more) of some groups; compare does a table of blocks, fits one of rows with pivots.
+    members(groups) gives (key, node, more) of some groups, with their other columns; compare does a
+    table of blocks; fits(groups) gives key, node, pivot of the members that fit least or most.
     """
-    if groups.where(F.col("m") > BLOCK).isEmpty():
-        return compare(in_blocks(members(groups), key, "m"))
-    small = compare(in_blocks(members(groups.where(F.col("m") <= BLOCK)), key, "m"))
-    star, blocks = settle(materialize(members(groups.where(F.col("m") > BLOCK)), "near-large"), key, fits)
-    return small.union(star).union(compare(blocks))
+    names = lambda df: df.select(key, "m")
+    small = compare(in_blocks(members(names(groups.where(F.col("m") <= BLOCK))), key, "m"))
+    large = groups.where(F.col("m") > BLOCK)
+    if large.isEmpty():
+        return small
+    tested = materialize(fits(large), "near-tested")
+    best = tested.groupBy(key, "pivot").agg(F.count("*").alias("c")).groupBy(key).agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
+    star = materialize(tested.join(best, [key, "pivot"]).select(key, "node", "pivot").distinct(), "near-stars")
+    release(tested)
+    edges = small.union(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    settled = star.groupBy(key).agg(F.count("*").alias("s"))
+    sizes = materialize(large.join(settled, key, "left").select(key, F.coalesce("s", F.lit(0)).alias("s"), (F.col("m") - F.coalesce("s", F.lit(0))).alias("r")).where("r > 0"), "near-rest")
+    if sizes.isEmpty():
+        return edges
+    marked = members(sizes).join(star.select(key, "node", F.lit(True).alias("settled")), [key, "node"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    return edges.union(compare(dealt(marked, key)))
 
 
 def by_blocks(blocks: DataFrame, key: str) -> DataFrame:
@@ -289,19 +286,63 @@ def components(edges: DataFrame) -> DataFrame:
         state = found
 
 
-def with_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """nodes (node, cluster, m, rep) with the shingles of the representative's text, read again from docs (doc_id, text_hash, text)."""
+def with_sets(nodes: DataFrame, docs: DataFrame, is_few: bool) -> DataFrame:
+    """nodes (w_id, w_hash: doc_id and text hash of a text, and others) with the shingles of that text, read again from docs (doc_id, text_hash, text); is_few: nodes are within a measured bound."""
+    kept = [c for c in nodes.columns if c not in ("w_id", "w_hash")]
+    kinds = dict(nodes.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(column(batch, "text"))
             for i, j in runs(byte_sizes(texts), HASH_RUN_BYTES):
                 sets = [s.astype("<u8").tobytes() for s in Texts(texts[i:j].to_pylist()).shingles(WORDS)]
-                yield pa.RecordBatch.from_arrays([*(column(batch, c)[i:j] for c in ("cluster", "m", "node")), pa.array(sets, pa.binary())], ["cluster", "m", "node", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(column(batch, c)[i:j] for c in kept), pa.array(sets, pa.binary())], [*kept, "shingles"])
+
+    met = docs.join(F.broadcast(nodes) if is_few else nodes, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+    return met.select(*kept, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", shingles binary")
+
+
+def with_pivots(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """rows (least, most and others), once for each of the two pivots, with the columns of a written table of pivots (pivot, others)."""
+    each = rows.withColumn("pivot", F.explode(F.array_distinct(F.array("least", "most")))).drop("least", "most")
+    return join_measured(each, pivots, "pivot", "inner")
+
+
+def pivots_of(large: DataFrame) -> DataFrame:
+    return large.select(F.explode(F.array("least", "most")).alias("node")).distinct()
+
+
+def plausible_edges(classes: DataFrame) -> DataFrame:
+    """EDGES of the plausible pairs of classes (node, n, sketch), a written table."""
+    width = 4 * BAND_ROWS
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sketch", k * width + 1, F.lit(width))))
+    bands = classes.select(F.explode(keys).alias("key"), "node")
+    sized = F.count("*").alias("m"), F.min("node").alias("least"), F.max("node").alias("most")
+    shared = materialize(bands.groupBy("key").agg(*sized).where("m > 1"), "near-buckets")
+    sketched = classes.select("node", "n", "sketch")
+    members = lambda some: bands.join(some, "key").join(sketched, "node")
+
+    def fits(large: DataFrame) -> DataFrame:
+        pivots = materialize(pivots_of(large).join(sketched, "node").toDF("pivot", "pivot_n", "pivot_sketch"), "near-pivots")
+        return plausible_with_pivot(with_pivots(members(large.drop("m")), pivots))
+
+    return linked(shared, "key", members, plausible, fits)
 
-    wanted = nodes.select("cluster", "m", "node", F.col("rep.doc_id").alias("w_id"), F.col("rep.text_hash").alias("w_hash"))
-    met = docs.join(wanted, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    return met.select("cluster", "m", "node", "text").mapInArrow(run, "cluster binary, m long, node binary, shingles binary")
+
+def confirmed_edges(clusters: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """EDGES of the true links inside clusters (node, cluster) of classes (node, rep)."""
+    rep = classes.select("node", F.col("rep.doc_id").alias("w_id"), F.col("rep.text_hash").alias("w_hash"))
+    wanted = materialize(clusters.join(rep, "node"), "near-wanted")
+    is_few = is_small(wanted)
+    sizes = materialize(wanted.groupBy("cluster").agg(F.count("*").alias("m"), F.min("node").alias("least"), F.max("node").alias("most")), "near-clusters")
+    members = lambda some: with_sets(wanted.join(some, "cluster"), docs, is_few)
+
+    def fits(large: DataFrame) -> DataFrame:
+        sets = with_sets(wanted.join(pivots_of(large), "node").select(F.col("node").alias("pivot"), "w_id", "w_hash"), docs, is_few)
+        pivots = materialize(sets.groupBy("pivot").agg(F.first("shingles").alias("pivot_shingles")), "near-pivots")
+        return confirmed_with_pivot(with_pivots(members(large.drop("m")), pivots))
+
+    return linked(sizes, "cluster", members, confirmed, fits)
 
 
 def group_rows(docs: DataFrame) -> DataFrame:
@@ -311,15 +352,8 @@ def group_rows(docs: DataFrame) -> DataFrame:
     classes = materialize(
         rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "near-classes"
     )
-    width = 4 * BAND_ROWS
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sketch", k * width + 1, F.lit(width))))
-    bands = classes.select(F.explode(keys).alias("key"), "node")
-    shared = materialize(bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "near-buckets")
-    bucketed = lambda some: bands.join(some, "key").join(classes.select("node", "n", "sketch"), "node").select("key", "m", "node", "n", "sketch")
-    clusters = components(linked(shared, "key", bucketed, plausible, plausible_with_pivot)).withColumnRenamed("root", "cluster")
-    sizes = materialize(clusters.groupBy("cluster").agg(F.count("*").alias("m")), "near-clusters")
-    inside = lambda some: with_sets(clusters.join(some, "cluster").join(classes.select("node", "rep"), "node").select("node", "cluster", "m", "rep"), docs)
-    groups = components(linked(sizes, "cluster", inside, confirmed, confirmed_with_pivot))
+    clusters = components(plausible_edges(classes)).withColumnRenamed("root", "cluster")
+    groups = components(confirmed_edges(clusters, classes, docs))
     placed = groups.join(classes.select("node", "least_id"), "node")
     named = placed.join(placed.groupBy("root").agg(F.min("least_id").alias("group_id")), "root").select("node", "group_id", "root")
     joined = classes.select("node", "least_id").join(named, "node", "left")

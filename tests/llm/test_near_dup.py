@@ -79,7 +79,7 @@ def test_large_groups_cost_rows_in_proportion(spark, monkeypatch):
     dealt = []
     plain = N.by_blocks
     monkeypatch.setattr(N, "by_blocks", lambda blocks, key: dealt.append((key, blocks.count())) or plain(blocks, key))
-    for n in (300, 1200):
+    for n in (200, 600):
         rng, base, dealt[:] = random.Random(n), [f"b{k}" for k in range(200)], []
         rows = []
         for k in range(n):
