@@ -23,13 +23,10 @@ def uncovered(source: Column, markdown: Column) -> Column:
 
 
 def table_blocks(markdown: Column) -> Column:
-    """Runs of lines that begin with a bar and a space."""
+    """Runs of lines that begin with a bar and a space: between other lines, joined by a character that no line holds."""
     starts = lambda s: F.startswith(s, F.lit("| "))
-    lines = T.split_lines(markdown)
-    step = lambda done, s: F.when(
-        starts(s), F.struct(F.lit(True).alias("open"), F.when(done["open"], F.concat(F.slice(done["all"], 1, F.greatest(F.lit(0), F.size(done["all"]) - 1)), F.array(F.concat(F.try_element_at(done["all"], F.lit(-1)), F.lit("\n"), s)))).otherwise(F.concat(done["all"], F.array(s))).alias("all"))
-    ).otherwise(F.struct(F.lit(False).alias("open"), done["all"].alias("all")))
-    return F.aggregate(lines, F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("all")), step, lambda d: d["all"])
+    marked = F.transform(T.split_lines(markdown), lambda s: F.when(starts(s), s).otherwise(F.lit("\x0b")))
+    return F.transform(F.filter(F.split(F.array_join(marked, "\n"), "\x0b", -1), lambda r: F.btrim(r, F.lit("\n")) != ""), lambda r: F.btrim(r, F.lit("\n")))
 
 
 def has_footnotes(text: Column) -> Column:
@@ -101,6 +98,6 @@ def line_centers(raw_lines: DataFrame, page_lines: DataFrame) -> DataFrame:
     """doc_id, raw_no, center: the middle of the first page line that begins with the raw line's first 20 characters, null for none."""
     probe = raw_lines.select("doc_id", "raw_no", F.substring(T.norm(F.col("text")), 1, 20).alias("probe"))
     lines = page_lines.select("doc_id", "line_no", T.norm(F.col("text")).alias("normal"), ((F.col("y0") + F.col("y1")) / 2).alias("center"))
-    # Probes of full length meet by an equal prefix; shorter ones, which are few, by a residual condition.
+    # Lines meet by their page; the prefix is a residual of that equi-join.
     met = probe.alias("p").join(lines.alias("l"), (F.col("p.doc_id") == F.col("l.doc_id")) & F.startswith(F.col("l.normal"), F.col("p.probe")), "left")
     return met.groupBy(F.col("p.doc_id").alias("doc_id"), "raw_no").agg(F.min_by("center", "line_no").alias("center"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, mean
+
 
 def banned(ids: Column, n: int = 35, window: int = 128, allowed: list | None = None) -> Column:
     """Distinct ids that would repeat an n-gram of the window, in order of their values; allowed ones are taken out."""
@@ -84,15 +86,14 @@ def throughput(snapshots: DataFrame, keys: list[str]) -> DataFrame:
 
 def rms_norm(values: Column, weight: float = 1.0, eps: float = 1e-6) -> Column:
     """Values by the root of their mean square."""
-    square = F.aggregate(values, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")) / F.size(values)
-    return F.transform(values, lambda v: v.cast("double") / F.sqrt(square + eps) * weight)
+    square = lambda own: F.sqrt(mean(F.transform(own, lambda v: v * v)) + eps)
+    return let(values.cast("array<double>"), lambda own: let(square(own), lambda root: F.transform(own, lambda v: v / root * weight)))
 
 
 def layer_norm(values: Column, eps: float = 1e-6) -> Column:
     """Values less their mean, by their population deviation."""
-    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.size(values)
-    spread = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v.cast("double") - mean) * (v.cast("double") - mean)) / F.size(values)
-    return F.transform(values, lambda v: (v.cast("double") - mean) / F.sqrt(spread + eps))
+    centred = lambda own: let(mean(own), lambda m: F.transform(own, lambda v: v - m))
+    return let(centred(values.cast("array<double>")), lambda own: let(F.sqrt(mean(F.transform(own, lambda v: v * v)) + eps), lambda root: F.transform(own, lambda v: v / root)))
 
 
 def grid_rows(rows: Column, cols: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +19,12 @@ LANGUAGES = {
     "zh-CN": "简体中文", "zh-TW": "繁體中文", "en": "English", "ja": "日本語", "ko": "한국어", "fr": "Français", "de": "Deutsch",
     "es": "Español", "pt": "Português", "ru": "Русский", "ar": "العربية", "th": "ไทย", "vi": "Tiếng Việt", "id": "Bahasa Indonesia",
 }
+#: The wording of requests, with the target, the source and the number of items to be filled in. Fixed values.
+SYSTEM_TARGET = "You are a professional translator. Translate to {}. Source language: {}. "
+SYSTEM_FORM = 'Output ONLY valid JSON: {"translations": [{"index": 0, "translated": "..."}]}. You MUST translate ALL '
+SYSTEM_RULES = " items. Do not skip any. IMPORTANT: In the translated field, output ONLY the translated text. Do NOT include any labels, tags, prefixes like [title] or [text]."
 ANSWER = "array<struct<index:int,translated:string>>"
+#: One complete object of an answer. Fixed value.
 COMPLETE = r'\{\s*"index"\s*:\s*(\d+)\s*,\s*"translated"\s*:\s*"((?:[^"\\]|\\.)*)"\s*\}'
 
 
@@ -38,11 +45,7 @@ def prompts(batched: DataFrame, keys: list[str], source: str = "auto", target: s
     rows = batched.groupBy(*keys, "batch_no").agg(F.sort_array(F.collect_list(F.struct("index", "text"))).alias("items"))
     n = F.size("items").cast("string")
     source_label = "auto-detect" if source == "auto" else LANGUAGES.get(source, source)
-    system = F.concat(
-        F.lit(f"You are a professional translator. Translate to {LANGUAGES.get(target, target)}. Source language: {source_label}. "),
-        F.lit('Output ONLY valid JSON: {"translations": [{"index": 0, "translated": "..."}]}. You MUST translate ALL '), n,
-        F.lit(" items. Do not skip any. IMPORTANT: In the translated field, output ONLY the translated text. Do NOT include any labels, tags, prefixes like [title] or [text]."),
-    )
+    system = F.concat(F.lit(SYSTEM_TARGET.format(LANGUAGES.get(target, target), source_label) + SYSTEM_FORM), n, F.lit(SYSTEM_RULES))
     user = F.concat(F.lit("Text blocks ("), n, F.lit(" items):\n"), F.array_join(F.transform("items", lambda i: F.concat(i["index"].cast("string"), F.lit(": "), i["text"])), "\n"))
     return rows.select(*keys, "batch_no", system.alias("system"), user.alias("user"), "items")
 
@@ -71,10 +74,9 @@ def parse_answer(answer: Column) -> Column:
     """(index, translated) of an answer: its JSON, or every complete object of JSON that was cut; null where nothing is left."""
     body = T.fenced(T.strip(answer))
     whole = F.from_json(body, f"translations {ANSWER}", {"mode": "PERMISSIVE"})["translations"]
-    pairs = F.arrays_zip(F.regexp_extract_all(body, F.lit(COMPLETE), F.lit(1)), F.regexp_extract_all(body, F.lit(COMPLETE), F.lit(2)))
-    mended = F.transform(pairs, lambda p: F.struct(p["0"].cast("int").alias("index"), F.replace(F.replace(p["1"], F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")).alias("translated")))
+    mended = repair(body)
     closed = body.rlike(r"(?s)\A\s*\{.*\}\s*\z") & whole.isNotNull()
-    return F.when(closed, F.filter(whole, lambda t: t["index"].isNotNull() & t["translated"].isNotNull())).when(F.size(pairs) > 0, mended)
+    return F.when(closed, F.filter(whole, lambda t: t["index"].isNotNull() & t["translated"].isNotNull())).when(F.size(mended) > 0, mended)
 
 
 def repair(text: Column) -> Column:
@@ -101,7 +103,6 @@ class EchoClient:
     """A deterministic client without a network: every item in upper case."""
 
     def complete(self, system: str, user: str) -> str:
-        import json
-
-        items = [line.split(": ", 1) for line in user.split("\n")[1:] if ": " in line]
-        return json.dumps({"translations": [{"index": int(k), "translated": t.upper()} for k, t in items if k.isdigit()]}, ensure_ascii=False)
+        # An item goes on over lines up to the next one that begins with a number.
+        items = [x.split(": ", 1) for x in re.split(r"\n(?=\d+: )", user.partition("\n")[2])]
+        return json.dumps({"translations": [{"index": int(k), "translated": t.upper()} for k, t in items]}, ensure_ascii=False)
