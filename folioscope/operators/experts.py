@@ -61,10 +61,22 @@ def auxiliary_loss(routed: DataFrame, scores: str, chosen: str, n_experts: int,
     return share.agg((F.sum(F.col("tokens") / (F.col("n") * k) * n_experts * F.col("mean_score")) * alpha).alias("aux_loss"))
 
 
-def dispatch(routed: DataFrame, key: str, chosen: str = "chosen") -> DataFrame:
-    """key, expert, weight, slot: rows in the order of their experts, as they would be sent there; ``collect_back`` undoes it."""
-    each = routed.select(key, F.explode(chosen).alias("c")).select(key, "c.expert", "c.weight")
-    return each.withColumn("slot", (F.row_number().over(Window.partitionBy("expert").orderBy(key)) - 1).cast("long"))
+def dispatch(routed: DataFrame, key: str, chosen: str = "chosen", parts: int = 256) -> DataFrame:
+    """key, expert, weight, slot: rows in the order of their experts, as they would be sent there; ``collect_back`` undoes it.
+
+    key is a number. Its quantiles cut the rows into parts; slots are the rows of earlier parts, from a
+    prefix sum over one count for each (expert, part), and the place inside the part, so an expert is
+    the work of many tasks.
+    """
+    shares = [k / parts for k in range(1, parts)]
+    cuts = sorted(set(routed.agg(F.percentile_approx(F.col(key).cast("double"), shares, 20 * parts).alias("q")).first()["q"] or []))
+    part = F.size(F.filter(F.lit(cuts), lambda q: q < F.col(key))) if cuts else F.lit(0)
+    each = routed.select(key, part.alias("part"), F.explode(chosen).alias("c")).select(key, "part", "c.expert", "c.weight")
+    before = Window.partitionBy("expert").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = each.groupBy("expert", "part").agg(F.count("*").alias("n"))
+    bases = counts.select("expert", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("expert", "part").orderBy(key)) - 1
+    return each.withColumn("place", place).join(bases, ["expert", "part"]).select(key, "expert", "weight", (F.col("base") + F.col("place")).cast("long").alias("slot"))
 
 
 def collect_back(answers: DataFrame, key: str, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.geometry import crop_to_page
@@ -28,16 +29,16 @@ def merge_regions(native: DataFrame, replacements: DataFrame, keys: list[str], o
     return own.withColumn("place", (F.row_number().over(visual) - 1).cast("long"))
 
 
-def read_regions(regions: DataFrame, provider, max_length: int = 8192) -> DataFrame:
-    """regions (doc_id, region_id, image, normalized_bbox) with raw and error columns from provider.read(image, box, max_length).
+def read_regions(regions: DataFrame, provider, keys: list[str], max_length: int = 8192) -> DataFrame:
+    """regions (keys, region_id, image, normalized_bbox and any others) with raw and error columns from provider.read(image, box, max_length).
 
-    One provider for each Python worker; an exception is that region's error, never the task's.
+    One provider for each Python worker, asked once for each region; an exception is that region's error, never the task's.
     """
+    schema = StructType([*regions.schema.fields, StructField("raw", StringType()), StructField("error", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = provider() if isinstance(provider, type) else provider
         for batch in batches:
-            out = batch[["doc_id", "region_id"]].copy()
             raw, error = [], []
             for image, box in zip(batch["image"], batch["normalized_bbox"], strict=True):
                 try:
@@ -46,31 +47,37 @@ def read_regions(regions: DataFrame, provider, max_length: int = 8192) -> DataFr
                 except Exception as e:  # noqa: BLE001  any failure of a provider is data
                     raw.append(None)
                     error.append(str(e))
-            yield out.assign(raw=raw, error=error)
+            yield batch.assign(raw=raw, error=error)
 
-    return regions.select("doc_id", "region_id", "image", "normalized_bbox").mapInPandas(run, "doc_id long, region_id string, raw string, error string")
+    return regions.mapInPandas(run, schema)
 
 
-def hybrid_pages(regions: DataFrame, images: DataFrame, provider, session: Column) -> DataFrame:
-    """doc_id, detections, markdown, warnings, source of pages whose poor tables the provider reads again.
-
-    regions as ``layout.regions`` gives them; images (doc_id, image) are the pages' pictures or paths.
-    """
+def reread(regions: DataFrame, images: DataFrame, provider, keys: list[str], max_length: int = 8192) -> DataFrame:
+    """keys, region_id, new (text, confidence) and warning of the poor tables among regions: what a second reading gave, or why it gave nothing."""
     poor = regions.where("type = 'table'").withColumn("score", quality(F.col("content"))).where(F.col("score") < THRESHOLD)
-    read = read_regions(poor.join(images, "doc_id"), provider)
-    got = poor.join(read, ["doc_id", "region_id"]).withColumn("local", F.when(F.col("error").isNull(), detections(F.col("raw"))))
+    asked = poor.join(images, keys).select(*keys, "region_id", "image", "normalized_bbox", "score")
+    got = read_regions(asked, provider, keys, max_length).withColumn("local", F.when(F.col("error").isNull(), detections(F.col("raw"))))
     text = F.array_join(F.transform("local", lambda d: d["text"]), "\n")
     empty = F.col("error").isNull() & ((F.size("local") == 0) | (T.strip(text) == ""))
-    judged = got.withColumn("text", text).withColumn(
-        "warning",
-        F.when(F.col("error").isNotNull(), F.struct(F.lit("region_ocr_failed").alias("type"), "region_id", F.col("error").alias("message"))).when(
-            empty, F.struct(F.lit("region_ocr_empty").alias("type"), "region_id", F.lit("VLM returned no detections for region").alias("message"))
-        ),
-    )
-    new = judged.where("warning is null").select("doc_id", "region_id", "type", "x0", "y0", "x1", "y1", "normalized_bbox", F.lit("vlm").alias("source"), F.col("text").alias("content"), F.col("score").alias("confidence"), F.lit(0).alias("seq"))
-    merged = merge_regions(regions, new, ["doc_id"], "seq")
-    content, unit = T.strip(F.coalesce("content", F.lit(""))), F.coalesce("normalized_bbox", F.array().cast("array<int>"))
-    link = F.concat(F.lit("/api/region-image/"), session, F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), F.array_join(unit.cast("array<string>"), ","))
+    failed = F.struct(F.lit("region_ocr_failed").alias("type"), "region_id", F.col("error").alias("message"))
+    nothing = F.struct(F.lit("region_ocr_empty").alias("type"), "region_id", F.lit("VLM returned no detections for region").alias("message"))
+    warning = F.when(F.col("error").isNotNull(), failed).when(empty, nothing)
+    return got.select(*keys, "region_id", F.when(F.col("error").isNull() & ~empty, F.struct(text.alias("text"), F.col("score").alias("confidence"))).alias("new"), warning.alias("warning"))
+
+
+def hybrid_pages(regions: DataFrame, images: DataFrame, provider, session: Column, keys: list[str] | None = None, max_length: int = 8192) -> DataFrame:
+    """keys, detections, markdown, warnings, source of pages whose poor tables the provider reads again.
+
+    regions as ``layout.regions`` gives them; images (keys, image) are the pages' pictures or paths; the
+    last key is the page in links. Every region is asked for once, and pages are put together in one exchange.
+    """
+    keys = keys or ["doc_id"]
+    met = regions.join(reread(regions, images, provider, keys, max_length), [*keys, "region_id"], "left")
+    is_new = F.col("new").isNotNull()
+    content = T.strip(F.coalesce(F.when(is_new, F.col("new.text")).otherwise(F.col("content")), F.lit("")))
+    source = F.when(is_new, "vlm").otherwise(F.col("source"))
+    unit = F.coalesce("normalized_bbox", F.array().cast("array<int>"))
+    link = F.concat(F.lit("/api/region-image/"), session, F.lit("/"), F.col(keys[-1]).cast("string"), F.lit("/"), F.array_join(unit.cast("array<string>"), ","))
     kind = F.when(F.col("type") == "table", "table").when(F.col("type") == "figure", "image").when(F.col("type") == "title", "title").otherwise("text")
     part = (
         F.when((F.col("type") == "table") & (content != ""), F.concat(F.lit("\n"), content, F.lit("\n")))
@@ -79,11 +86,13 @@ def hybrid_pages(regions: DataFrame, images: DataFrame, provider, session: Colum
         .when((F.col("type") == "title") & (content != ""), F.concat(F.lit("## "), content))
         .otherwise(content)
     )
-    detection = F.struct(kind.alias("type"), unit.alias("bbox"), content.alias("text"), F.col("source"))
-    pages = merged.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", part.alias("part"), detection.alias("d")))).alias("all"))
-    warned = judged.where("warning is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list("warning")).alias("warnings"))
+    detection = F.struct(kind.alias("type"), unit.alias("bbox"), content.alias("text"), source.alias("source"))
+    # Regions in the order of (y, x, id).
+    placed = F.struct(F.coalesce("y0", F.lit(0.0)).alias("y"), F.coalesce("x0", F.lit(0.0)).alias("x"), "region_id", part.alias("part"), detection.alias("d"))
+    pages = met.groupBy(*keys).agg(F.sort_array(F.collect_list(placed)).alias("all"), F.sort_array(F.collect_list("warning")).alias("said"))
     joined = F.array_join(F.filter(F.transform("all", lambda x: x["part"]), lambda p: p.isNotNull()), "\n")
-    return pages.join(warned, "doc_id", "left").select("doc_id", F.transform("all", lambda x: x["d"]).alias("detections"), T.convert_math(T.squeeze_blank_lines(joined)).alias("markdown"), "warnings", F.lit("hybrid").alias("source"))
+    warnings = F.when(F.size("said") > 0, F.col("said"))
+    return pages.select(*keys, F.transform("all", lambda x: x["d"]).alias("detections"), T.convert_math(T.squeeze_blank_lines(joined)).alias("markdown"), warnings.alias("warnings"), F.lit("hybrid").alias("source"))
 
 
 def map_detections(local: Column, region_box: Column) -> Column:

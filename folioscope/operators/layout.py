@@ -155,9 +155,9 @@ def layout_pages(ordered: DataFrame, rect: tuple, session: Column, page_num: Col
     )
     kind = F.when(F.col("kind") == "table", "table").when(F.col("kind") == "figure", "image").when(F.col("heading"), "title").otherwise("text")
     detection = F.struct(kind.alias("type"), box.alias("bbox"), F.col("text"))
-    pages = ordered.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", part.alias("part"), detection.alias("d")))).alias("all"))
+    pages = ordered.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", part.alias("part"), detection.alias("d")))).alias("all"), F.first(page_num).alias("page"))
     markdown = T.squeeze_blank_lines(F.array_join(F.transform("all", lambda x: x["part"]), "\n"))
-    return pages.select("doc_id", T.convert_math(markdown, page_num).alias("markdown"), F.transform("all", lambda x: x["d"]).alias("detections"))
+    return pages.select("doc_id", T.convert_math(markdown, F.col("page")).alias("markdown"), F.transform("all", lambda x: x["d"]).alias("detections"))
 
 
 def regions(lines: DataFrame, tables: DataFrame, figures: DataFrame, rect: tuple) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 PAGE = (0.0, 0.0, 600.0, 1000.0)
 LINE_TYPES = ("text", "title", "image", "table", "page_number", "display-formula", "figure")
 
@@ -36,6 +38,19 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("doc_id", "line_no", "text", *(c.alias(n) for n, c in _geometry(F.col("doc_id"), F.col("line_no"), F.col("text")).items()))
 
 
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of lines as spans of ``providers.SPANS``: every fifth small, every seventh raised, gaps of 1 or 4 points; four lines make a block."""
+    words = F.filter(F.split("text", " ", -1), lambda w: T.strip(w) != "")
+    each = geo(spark, sf_dir).select("doc_id", "line_no", "x0", "y0", "x1", "y1", "bold", F.posexplode(words).alias("span_no", "word"))
+    k = F.col("span_no")
+    left, up = (k * 20 + F.when(k % 3 == 2, 3).otherwise(0)).cast("double"), F.when(k % 7 == 4, 2.0).otherwise(0.0)
+    line = [F.col(c).cast("double").alias("l" + c) for c in ("x0", "y0", "x1", "y1")]
+    return each.select(
+        "doc_id", F.floor(F.col("line_no") / 4).cast("int").alias("block_no"), "line_no", "span_no", F.col("word").alias("text"), left.alias("x0"), (F.col("y0") - up).cast("double").alias("y0"), (k * 20 + 19).cast("double").alias("x1"),
+        (F.col("y0") + 10 - up).cast("double").alias("y1"), F.when(k % 5 == 4, 7.0).otherwise(10.0).alias("size"), F.when(F.col("bold"), "Sans-Bold").otherwise("Sans").alias("font"), *line,
+    )
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, kind, box_no, x0, y0, x1, y1: tables, nested tables and figures of some pages."""
     made = F.array(

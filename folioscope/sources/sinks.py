@@ -65,7 +65,7 @@ def markdown_bundles(documents: DataFrame, key: str = "session_id") -> DataFrame
 
 
 def docx_plan(pages: DataFrame, translations: DataFrame, mode: str = "original") -> DataFrame:
-    """session_id, page_num, para_no, style, level, text: the paragraphs of a DOCX export.
+    """session_id, page_num, para_no, style, level, text, picture: the paragraphs of a DOCX export; picture is the name of an image's crop.
 
     pages (session_id, page_num, detections), translations (session_id, page_num, index, translated).
     Blank detections are left out; ``bilingual`` puts a translation behind its original.
@@ -78,17 +78,19 @@ def docx_plan(pages: DataFrame, translations: DataFrame, mode: str = "original")
     style = F.when(kind == "title", "heading").when(kind == "table", "table").when(kind == "image", "image").when(kind == "page_number", "page_number").otherwise("paragraph")
     translates = (new != "") & ~kind.isin("image", "page_number")
     shown = F.when(kind == "image", F.lit("[图片]")).when(F.lit(mode == "translated") & translates, new).otherwise(text)
-    first = F.struct(style.alias("style"), F.when(kind == "title", level(F.col("d.bbox"))).alias("level"), shown.alias("text"))
-    second = F.struct(F.lit("translation").alias("style"), F.when(kind == "title", level(F.col("d.bbox"))).alias("level"), new.alias("text"))
+    box = F.col("d.bbox")
+    picture = F.when((kind == "image") & (F.size(box) == 4), F.concat(F.lit("page-"), F.col("page_num").cast("string"), F.lit("-"), F.array_join(box.cast("array<string>"), "-"), F.lit(".png")))
+    first = F.struct(style.alias("style"), F.when(kind == "title", level(box)).alias("level"), shown.alias("text"), picture.alias("picture"))
+    second = F.struct(F.lit("translation").alias("style"), F.when(kind == "title", level(box)).alias("level"), new.alias("text"), F.lit(None).cast("string").alias("picture"))
     paragraphs = F.when(F.lit(mode == "bilingual") & translates, F.array(first, second)).otherwise(F.array(first))
     rows = joined.where(text != "").select("session_id", "page_num", "index", F.posexplode(paragraphs).alias("k", "p"))
-    return rows.select("session_id", "page_num", (F.col("index") * 2 + F.col("k")).cast("long").alias("para_no"), "p.style", "p.level", "p.text")
+    return rows.select("session_id", "page_num", (F.col("index") * 2 + F.col("k")).cast("long").alias("para_no"), "p.style", "p.level", "p.text", "p.picture")
 
 
 _RELS = '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
 _TYPES = (
     '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
-    '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
+    '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Default Extension="png" ContentType="image/png"/>'
     '<Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
 )
 
@@ -107,30 +109,66 @@ def _paragraph(style: str, depth, text: str) -> str:
     return f"<w:p><w:pPr>{para}</w:pPr>{body}</w:p>"
 
 
-def docx_files(plan: DataFrame) -> DataFrame:
-    """session_id, docx: the file of each session's plan; pages begin on new sheets."""
-    rows = plan.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("page_num", "para_no", "style", "level", "text"))).alias("p"))
+#: A picture in a paragraph: its number, width and height in English metric units (12,700 a point), and relationship.
+_PICTURE = (
+    '<w:p><w:r><w:drawing><wp:inline xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"><wp:extent cx="{w}" cy="{h}"/><wp:docPr id="{n}" name="Picture {n}"/>'
+    '<a:graphic xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:graphicData uri="http://schemas.openxmlformats.org/drawingml/2006/picture"><pic:pic xmlns:pic="http://schemas.openxmlformats.org/drawingml/2006/picture">'
+    '<pic:nvPicPr><pic:cNvPr id="{n}" name="Picture {n}"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" r:embed="rId{n}"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill>'
+    '<pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="{w}" cy="{h}"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing></w:r></w:p>'
+)
+PICTURE_WIDTH = 420
+
+
+def _png_size(content: bytes) -> tuple[int, int] | None:
+    """Width and height of a PNG file, None for anything else."""
+    if content[:8] != b"\x89PNG\r\n\x1a\n" or content[12:16] != b"IHDR":
+        return None
+    return int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big")
+
+
+def docx_files(plan: DataFrame, pictures: DataFrame | None = None) -> DataFrame:
+    """session_id, docx: the file of each session's plan; pages begin on new sheets.
+
+    pictures (session_id, name, content): PNG crops that take the place of their paragraphs' placeholders, 420 points wide.
+    """
+    kind = dict(plan.dtypes)["session_id"]
+    rows = plan.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("page_num", "para_no", "style", "level", "text", "picture"))).alias("p"))
+    if pictures is None:
+        rows = rows.withColumn("i", F.array().cast("array<struct<name:string,content:binary>>"))
+    else:
+        rows = rows.join(pictures.where("content is not null").groupBy("session_id").agg(F.collect_list(F.struct("name", "content")).alias("i")), "session_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for session, paragraphs in zip(batch["session_id"], batch["p"], strict=True):
-                parts, page = [], None
+            for session, paragraphs, images in zip(batch["session_id"], batch["p"], batch["i"], strict=True):
+                known = {i["name"]: bytes(i["content"]) for i in images} if images is not None else {}
+                parts, media, page = [], [], None
                 for p in paragraphs:
                     if page is not None and p["page_num"] != page:
                         parts.append(_paragraph("break", None, ""))
                     page = p["page_num"]
-                    parts.append(_paragraph(p["style"], p["level"], p["text"]))
+                    size = _png_size(known.get(p["picture"] or "", b""))
+                    if size and size[0]:
+                        media.append(known[p["picture"]])
+                        parts.append(_PICTURE.format(n=len(media), w=PICTURE_WIDTH * 12_700, h=round(PICTURE_WIDTH * 12_700 * size[1] / size[0])))
+                    else:
+                        parts.append(_paragraph(p["style"], p["level"], p["text"]))
                 document = '<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>' + "".join(parts) + "</w:body></w:document>"
                 data = io.BytesIO()
                 with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
                     z.writestr("[Content_Types].xml", _TYPES)
                     z.writestr("_rels/.rels", _RELS.format('<Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/>'))
                     z.writestr("word/document.xml", document)
+                    if media:
+                        links = (f'<Relationship Id="rId{n}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/image" Target="media/image{n}.png"/>' for n in range(1, len(media) + 1))
+                        z.writestr("word/_rels/document.xml.rels", _RELS.format("".join(links)))
+                        for n, content in enumerate(media, 1):
+                            z.writestr(f"word/media/image{n}.png", content)
                 out.append((session, data.getvalue()))
             yield pd.DataFrame(out, columns=["session_id", "docx"])
 
-    return rows.mapInPandas(run, f"session_id {dict(plan.dtypes)['session_id']}, docx binary")
+    return rows.mapInPandas(run, f"session_id {kind}, docx binary")
 
 
 def batch_report(name: Column, raw: Column, tool: bool = True) -> Column:

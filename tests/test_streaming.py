@@ -54,3 +54,23 @@ def test_windows_and_duplicates(spark, tmp_path):
     assert sum(map(len, kept)) == scan.count()
     counted = run(spark, tmp_path / "w", scan, pages.summaries, "update")
     assert counted and set(counted[0].columns) == {"window", "event", "n"}
+
+
+def test_idle_pages_are_given_up(spark, tmp_path):
+    """With event time the state of a page goes after its idle time: a page that comes back begins anew, and text keys pass."""
+    rows = [("s", 1, 0), ("t", 1, 1), ("u", 1, 9000), ("u", 2, 9001), ("s", 1, 9002)]
+    path = f"{tmp_path}/in"
+    for k, (session, page, second) in enumerate(rows):
+        frame = spark.createDataFrame([(session, page, f"{second:06d}", "page_start", False, 0, None)], "session_id string, page_num int, at string, event string, truncated boolean, warnings int, message string")
+        frame.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000 + second))).coalesce(1).write.mode("append").parquet(f"{path}/{k}")
+    schema = spark.read.parquet(f"{path}/0").schema
+    for timed, attempts in ((None, 2), ("ts", 1)):
+        kept = []
+        for k in range(len(rows)):  # a file at a time, in their order
+            spark.read.parquet(f"{path}/{k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/now-{timed}")
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/now-{timed}")
+            made = pages.page_states(stream, timed, "1 second", 60_000)
+            q = made.writeStream.outputMode("update").foreachBatch(lambda d, n, kept=kept: kept.extend(d.collect())).option("checkpointLocation", f"{tmp_path}/cp-{timed}").trigger(availableNow=True).start()
+            q.awaitTermination(120)
+            assert q.exception() is None
+        assert [r.attempts for r in kept if r.session_id == "s"][-1] == attempts
