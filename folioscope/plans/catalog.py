@@ -298,7 +298,7 @@ def word_spans(s, d):
 
 @register(using("v_lines", sql=f"""SELECT doc_id, line_no, regexp_replace(regexp_replace(array_to_string(list_transform(range(len(w)), lambda k: CASE WHEN k = 0 THEN '' WHEN k % 5 = 4 AND k % 7 = 4 AND len(w) > 1 THEN '^' WHEN k % 5 = 4 THEN '' WHEN k % 3 = 2 THEN ' '
       WHEN (k - 1) % 7 = 4 OR k % 7 = 4 THEN '' ELSE '' END || w[k + 1]), ''), ' +', ' ', 'g'), '\\A[{WS}]+|[{WS}]+\\z', '', 'g') AS text
-    FROM (SELECT doc_id, line_no, list_filter(string_split(text, ' '), lambda x: x <> '')[1:12] AS w FROM v_lines WHERE line_no < 5) WHERE len(w) > 0"""))
+    FROM (SELECT doc_id, line_no, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM v_lines) WHERE len(w) > 0"""))
 def join_span_text(s, d):
     return word_spans(s, d).select("doc_id", "line_no", layout.join_span_texts(F.col("spans")).alias("text"))
 
@@ -325,7 +325,10 @@ def layout_order(s, d):
     return laid_out(s, d)[2].select("doc_id", "kind", "no", "heading", "place")
 
 
-@register(None)
+PARTS = "CASE kind WHEN 'table' THEN chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10) WHEN 'figure' THEN chr(10) || '![Figure](/api/region-image/s1/1/67%2C174%2C933%2C216)' || chr(10) ELSE CASE WHEN heading THEN chr(10) || '## ' ELSE '' END || text END"
+
+
+@register(using("v_geo", "v_boxes", sql=f"""SELECT doc_id, regexp_replace(regexp_replace(string_agg({PARTS}, chr(10) ORDER BY place), '\\n\\n\\n+', chr(10) || chr(10), 'g'), '\\A[{WS}]+|[{WS}]+\\z', '', 'g') AS markdown, count(*)::INT AS n FROM (SELECT i.*, l.text FROM {ITEMS} i LEFT JOIN v_geo l ON i.kind = 'line' AND l.doc_id = i.doc_id AND l.line_no = i.no) GROUP BY doc_id"""))
 def layout_markdown(s, d):
     pages = layout.layout_pages(laid_out(s, d)[2], V.PAGE, F.lit("s1"), F.lit(1))
     return pages.select("doc_id", "markdown", F.size("detections").alias("n"))
@@ -380,14 +383,18 @@ def bit_pattern(s, d):
 ANCHOR = "(SELECT page, part % 4 AS col, list_sort(list(DISTINCT value)) AS c FROM v_cells GROUP BY page, part % 4)"
 
 
-@register(using("v_cells", sql=f"""SELECT page, coalesce(arg_min(col, (round_even(cv * 1000000, 0), -first, col)), -1)::BIGINT AS anchor FROM (SELECT page, col, c[1] AS first, sqrt(list_avg(list_transform(g, lambda x: (x - m) * (x - m)))) / m AS cv, (c[len(c)] - c[1]) / 50.0 AS coverage
-    FROM (SELECT *, list_avg(g) AS m FROM (SELECT page, col, c, list_transform(range(1, len(c)), lambda k: c[k + 1] - c[k]) AS g FROM {ANCHOR} WHERE len(c) >= 2))) WHERE coverage >= 0.6 GROUP BY page"""))
+@register(using("v_cells", sql=f"""SELECT page, coalesce(arg_min(col, (cv, -first, col)) FILTER (coverage >= 0.6), -1)::BIGINT AS anchor, CASE WHEN bool_or(col = 1 AND n <= 4) THEN 1 ELSE coalesce(arg_min(col, (abs(n - 3), cv, col)) FILTER (coverage >= 0.6 AND abs(n - 3) <= 2), arg_min(col, (cv, col)) FILTER (coverage >= 0.6), arg_min(col, (cv, -first, col)) FILTER (coverage >= 0.6), 1) END::BIGINT AS ruled
+    FROM (SELECT page, col, len(c) AS n, c[1] AS first, round_even(sqrt(list_avg(list_transform(g, lambda x: (x - m) * (x - m)))) / m * 1000000, 0) AS cv, (c[len(c)] - c[1]) / 50.0 AS coverage
+    FROM (SELECT *, list_avg(g) AS m FROM (SELECT page, col, c, list_transform(range(1, len(c)), lambda k: c[k + 1] - c[k]) AS g FROM {ANCHOR} WHERE len(c) >= 2))) GROUP BY page"""))
 def anchor_column(s, d):
+    """Without rulings and bounds, and with two rulings between three bounds."""
     col = V.cells(s, d).withColumn("col", F.col("part") % 4).groupBy("page", "col").agg(F.array_sort(F.collect_set("value")).alias("c")).where("size(c) >= 2")
     gaps = F.transform(A.neighbours(F.col("c")), lambda p: p["b"] - p["a"])
     m = A.mean(gaps)
-    stats = col.select("page", "col", F.get("c", 0).alias("first"), (F.sqrt(A.mean(F.transform(gaps, lambda g: (g - m) * (g - m)))) / m).alias("cv"), ((F.try_element_at("c", F.lit(-1)) - F.get("c", 0)) / 50.0).alias("coverage"))
-    return stats.where("coverage >= 0.6").groupBy("page").agg(F.min_by("col", F.struct(F.bround(F.col("cv") * 1000000), -F.col("first"), F.col("col"))).cast(LONG).alias("anchor"))
+    variation = F.bround(F.sqrt(A.mean(F.transform(gaps, lambda g: (g - m) * (g - m)))) / m * 1000000)
+    stats = F.struct(F.col("col").cast("int").alias("column"), F.col("c").cast("array<double>").alias("centers"), variation.alias("cv"), ((F.try_element_at("c", F.lit(-1)) - F.get("c", 0)) / 50.0).cast("double").alias("coverage"))
+    rows = col.groupBy("page").agg(F.collect_list(stats).alias("stats"))
+    return rows.select("page", tables.anchor_column(F.col("stats"), F.lit(2), F.lit(0)).cast(LONG).alias("anchor"), tables.anchor_column(F.col("stats"), F.lit(3), F.lit(2)).cast(LONG).alias("ruled"))
 
 
 @register(None)
@@ -410,7 +417,7 @@ def captioned(s, d):
 
 
 @register("""SELECT doc_id, caption_no, text, group_no, round(box_x0 * 100)::BIGINT AS left_c, round(box_x1 * 100)::BIGINT AS right_c FROM (SELECT doc_id, unnest([0, 1, 2]) AS caption_no, unnest(['Figure ' || (doc_id % 7 + 1) || ': left', 'Fig. ' || (doc_id % 5 + 2) || ' right', 'Figure 9: below']) AS text, unnest([0, 0, 1]) AS group_no,
-      unnest([55.0, (c1 + c2) / 2 - 5, 55.0]) AS box_x0, unnest([(c1 + c2) / 2 + 5, 545.0, 545.0]) AS box_x1 FROM (SELECT doc_id, (100 + (100 + 400 * (16 / 28.0))) / 2 AS c1, ((100 + 400 * (9 / 28.0)) + 500) / 2 AS c2 FROM documents WHERE doc_id % 5 = 0))""".replace("16 / 28.0", "16 / 28.0"))
+      unnest([55.0, (c1 + c2) / 2 - 5, 55.0]) AS box_x0, unnest([(c1 + c2) / 2 + 5, 545.0, 545.0]) AS box_x1 FROM (SELECT doc_id, (100 + (100 + 400 * (16 / 28.0))) / 2 AS c1, ((100 + 400 * (9 / 28.0)) + 500) / 2 AS c2 FROM documents))""")
 def caption_groups(s, d):
     found = figures.grouped_captions(figures.captions(*captioned(s, d)), V.PAGE)
     return found.select("doc_id", F.col("caption_no").cast("int").alias("caption_no"), "text", "group_no", F.round(F.col("box_x0") * 100).cast(LONG).alias("left_c"), F.round(F.col("box_x1") * 100).cast(LONG).alias("right_c"))
@@ -507,13 +514,23 @@ def stop_cutoff(s, d):
     return state.cut_off(V.scan(s, d), ["ts", "event_id"], F.col("event_id") % 50 == 0).select("session_id", "event_id", "event")
 
 
-@register(None)
+HTML = "CASE type WHEN 'title' THEN '<h' || lv || ' class=\"ocr-heading\" contenteditable=\"true\" data-detection-index=\"' || det_index || '\">' || e || '</h' || lv || '>' WHEN 'image' THEN '<div class=\"ocr-image\" data-detection-index=\"' || det_index || '\"><span class=\"image-placeholder\">🖼 图片区域</span></div>' WHEN 'table' THEN '<div class=\"ocr-table\" contenteditable=\"true\" data-detection-index=\"' || det_index || '\">' || e || '</div>' WHEN 'page_number' THEN '<span class=\"ocr-page-number\" data-detection-index=\"' || det_index || '\">' || e || '</span>' ELSE '<p class=\"ocr-text\" contenteditable=\"true\" data-detection-index=\"' || det_index || '\">' || e || '</p>' END"
+
+
+@register(using("v_dets", sql=f"""SELECT session_id, 1 AS page_num, (row_number() OVER (PARTITION BY session_id ORDER BY o, k) - 1)::INT AS seq, event, text, tokens::INT AS tokens, det_index::INT AS det_index, html, done FROM (
+    WITH shown AS (SELECT *, {HTML} AS html FROM (SELECT *, CASE WHEN len(bbox) = 4 AND bbox[4] - bbox[2] > 60 THEN 1 ELSE 2 END AS lv, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS e FROM v_dets)),
+    page AS (SELECT d.doc_id, coalesce(regexp_replace(regexp_replace(string_agg(CASE type WHEN 'title' THEN chr(10) || '## ' || s.text || chr(10) WHEN 'table' THEN chr(10) || s.text || chr(10) ELSE s.text END, chr(10) ORDER BY det_index), '\\n\\n\\n+', chr(10) || chr(10), 'g'), '\\A[{WS}]+|[{WS}]+\\z', '', 'g'), '') AS md,
+      CASE WHEN count(html) = 0 THEN '{blocks.EMPTY_PAGE}' ELSE '<div class="ocr-page" data-page="1">' || chr(10) || string_agg(html, chr(10) ORDER BY det_index) || chr(10) || '</div>' END AS html FROM documents d LEFT JOIN shown s ON s.doc_id = d.doc_id GROUP BY d.doc_id)
+    SELECT doc_id AS session_id, 0 AS o, 0 AS k, 'page_start' AS event, NULL AS text, NULL AS tokens, NULL AS det_index, NULL AS html, NULL AS done FROM page UNION ALL SELECT doc_id, 1, 0, 'page_progress', 'scanning', NULL, NULL, NULL, NULL FROM page
+    UNION ALL SELECT doc_id, 2, e, 'token', substr(md, 1, least(e, length(md))::INT), greatest(1, least(e, length(md)) // 4), NULL, NULL, e >= length(md) FROM (SELECT doc_id, md, unnest(range(320, length(md) + 320, 320)) AS e FROM page)
+    UNION ALL SELECT doc_id, 3, det_index, 'det_result', text, NULL, det_index, html, NULL FROM shown UNION ALL SELECT doc_id, 4, 0, 'page_done', md, NULL, NULL, html, NULL FROM page UNION ALL SELECT doc_id, 5, 0, 'page_image', NULL, NULL, NULL, NULL, NULL FROM page)"""))
 def page_events(s, d):
     pages = parsed(s, d).select(F.col("doc_id").alias("session_id"), F.lit(1).alias("page_num"), state.detections_markdown(F.col("dets")).alias("markdown"), F.col("dets").alias("detections"))
     return state.page_events(pages)
 
 
-@register(None)
+@register(using("v_scan", sql="""SELECT session_id, page_num, max(attempt) AS attempts, count(DISTINCT CASE WHEN event = 'det_result' AND attempt = last THEN det_index END) AS detections, arg_max(text, (ts, event_id)) FILTER (event IN ('token', 'page_done')) AS markdown, bool_or(truncated) AS truncated,
+    nullif(arg_max(CASE WHEN event = 'error' THEN text ELSE '' END, (ts, event_id)) FILTER (event IN ('error', 'page_done')), '') AS error FROM (SELECT *, max(attempt) OVER (PARTITION BY session_id, page_num) AS last FROM (SELECT session_id, page_num, ts, event_id, (event_id // 1000 + 1)::INT AS attempt, event, event_id % 11 AS det_index, 'text ' || event_id AS text, event_id % 13 = 0 AS truncated FROM v_scan)) GROUP BY 1, 2"""))
 def stream_reduce(s, d):
     rows = V.scan(s, d).select("session_id", "page_num", "ts", "event_id", (F.floor(F.col("event_id") / 1000) + 1).cast("int").alias("attempt"), "event", (F.col("event_id") % 11).cast("int").alias("det_index"), F.concat(F.lit("text "), F.col("event_id").cast("string")).alias("text"), (F.col("event_id") % 13 == 0).alias("truncated"))
     return state.reduce_events(rows, ["ts", "event_id"])
@@ -541,22 +558,33 @@ def digits_missing(s, d):
     return V.pages(s, d).select("page_id", F.array_join(audit.missing_digits(F.array("html"), half, F.lit(False)), " ").alias("missing"))
 
 
-@register(f"""WITH l AS (SELECT doc_id, line_no, text AS t FROM v_lines), o AS (SELECT doc_id, regexp_replace({NORM('upper(substr(text, 1, length(text) // 3))')}, '[^{T.SIGNIFICANT}]', '', 'g') AS m FROM documents),
-    s AS (SELECT l.doc_id, l.line_no, regexp_extract_all(regexp_replace({NORM("l.t || ' = 2.5 x 3 , 4 + 5 ; 6 : 7'")}, '[^{T.SIGNIFICANT}]', '', 'g'), '[0-9a-zA-Z\\x{{4e00}}-\\x{{9fff}}]+') AS k, o.m FROM l JOIN o ON o.doc_id = l.doc_id)
-    SELECT doc_id, line_no FROM s WHERE len(k) >= 1 AND len(list_filter(k, lambda x: NOT contains(m, x))) > 0.4 * len(k)""".replace("WITH l", using("v_lines", sql="") .rstrip() + ", l"))
+FORMULA = " = 2θ3φ4σ5ω6α7"
+
+
+@register(f"""WITH l AS (SELECT doc_id, line_no, text || '{FORMULA}' AS t FROM v_lines), o AS (SELECT doc_id, regexp_replace({NORM('upper(substr(text, 1, length(text) // 3))')}, '[^{T.SIGNIFICANT}]', '', 'g') AS m FROM documents),
+    s AS (SELECT l.doc_id, l.t, regexp_extract_all(regexp_replace({NORM("l.t")}, '[^{T.SIGNIFICANT}]', '', 'g'), '[0-9a-zA-Z\\x{{4e00}}-\\x{{9fff}}]+') AS k, o.m FROM l JOIN o ON o.doc_id = l.doc_id)
+    SELECT doc_id, substr(regexp_replace(t, '\\A[{WS}]+|[{WS}]+\\z', '', 'g'), 1, 60) AS line FROM s WHERE length(regexp_replace(t, '\\A[{WS}]+|[{WS}]+\\z', '', 'g')) >= 12 AND len(k) >= 6 AND len(list_filter(k, lambda x: NOT contains(m, x))) > 0.4 * len(k)""".replace("WITH l", using("v_lines", sql="").rstrip() + ", l"))
 def math_lost(s, d):
-    lines = V.lines(s, d).select("doc_id", F.col("line_no").cast(LONG).alias("line_no"), F.concat(F.col("text"), F.lit(" = 2.5 x 3 , 4 + 5 ; 6 : 7")).alias("t"))
-    part = V.table(s, d, "documents").select("doc_id", T.significant(F.upper(F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 3).cast("int")))).alias("m"))
-    tokens = F.regexp_extract_all(T.significant(F.col("t")), F.lit(r"[0-9a-zA-Z\x{4e00}-\x{9fff}]+"), F.lit(0))
-    lost = lines.join(part, "doc_id").withColumn("k", tokens).where(T.math_like(F.col("t")) & (F.size("k") >= 1) & (F.size(F.filter("k", lambda x: ~F.contains(F.col("m"), x))) > 0.4 * F.size("k")))
-    return lost.select("doc_id", "line_no")
+    rows = V.table(s, d, "documents").select("doc_id", F.transform(F.split("text", "\n", -1), lambda x: F.concat(x, F.lit(FORMULA))).alias("lines"), F.upper(F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 3).cast("int"))).alias("part"))
+    return rows.select("doc_id", F.explode(audit.lost_math(F.col("lines"), F.col("part"))).alias("line"))
+
+
+CAPTIONS = f"len(regexp_extract_all(text, '(?im)^[{WS}]*(?:{figures.CAPTION[4:]})'))"
 
 
-@register(using("v_dirty", sql="SELECT doc_id % 50 AS document, count(*) AS pages, count(*) FILTER (doc_id % 5 = 0) AS pages_with_problems, count(*) FILTER (doc_id % 5 = 0) AS problems, bool_or(doc_id % 5 = 0) AS failed FROM v_dirty GROUP BY 1"))
+@register(using("v_dirty", sql=f"""SELECT doc_id // 50 AS document, count(*) AS pages, count(*) FILTER (n > 0) AS pages_with_problems, sum(n)::BIGINT AS problems, bool_or(n > 0) AS failed FROM (SELECT doc_id,
+    coalesce(1 - length(translate(s, m, ''))::DOUBLE / nullif(length(s), 0) < 0.82, false)::INT + (captions > 0 AND images < captions)::INT + (doc_id % 9 = 0 AND images = 0 AND captions = 0)::INT + 2 * (doc_id % 11 = 0 AND doc_id % 2 = 0)::INT + (doc_id % 11 = 0 AND doc_id % 2 = 1)::INT AS n FROM
+    (SELECT doc_id, {NORM("text")} AS s, {NORM("md")} AS m, {CAPTIONS} AS captions, (doc_id % 10 = 0)::INT AS images FROM (SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN '![x](y) ' ELSE '' END || CASE WHEN doc_id % 2 = 1 THEN chr(10) || '| a | b |' || chr(10) ELSE '' END || substr(text, 1, 20 + doc_id % 40) AS md FROM v_dirty))) GROUP BY 1"""))
 def doc_verdict(s, d):
-    text = F.col("text")
-    found = audit.problems(text, T.split_lines(text), text, F.lit(0), F.array().cast("array<string>"), F.lit(0))
-    return audit.verdicts(V.dirty(s, d).select((F.col("doc_id") % 50).alias("document"), found.alias("problems")), "document")
+    """Markdown of few characters, with a picture or a table in some pages, against pages with tables, digits, captions and pictures."""
+    text, doc = F.col("text"), F.col("doc_id")
+    made = F.concat(F.when(doc % 10 == 0, "![x](y) ").otherwise(""), F.when(doc % 2 == 1, "\n| a | b |\n").otherwise(""), F.substring(text, F.lit(1), (doc % 40 + 20).cast("int")))
+    has_table = doc % 11 == 0
+    cells = F.when(has_table, F.array(F.lit("731 x"), F.lit("98765432101"))).otherwise(F.array().cast("array<string>"))
+    # No formulas here: they have a query of their own.
+    found = audit.problems(text, F.array(text), made, has_table.cast("int"), cells, (doc % 9 == 0).cast("int"))
+    plain = F.filter(found, lambda p: ~F.startswith(p, F.lit("math lines lost")))
+    return audit.verdicts(V.dirty(s, d).select(F.floor(doc / 50).cast(LONG).alias("document"), plain.alias("problems")), "document")
 
 
 # ---------------------------------------------------------------- translation and prompts
@@ -578,7 +606,7 @@ def translate_apply(s, d):
     return translate.apply(rows, new, ["conv_id"]).select("conv_id", "index", "original", "translated")
 
 
-@register(None)
+@register("SELECT conv_id, turn::INT AS index, text AS original, CASE WHEN role = 'system' THEN text ELSE regexp_replace(upper(text), '\\A\\[(title|text|table)\\]\\s*', '') END AS translated FROM conversations WHERE text IS NOT NULL AND role <> 'system'")
 def translate_pages(s, d):
     return translate.translate(items(s, d), ["conv_id"], translate.EchoClient)
 
@@ -687,7 +715,7 @@ def word_ids(s, d):
     return V.table(s, d, "documents").select("doc_id", F.transform(F.split("text", "[ \n]", -1), lambda w: F.length(w) % 7).alias("ids"))
 
 
-@register("""WITH i AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[ \\n]')[1:60], lambda w: length(w) % 7) AS ids FROM documents)
+@register("""WITH i AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[ \\n]'), lambda w: length(w) % 7) AS ids FROM documents)
     SELECT doc_id, CASE WHEN len(ids) < 3 THEN '' ELSE coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(range(greatest(0, len(ids) - 40), len(ids) - 2), lambda k: ids[k + 1] = ids[len(ids) - 1] AND ids[k + 2] = ids[len(ids)]), lambda k: ids[k + 3]))), ','), '') END AS banned FROM i""")
 def ngram_ban(s, d):
     return word_ids(s, d).select("doc_id", F.array_join(sequences.banned(F.col("ids"), 3, 40).cast("array<string>"), ",").alias("banned"))
@@ -715,9 +743,9 @@ def latest_snapshot(s, d):
 
 
 @register(using("v_dets", sql=f"""SELECT s AS session_id, string_agg('<!-- 第 ' || doc_id || ' 页 -->' || chr(10) || chr(10) || md, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) || chr(10) AS markdown FROM
-    (SELECT doc_id % 40 AS s, doc_id, regexp_replace(text, '\\A[{WS}]+|[{WS}]+\\z', '', 'g') AS md FROM documents) GROUP BY s""".replace("v_dets", "v_dets")))
+    (SELECT doc_id // 40 AS s, doc_id, regexp_replace(text, '\\A[{WS}]+|[{WS}]+\\z', '', 'g') AS md FROM documents) GROUP BY s""".replace("v_dets", "v_dets")))
 def markdown_export(s, d):
-    pages = V.table(s, d, "documents").select((F.col("doc_id") % 40).alias("session_id"), F.col("doc_id").alias("page_num"), F.col("text").alias("markdown"))
+    pages = V.table(s, d, "documents").select(F.floor(F.col("doc_id") / 40).cast(LONG).alias("session_id"), F.col("doc_id").alias("page_num"), F.col("text").alias("markdown"))
     return sinks.markdown_documents(pages)
 
 
@@ -732,3 +760,6 @@ def docx_plan(s, d):
 @register(using("v_raw", sql="SELECT doc_id, '# OCR: page ' || doc_id || chr(10) || chr(10) || '```' || chr(10) || raw || chr(10) || '```' || chr(10) AS report FROM v_raw"))
 def batch_reports(s, d):
     return V.raw(s, d).select("doc_id", sinks.batch_report(F.concat(F.lit("page "), F.col("doc_id").cast("string")), F.col("raw")).alias("report"))
+
+
+from . import more  # noqa: E402, F401  registers the rest

@@ -3,7 +3,7 @@
 WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 CTE = {
-    "v_lines": "SELECT doc_id, line_no, text FROM (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE line_no < 60",
+    "v_lines": "SELECT doc_id, line_no, text FROM (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
     "v_geo": """SELECT doc_id, line_no, text, 50 + 250 * (line_no % 2) * (doc_id % 2) + (line_no * 7) % 11 AS x0, 90 + 14 * (line_no // (1 + doc_id % 2)) AS y0,
       50 + 250 * (line_no % 2) * (doc_id % 2) + (line_no * 7) % 11 + least(240, 5 * length(text)) AS x1,
       90 + 14 * (line_no // (1 + doc_id % 2)) + 10 + CASE WHEN line_no % 14 = 1 THEN 60 ELSE 0 END AS y1,
