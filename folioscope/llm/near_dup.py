@@ -127,17 +127,18 @@ def dealt(rows: DataFrame, key: str) -> DataFrame:
     return rows.select("*", at.alias("at")).select("*", "at.one", "at.two", "at.side").drop("at", "r", "s", "settled")
 
 
-def linked(groups: DataFrame, key: str, members, compare, fits) -> DataFrame:
-    """EDGES that join the fitting pairs of every group of a written table of groups (key, m, least, most: the members of the least and the greatest name).
+def linked(groups: DataFrame, key: str, members, compare, ends, fits) -> DataFrame:
+    """EDGES that join the fitting pairs of every group of a written table of groups (key, m).
 
     members(groups) gives (key, node, more) of some groups, with their other columns; compare does a
-    table of blocks; fits(groups) gives key, node, pivot of the members that fit least or most.
+    table of blocks; ends(groups) gives key, m, least and most, the members of the least and the greatest
+    name; fits(groups) gives key, node, pivot of the members that fit least or most.
     """
-    names = lambda df: df.select(key, "m")
-    small = compare(in_blocks(members(names(groups.where(F.col("m") <= BLOCK))), key, "m"))
+    small = compare(in_blocks(members(groups.where(F.col("m") <= BLOCK)), key, "m"))
     large = groups.where(F.col("m") > BLOCK)
     if large.isEmpty():
         return small
+    large = materialize(ends(large), "near-large")
     tested = materialize(fits(large), "near-tested")
     best = tested.groupBy(key, "pivot").agg(F.count("*").alias("c")).groupBy(key).agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
     star = materialize(tested.join(best, [key, "pivot"]).select(key, "node", "pivot").distinct(), "near-stars")
@@ -317,16 +318,24 @@ def plausible_edges(classes: DataFrame) -> DataFrame:
     width = 4 * BAND_ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sketch", k * width + 1, F.lit(width))))
     bands = classes.select(F.explode(keys).alias("key"), "node")
-    sized = F.count("*").alias("m"), F.min("node").alias("least"), F.max("node").alias("most")
-    shared = materialize(bands.groupBy("key").agg(*sized).where("m > 1"), "near-buckets")
+    shared = materialize(bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "near-buckets")
+    is_few = is_small(shared)
     sketched = classes.select("node", "n", "sketch")
-    members = lambda some: bands.join(some, "key").join(sketched, "node")
+
+    def members(some: DataFrame) -> DataFrame:
+        """Where the shared keys fit a broadcast, bands are sifted where they are made; else they meet by key, and the sketches by node."""
+        if is_few:
+            return classes.select(F.explode(keys).alias("key"), "node", "n", "sketch").join(F.broadcast(some), "key")
+        return bands.join(some, "key").join(sketched, "node")
+
+    def ends(large: DataFrame) -> DataFrame:
+        return bands.join(F.broadcast(large) if is_few else large, "key").groupBy("key", "m").agg(F.min("node").alias("least"), F.max("node").alias("most"))
 
     def fits(large: DataFrame) -> DataFrame:
         pivots = materialize(pivots_of(large).join(sketched, "node").toDF("pivot", "pivot_n", "pivot_sketch"), "near-pivots")
         return plausible_with_pivot(with_pivots(members(large.drop("m")), pivots))
 
-    return linked(shared, "key", members, plausible, fits)
+    return linked(shared, "key", members, plausible, ends, fits)
 
 
 def confirmed_edges(clusters: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -334,15 +343,16 @@ def confirmed_edges(clusters: DataFrame, classes: DataFrame, docs: DataFrame) ->
     rep = classes.select("node", F.col("rep.doc_id").alias("w_id"), F.col("rep.text_hash").alias("w_hash"))
     wanted = materialize(clusters.join(rep, "node"), "near-wanted")
     is_few = is_small(wanted)
-    sizes = materialize(wanted.groupBy("cluster").agg(F.count("*").alias("m"), F.min("node").alias("least"), F.max("node").alias("most")), "near-clusters")
+    sizes = materialize(wanted.groupBy("cluster").agg(F.count("*").alias("m")), "near-clusters")
     members = lambda some: with_sets(wanted.join(some, "cluster"), docs, is_few)
+    ends = lambda large: wanted.join(large, "cluster").groupBy("cluster", "m").agg(F.min("node").alias("least"), F.max("node").alias("most"))
 
     def fits(large: DataFrame) -> DataFrame:
         sets = with_sets(wanted.join(pivots_of(large), "node").select(F.col("node").alias("pivot"), "w_id", "w_hash"), docs, is_few)
         pivots = materialize(sets.groupBy("pivot").agg(F.first("shingles").alias("pivot_shingles")), "near-pivots")
         return confirmed_with_pivot(with_pivots(members(large.drop("m")), pivots))
 
-    return linked(sizes, "cluster", members, confirmed, fits)
+    return linked(sizes, "cluster", members, confirmed, ends, fits)
 
 
 def group_rows(docs: DataFrame) -> DataFrame:
