@@ -319,17 +319,17 @@ def plausible_edges(classes: DataFrame) -> DataFrame:
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sketch", k * width + 1, F.lit(width))))
     bands = classes.select(F.explode(keys).alias("key"), "node")
     shared = materialize(bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "near-buckets")
-    is_few = is_small(shared)
+    placed = materialize(bands.join(F.broadcast(shared.select("key")) if is_small(shared) else shared.select("key"), "key"), "near-members")
+    is_few = is_small(placed)
     sketched = classes.select("node", "n", "sketch")
 
     def members(some: DataFrame) -> DataFrame:
-        """Where the shared keys fit a broadcast, bands are sifted where they are made; else they meet by key, and the sketches by node."""
-        if is_few:
-            return classes.select(F.explode(keys).alias("key"), "node", "n", "sketch").join(F.broadcast(some), "key")
-        return bands.join(some, "key").join(sketched, "node")
+        """The written members of some buckets with their sketches; where the members fit a broadcast, the sketches stay where they are."""
+        kept = placed.join(some, "key")
+        return sketched.join(F.broadcast(kept) if is_few else kept, "node")
 
     def ends(large: DataFrame) -> DataFrame:
-        return bands.join(F.broadcast(large) if is_few else large, "key").groupBy("key", "m").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+        return placed.join(large, "key").groupBy("key", "m").agg(F.min("node").alias("least"), F.max("node").alias("most"))
 
     def fits(large: DataFrame) -> DataFrame:
         pivots = materialize(pivots_of(large).join(sketched, "node").toDF("pivot", "pivot_n", "pivot_sketch"), "near-pivots")
