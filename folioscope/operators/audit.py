@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import let
 from .figures import CAPTION, LIST_OF_FIGURES
 
 COVERAGE, LONG_DIGITS, MATH_TOKENS, MATH_LOSS = 0.82, 3, 6, 0.4
@@ -53,13 +54,15 @@ def image_count(markdown: Column) -> Column:
 
 def lost_math(lines: Column, markdown: Column) -> Column:
     """Lines with formulas of which more than two fifths of six tokens or more are not in the Markdown."""
-    kept = T.significant(markdown)
 
-    def is_lost(s: Column) -> Column:
-        tokens = F.regexp_extract_all(T.significant(s), F.lit(r"[0-9a-zA-Z\x{4e00}-\x{9fff}]+"), F.lit(0))
-        return T.math_like(s) & (F.size(tokens) >= MATH_TOKENS) & (F.size(F.filter(tokens, lambda t: ~F.contains(kept, t))) > MATH_LOSS * F.size(tokens))
+    def missing(kept: Column, tokens: Column) -> Column:
+        return (F.size(tokens) >= MATH_TOKENS) & (F.size(F.filter(tokens, lambda t: ~F.contains(kept, t))) > MATH_LOSS * F.size(tokens))
 
-    return F.transform(F.filter(lines, is_lost), lambda s: F.substring(T.strip(s), 1, 60))
+    def is_lost(kept: Column, s: Column) -> Column:
+        return T.math_like(s) & let(F.regexp_extract_all(T.significant(s), F.lit(r"[0-9a-zA-Z\x{4e00}-\x{9fff}]+"), F.lit(0)), lambda tokens: missing(kept, tokens))
+
+    lost = let(T.significant(markdown), lambda kept: F.filter(lines, lambda s: is_lost(kept, s)))
+    return F.transform(lost, lambda s: F.substring(T.strip(s), 1, 60))
 
 
 def preview(items: Column, n: int) -> Column:

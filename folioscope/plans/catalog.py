@@ -439,7 +439,10 @@ def merge_regions(s, d):
     return hybrid.merge_regions(rows.drop("line_no"), new.drop("line_no"), ["doc_id"], "seq").select("doc_id", "region_id", "source", "content", "place")
 
 
-@register(None)
+@register(using("v_geo", "v_boxes", sql=f"""SELECT doc_id, count(*)::INT AS n, regexp_replace(regexp_replace(string_agg(part, chr(10) ORDER BY y0, x0, region_id), '\\n\\n\\n+', chr(10) || chr(10), 'g'), '\\A[{WS}]+|[{WS}]+\\z', '', 'g') AS markdown, CASE WHEN bool_or(kind = 'table') AND doc_id % 4 = 3 THEN 'region_ocr_failed' ELSE '' END AS warnings, 'hybrid' AS source FROM (
+    SELECT doc_id, 'text' AS kind, 'text-' || place AS region_id, x0, y0, CASE WHEN heading AND c <> '' THEN '## ' ELSE '' END || c AS part FROM (SELECT *, regexp_replace(text, '\\A[{WS}]+|[{WS}]+\\z', '', 'g') AS c, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, line_no) AS place,
+      lower(text) = 'index of contents' OR regexp_matches(text, '\\A[0-9]+(\\.[0-9]+)*[ \\t]+[A-Z]') OR (bold AND size >= 12 AND length(text) < 120) AS heading FROM v_geo) l WHERE {OUTSIDE}
+    UNION ALL SELECT doc_id, kind, kind || '-' || (box_no + 1), x0, y0, chr(10) || CASE WHEN kind = 'figure' THEN '![Figure](/api/region-image/s1/' || doc_id || '/67,174,933,216)' WHEN doc_id % 2 = 0 THEN '|A|B|' || chr(10) || '|-|-|' || chr(10) || '|1|2|' WHEN doc_id % 4 = 1 THEN 'read again' ELSE '|A|B|' || chr(10) || '|1|' END || chr(10) FROM v_boxes) GROUP BY doc_id"""))
 def hybrid_results(s, d):
     t = boxed(s, d, "table").withColumn("text", F.lit("")).withColumn("markdown", F.when(F.col("doc_id") % 2 == 0, "|A|B|\n|-|-|\n|1|2|").otherwise("|A|B|\n|1|"))
     f = boxed(s, d, "figure").withColumn("caption", F.lit("Figure")).withColumn("sort_y", F.col("y0") - F.lit(0.1))
@@ -449,7 +452,7 @@ def hybrid_results(s, d):
 
     engine = FakeEngine({"page-1": "<|det|>table [0,0,500,500]<|/det|>read again", "page-3": RuntimeError("engine is down")})
     out = hybrid.hybrid_pages(regions, images, engine, F.lit("s1"))
-    return out.select("doc_id", F.size("detections").alias("n"), "markdown", F.transform("warnings", lambda w: w["type"]).alias("warnings"), "source")
+    return out.select("doc_id", F.size("detections").alias("n"), "markdown", F.array_join(F.transform(F.coalesce("warnings", F.array().cast("array<struct<type:string,region_id:string,message:string>>")), lambda w: w["type"]), ",").alias("warnings"), "source")
 
 
 # ---------------------------------------------------------------- scans
@@ -544,9 +547,10 @@ def NORM(x: str) -> str:  # noqa: N802
 
 @register(using("v_dirty", sql=f"SELECT d.doc_id, length(s) AS chars, length(translate(s, m, '')) AS uncovered FROM (SELECT v.doc_id, {NORM('v.text')} AS s, {NORM('o.text')} AS m FROM v_dirty v JOIN documents o ON o.doc_id = v.doc_id) d"))
 def coverage_audit(s, d):
-    both = V.dirty(s, d).withColumnRenamed("text", "source").join(V.table(s, d, "documents").select("doc_id", "text"), "doc_id")
-    src = T.norm(F.col("source"))
-    return both.select("doc_id", F.length(src).cast(LONG).alias("chars"), audit.uncovered(src, T.norm(F.col("text"))).alias("uncovered"))
+    """Both texts of a page come from one scan, and each is put in normal form once."""
+    both = V.table(s, d, "documents").select("doc_id", T.norm(V.damaged(F.col("doc_id"), F.col("text"))).alias("src"), T.norm(F.col("text")).alias("md"))
+    counted = A.let(F.struct("src", "md"), lambda x: F.struct(F.length(x["src"]).cast(LONG).alias("chars"), audit.uncovered(x["src"], x["md"]).alias("uncovered")))
+    return both.select("doc_id", counted.alias("c")).select("doc_id", "c.chars", "c.uncovered")
 
 
 DIGITS = "list_distinct(list_filter(list_transform(regexp_extract_all({}, '[0-9][0-9.,:/-]*'), lambda t: regexp_replace(t, '[.,:/-]+$', '')), lambda t: length(t) >= 2))"
@@ -606,7 +610,7 @@ def translate_apply(s, d):
     return translate.apply(rows, new, ["conv_id"]).select("conv_id", "index", "original", "translated")
 
 
-@register("SELECT conv_id, turn::INT AS index, text AS original, CASE WHEN role = 'system' THEN text ELSE regexp_replace(upper(text), '\\A\\[(title|text|table)\\]\\s*', '') END AS translated FROM conversations WHERE text IS NOT NULL AND role <> 'system'")
+@register("SELECT conv_id, turn::INT AS index, text AS original, CASE WHEN role = 'system' THEN text ELSE regexp_replace(upper(replace(text, 'ß', 'SS')), '\\A\\[(title|text|table)\\]\\s*', '') END AS translated FROM conversations WHERE text IS NOT NULL AND role <> 'system'")
 def translate_pages(s, d):
     return translate.translate(items(s, d), ["conv_id"], translate.EchoClient)
 

@@ -77,13 +77,16 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(preface, body, tail).alias("raw"))
 
 
-def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text: broken glyphs, numbered headings and caption lines in some documents."""
-    doc, text = F.col("doc_id"), F.col("text")
+def damaged(doc: Column, text: Column) -> Column:
+    """A document's text with broken glyphs, a numbered heading or a caption line, by its id."""
     text = F.when(doc % 10 == 0, F.replace(text, F.lit("s"), F.lit(chr(0xF073)))).when(doc % 20 == 7, F.replace(text, F.lit("e"), F.lit("\N{REPLACEMENT CHARACTER}"))).otherwise(text)
     text = F.when(doc % 4 == 0, F.concat((doc % 9 + 1).cast("string"), F.lit(". SCOPE AND TERMS\n"), text)).otherwise(text)
-    text = F.when(doc % 5 == 0, F.concat(text, F.lit("\nFigure "), (doc % 7 + 1).cast("string"), F.lit(": a drawing"))).otherwise(text)
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return F.when(doc % 5 == 0, F.concat(text, F.lit("\nFigure "), (doc % 7 + 1).cast("string"), F.lit(": a drawing"))).otherwise(text)
+
+
+def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: broken glyphs, numbered headings and caption lines in some documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", damaged(F.col("doc_id"), F.col("text")).alias("text"))
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
