@@ -106,18 +106,21 @@ def outer_tables(tables: DataFrame, figures: DataFrame) -> DataFrame:
 
 
 def clusters(values: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
-    """keys, cluster_no, n, center: runs of values whose neighbours are tolerance apart at most."""
+    """keys, cluster_no, n, total, center: runs of values whose neighbours are tolerance apart at most."""
     order = Window.partitionBy(*keys).orderBy(value)
     marked = values.where(F.col(value).isNotNull()).withColumn("new", (F.col(value) - F.lag(value).over(order) > tolerance).cast("int"))
     numbered = marked.withColumn("cluster_no", F.sum(F.coalesce("new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "cluster_no").agg(F.count("*").alias("n"), F.avg(value).alias("center"))
+    return numbered.groupBy(*keys, "cluster_no").agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("center"))
 
 
 def nearest_centers(values: DataFrame, centers: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """values with every center of their keys at the least distance; ties give several rows."""
-    met = values.join(centers.select(*keys, "cluster_no", "center"), keys)
-    order = Window.partitionBy(*values.columns).orderBy(F.abs(F.col(value) - F.col("center")))
-    return met.withColumn("r", F.rank().over(order)).where("r = 1").drop("r")
+    """values with every center of their keys (of ``clusters``) at the least distance; ties give several rows.
+
+    Distances are abs(value * n - total) / n, one rounding at the end: a center that was rounded before would part ties.
+    """
+    met = values.join(centers.select(*keys, "cluster_no", "n", "total", "center"), keys)
+    order = Window.partitionBy(*values.columns).orderBy(F.abs(F.col(value) * F.col("n") - F.col("total")) / F.col("n"))
+    return met.withColumn("r", F.rank().over(order)).where("r = 1").drop("r", "n", "total")
 
 
 def is_heading(text: Column, bold: Column, size: Column) -> Column:
