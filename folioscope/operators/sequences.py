@@ -79,9 +79,11 @@ def offsets(rows: DataFrame, keys: list[str], order: list[str], size: str) -> Da
 
 
 def throughput(snapshots: DataFrame, keys: list[str]) -> DataFrame:
-    """tokens, seconds, tokens_per_second of each key from snapshots (tokens, seconds)."""
-    rows = snapshots.groupBy(*keys).agg(F.max("tokens").alias("tokens"), F.bround(F.max("seconds"), 2).alias("seconds"))
-    return rows.withColumn("tokens_per_second", F.when(F.col("seconds") > 0, F.bround(F.col("tokens") / F.col("seconds"), 1)))
+    """tokens, seconds, tokens_per_second of each key from snapshots (tokens, seconds); halves go away from zero."""
+    # Scaled before it is rounded, as DuckDB does it: the product's own rounding decides what is a half.
+    rounded = lambda c, scale: F.round(c * scale) / scale
+    rows = snapshots.groupBy(*keys).agg(F.max("tokens").alias("tokens"), rounded(F.max("seconds"), 100.0).alias("seconds"))
+    return rows.withColumn("tokens_per_second", F.when(F.col("seconds") > 0, rounded(F.col("tokens") / F.col("seconds"), 10.0)))
 
 
 def rms_norm(values: Column, weight: float = 1.0, eps: float = 1e-6) -> Column:
