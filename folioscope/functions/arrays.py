@@ -21,19 +21,27 @@ def dedupe_bounds(values: Column, gap: float) -> Column:
     return F.aggregate(F.array_sort(values.cast("array<double>")), doubles(), step)
 
 
-def cluster(values: Column, tolerance: float) -> Column:
-    """Means of runs of sorted values in which neighbours are tolerance apart at most; nulls are dropped."""
-    kind = "array<struct<total:double,n:int,last:double>>"
+def slices(items: Column, parted) -> Column:
+    """items cut into arrays wherever parted(one, the next) holds; the work is in proportion to the items."""
+
+    def cut(own: Column) -> Column:
+        n = F.size(own)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        begins = F.filter(places, lambda k: (k == 0) | parted(F.get(own, k - 1), F.get(own, k)))
+        return let(begins, lambda at: F.when(own.isNotNull(), F.transform(at, lambda a, j: F.slice(own, a + 1, F.coalesce(F.get(at, j + 1), n) - a))))
+
+    return let(items, cut)
 
-    def step(groups: Column, v: Column) -> Column:
-        last = F.try_element_at(groups, F.lit(-1))
-        joins = F.coalesce(v - last["last"] <= tolerance, F.lit(False))
-        longer = F.struct((last["total"] + v).alias("total"), (last["n"] + 1).alias("n"), v.alias("last"))
-        new = F.struct(v.alias("total"), F.lit(1).alias("n"), v.alias("last"))
-        return F.when(joins, F.concat(F.slice(groups, 1, F.greatest(F.lit(0), F.size(groups) - 1)), F.array(longer))).otherwise(F.concat(groups, F.array(new))).cast(kind)
 
+def apart(before: Column, value: Column, tolerance: float) -> Column:
+    """Whether a sorted value is more than tolerance past the one before it."""
+    return ~F.coalesce(value - before <= tolerance, F.lit(False))
+
+
+def cluster(values: Column, tolerance: float) -> Column:
+    """Means of runs of sorted values in which neighbours are tolerance apart at most; nulls are dropped."""
     known = F.filter(values.cast("array<double>"), lambda v: v.isNotNull())
-    return F.transform(F.aggregate(F.array_sort(known), F.array().cast(kind), step), lambda g: g["total"] / g["n"])
+    return F.transform(slices(F.sort_array(known), lambda a, b: apart(a, b, tolerance)), lambda g: total(g) / F.size(g))
 
 
 def neighbours(values: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.arrays import cluster, let
+from ..functions.arrays import apart, let, slices
 from ..functions.geometry import center_inside, holds_nested, page_to_unit, touching
 
 SMALL, TIGHT, SAME_LINE, RAISED = 0.78, 1.7, 3.0, 0.5
@@ -28,38 +28,46 @@ def join_span_texts(spans: Column) -> Column:
             tight = small | ((s["x0"] - before["x1"] < TIGHT) & (F.abs(middle_before - middle) < SAME_LINE))
             raised = small & (middle < middle_before - RAISED)
             spaced = F.endswith(before["text"], F.lit(" ")) | F.startswith(s["text"], F.lit(" ")) | F.startswith(s["text"], F.lit("\xa0"))
-            return F.when(k == 0, s["text"]).when(raised, F.concat(F.lit("^"), s["text"])).when(tight | spaced, s["text"]).otherwise(F.concat(F.lit(" "), s["text"]))
+            return F.when(raised, F.concat(F.lit("^"), s["text"])).when(tight | spaced, s["text"]).otherwise(F.concat(F.lit(" "), s["text"]))
 
-        return let(F.get(ordered, k - 1), joined)
+        return F.when(k == 0, s["text"]).otherwise(let(F.get(ordered, k - 1), joined))
 
     def whole(ordered: Column) -> Column:
         largest = F.array_max(F.transform(ordered, lambda s: s["size"]))
         return let(largest, lambda most: F.array_join(F.transform(ordered, lambda s, k: piece(ordered, most, s, k)), ""))
 
-    joined = let(F.array_sort(spans, by_place), whole)
-    return F.coalesce(T.strip(F.regexp_replace(joined, " {2,}", " ")), F.lit(""))
+    visible = lambda c: F.ascii(c).between(33, 126)
+    squeezed = lambda t: F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
+    stripped = lambda t: F.when(visible(t) & visible(F.right(t, F.lit(1))), t).otherwise(T.strip(t))
+    return F.coalesce(let(let(let(F.array_sort(spans, by_place), whole), squeezed), stripped), F.lit(""))
 
 
 def join_cell_text(spans: Column) -> Column:
-    """Spans of one table cell in reading order: lines by clustered middles, wrapped small lines glued to the line before."""
-    middle = lambda s: (s["y0"] + s["y1"]) / 2
-    kind = "array<array<struct<text:string,x0:double,y0:double,x1:double,y1:double,size:double>>>"
+    """Spans of one table cell in reading order: lines by clustered middles, wrapped small lines glued to the line before.
+
+    A span belongs to every line whose center is nearest to its middle. Lines are runs of sorted middles, so that is its own run's
+    or a neighbour's, and its ends tell whether a run has any nearer to a neighbour: but for sorting, the work is in proportion to the spans.
+    """
+    def members(runs: Column, k: Column) -> Column:
+        """Middles and places of line k's spans; runs (own, center, low, high)."""
+        of = lambda at: F.get(runs, at)
+        away = lambda m, at: F.abs(m - of(at)["center"])
+        nearest = lambda at: lambda p: away(p["middle"], k) == F.least(away(p["middle"], at - 1), away(p["middle"], at), away(p["middle"], at + 1))
+        chosen = lambda at: F.coalesce(F.filter(of(at)["own"], nearest(at)), F.slice(of(k)["own"], 1, 0))
+        down = lambda at: away(of(at)["low"], at - 1) <= away(of(at)["low"], at)
+        up = lambda at: away(of(at)["high"], at + 1) <= away(of(at)["high"], at)
+        return F.when(down(k) | up(k) | up(k - 1) | down(k + 1), F.concat(chosen(k - 1), chosen(k), chosen(k + 1))).otherwise(of(k)["own"])
 
     def whole(own: Column) -> Column:
-        nearest = lambda s, centers: F.array_min(F.transform(centers, lambda c: F.abs(middle(s) - c)))
-        groups = let(cluster(F.transform(own, middle), CELL_LINES), lambda centers: F.transform(centers, lambda c: F.filter(own, lambda s: F.abs(middle(s) - c) == nearest(s, centers))))
+        marked = F.filter(F.transform(own, lambda s, k: F.struct(((s["y0"] + s["y1"]) / 2).alias("middle"), k.alias("place"))), lambda p: p["middle"].isNotNull())
+        cut = slices(F.sort_array(marked), lambda a, b: apart(a["middle"], b["middle"], CELL_LINES))
+        runs = F.transform(cut, lambda g: F.struct(g.alias("own"), (F.aggregate(g, F.lit(0.0), lambda t, p: t + p["middle"]) / F.size(g)).alias("center"), F.get(g, 0)["middle"].alias("low"), F.get(g, F.size(g) - 1)["middle"].alias("high")))
+        # Lines are places in own until they are joined: what a transform gives is copied, spans with their texts as well.
+        found = let(runs, lambda r: F.transform(r, lambda _, k: F.sort_array(F.transform(members(r, k), lambda p: p["place"]))))
         largest = F.array_max(F.transform(own, lambda s: s["size"]))
-
-        def glue(most: Column):
-            def step(done: Column, g: Column) -> Column:
-                small = (F.size(done) > 0) & (F.size(g) > 0) & F.forall(g, lambda s: s["size"] < most * SMALL)
-                longer = F.concat(F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1)), F.array(F.concat(F.try_element_at(done, F.lit(-1)), g)))
-                return F.when(small, longer).otherwise(F.concat(done, F.array(g))).cast(kind)
-
-            return step
-
-        merged = let(largest, lambda most: F.aggregate(groups.cast(kind), F.array().cast(kind), glue(most)))
-        return F.array_join(F.transform(F.filter(merged, lambda g: F.size(g) > 0), join_span_texts), " ")
+        small = lambda g, most: F.coalesce((F.size(g) > 0) & F.forall(g, lambda at: F.get(own, at)["size"] < most * SMALL), F.lit(False))
+        merged = F.transform(let(largest, lambda most: slices(found, lambda _, g: ~small(g, most))), F.flatten)
+        return F.array_join(F.transform(F.filter(merged, lambda g: F.size(g) > 0), lambda g: join_span_texts(F.transform(g, lambda at: F.get(own, at)))), " ")
 
     return F.coalesce(let(spans, whole), F.lit(""))
 
