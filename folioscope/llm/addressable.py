@@ -44,11 +44,12 @@ MAGIC = b"DAC1"
 HEADER = "<4sIQB"
 RANK_BITS = 512
 
-#: Bytes of segments in a file.
-FILE_BYTES = 32 << 20
+#: Bytes of segments after which a file ends. A file is one value when it is written and when it is read back, and the JVM
+#: holds several copies of such a value at a time.
+FILE_BYTES = 4 << 20
 
 FILES = "part int, file int, before long, ids long, payload binary"
-READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
+READ_BACK = "part int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 
 def build(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -255,23 +256,24 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_back(files: DataFrame, end_id: int = END_ID) -> DataFrame:
-    """Each document of the written files, by its own slice."""
+    """Each document of the written files, by its own slice. Contents go straight to the reader; the small rows that it gives meet the partitions' bases."""
     bases = prefix_bases(files.groupBy("part").agg(F.sum("ids").alias("total")), "part", "total")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                start = column(batch, "start")[k].as_py()
+                part, at = (column(batch, c)[k].as_py() for c in ("part", "before"))
                 for s in segments(column(batch, "content")[k].as_buffer()):
                     bounds = np.concatenate([[0], np.cumsum(s.lengths)])
                     if (s.take(bounds[1:] - 1) != end_id).any():
                         raise ValueError("a document does not end with the end id")
                     crc = [zlib.crc32(ids.astype("<u4", copy=False).view(np.uint8)) for ids in s.slices(bounds)]
-                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(start + bounds[:-1]), pa.array(s.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                    start += s.n_ids
+                    parts = pa.array(np.full(len(s.doc_ids), part, np.int32))
+                    yield pa.RecordBatch.from_arrays([parts, pa.array(s.doc_ids, pa.int64()), pa.array(at + bounds[:-1]), pa.array(s.lengths), pa.array(crc, pa.int64())], [x.split(" ")[0] for x in READ_BACK.split(", ")])
+                    at += s.n_ids
 
-    placed = join_bases(files.select("part", "before", "content"), bases, "part")
-    return placed.select((F.col("base") + F.col("before")).alias("start"), "content").mapInArrow(run, READ_BACK)
+    placed = join_bases(files.select("part", "before", "content").mapInArrow(run, READ_BACK), bases, "part")
+    return placed.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

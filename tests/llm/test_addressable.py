@@ -63,6 +63,25 @@ def test_files_by_offset(spark, monkeypatch):
     assert at == len(want)
 
 
+def test_contents_in_bounded_values(spark):
+    """A partition of many codes is several files, none of them large, and what joins on the way back are small rows, not contents."""
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        docs = spark.range(300).selectExpr("id AS doc_id", "repeat('many, words of 7 and ', 7000) AS text")
+        files = A.write(docs, tokenizer_path("word_bpe_49k.json"))
+        rows = files.selectExpr("part", "file", "before", "ids", "length(content) AS n").orderBy("part", "file").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert {r.part for r in rows} == {0} and sum(r.n for r in rows) > 20 << 20 and max(r.n for r in rows) < 8 << 20
+    assert [r.before for r in rows] == [sum(x.ids for x in rows[:k]) for k in range(len(rows))]
+    read = A.read_back(files)
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("MapInArrow")
+    first, *more = read.orderBy("start").collect()
+    assert len(more) == 299 and all(r.n_tokens == first.n_tokens and r.ids_crc32 == first.ids_crc32 and r.start == r.doc_id * first.n_tokens for r in more)
+
+
 def test_empty_table(spark):
     assert A.read_back(A.write(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path("word_bpe_49k.json"))).count() == 0
 
