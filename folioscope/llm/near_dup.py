@@ -253,17 +253,28 @@ def confirmed(blocks: DataFrame) -> DataFrame:
     return by_blocks(blocks, "cluster").mapInArrow(run, EDGES)
 
 
-def confirmed_with_pivot(rows: DataFrame) -> DataFrame:
-    """cluster, node, pivot of the rows (cluster, node, shingles, pivot, pivot_shingles) that are linked with their pivot."""
+def confirmed_with_pivots(rows: DataFrame) -> DataFrame:
+    """cluster, node, pivot of the rows (cluster, node, text, least, most and these two's shingles) whose texts' sets are linked with a pivot.
+
+    Sets are made and compared in one Python operator: two in a row would keep two workers for each core.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fit = []
-            for own, pivot in zip(column(batch, "shingles"), column(batch, "pivot_shingles"), strict=True):
-                a, b = np.frombuffer(own.as_buffer(), "<u8"), np.frombuffer(pivot.as_buffer(), "<u8")
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                fit.append(100 * common >= PERCENT * (len(a) + len(b) - common))
-            yield batch.select(["cluster", "node", "pivot"]).filter(pa.array(fit, pa.bool_()))
+            texts, rows_at, pivots = filled(column(batch, "text")), [], []
+            named = [(column(batch, c), column(batch, f"{c}_shingles")) for c in ("least", "most")]
+            for i, j in runs(byte_sizes(texts), HASH_RUN_BYTES):
+                for k, own in enumerate(Texts(texts[i:j].to_pylist()).shingles(WORDS), i):
+                    found = {}
+                    for name, shingles in named:
+                        pivot = np.frombuffer(shingles[k].as_buffer(), "<u8")
+                        common = len(np.intersect1d(own, pivot, assume_unique=True))
+                        if 100 * common >= PERCENT * (len(own) + len(pivot) - common):
+                            found[name[k].as_py()] = None  # the two can be one
+                    rows_at += [k] * len(found)
+                    pivots += found
+            at = pa.array(rows_at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(column(batch, c).take(at) for c in ("cluster", "node")), pa.array(pivots, pa.binary())], ["cluster", "node", "pivot"])
 
     return rows.mapInArrow(run, "cluster binary, node binary, pivot binary")
 
@@ -287,8 +298,15 @@ def components(edges: DataFrame) -> DataFrame:
         state = found
 
 
+def with_texts(nodes: DataFrame, docs: DataFrame, is_few: bool) -> DataFrame:
+    """nodes (w_id, w_hash: doc_id and text hash of a text, and others) with that text, read again from docs (doc_id, text_hash, text); is_few: nodes are within a measured bound."""
+    kept = [c for c in nodes.columns if c not in ("w_id", "w_hash")]
+    met = docs.join(F.broadcast(nodes) if is_few else nodes, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+    return met.select(*kept, "text")
+
+
 def with_sets(nodes: DataFrame, docs: DataFrame, is_few: bool) -> DataFrame:
-    """nodes (w_id, w_hash: doc_id and text hash of a text, and others) with the shingles of that text, read again from docs (doc_id, text_hash, text); is_few: nodes are within a measured bound."""
+    """nodes as in ``with_texts``, with the shingles of their texts."""
     kept = [c for c in nodes.columns if c not in ("w_id", "w_hash")]
     kinds = dict(nodes.dtypes)
 
@@ -299,8 +317,7 @@ def with_sets(nodes: DataFrame, docs: DataFrame, is_few: bool) -> DataFrame:
                 sets = [s.astype("<u8").tobytes() for s in Texts(texts[i:j].to_pylist()).shingles(WORDS)]
                 yield pa.RecordBatch.from_arrays([*(column(batch, c)[i:j] for c in kept), pa.array(sets, pa.binary())], [*kept, "shingles"])
 
-    met = docs.join(F.broadcast(nodes) if is_few else nodes, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    return met.select(*kept, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", shingles binary")
+    return with_texts(nodes, docs, is_few).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", shingles binary")
 
 
 def with_pivots(rows: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -309,6 +326,13 @@ def with_pivots(rows: DataFrame, pivots: DataFrame) -> DataFrame:
     return join_measured(each, pivots, "pivot", "inner")
 
 
+def name_as(pivots: DataFrame, name: str) -> DataFrame:
+    """A written table of pivots (pivot, shingles) under the names of the least or the most member."""
+    out = pivots.toDF(name, f"{name}_shingles")
+    out.written_to = pivots.written_to  # for its measured size
+    return out
+
+
 def pivots_of(large: DataFrame) -> DataFrame:
     return large.select(F.explode(F.array("least", "most")).alias("node")).distinct()
 
@@ -349,8 +373,11 @@ def confirmed_edges(clusters: DataFrame, classes: DataFrame, docs: DataFrame) ->
 
     def fits(large: DataFrame) -> DataFrame:
         sets = with_sets(wanted.join(pivots_of(large), "node").select(F.col("node").alias("pivot"), "w_id", "w_hash"), docs, is_few)
-        pivots = materialize(sets.groupBy("pivot").agg(F.first("shingles").alias("pivot_shingles")), "near-pivots")
-        return confirmed_with_pivot(with_pivots(members(large.drop("m")), pivots))
+        pivots = materialize(sets.groupBy("pivot").agg(F.first("shingles").alias("shingles")), "near-pivots")
+        rows = with_texts(wanted.join(large.drop("m"), "cluster"), docs, is_few)
+        for c in ("least", "most"):
+            rows = join_measured(rows, name_as(pivots, c), c, "inner")
+        return confirmed_with_pivots(rows)
 
     return linked(sizes, "cluster", members, confirmed, ends, fits)
 

@@ -102,6 +102,18 @@ def test_a_group_whose_pivots_do_not_reach_all(spark, monkeypatch):
     assert all(r.component_id == 0 for r in N.find_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+def test_one_python_operator_for_each_tested_member(spark, monkeypatch):
+    """Members of large clusters are compared with their pivots where their sets are made: two operators in a row keep two workers for each core."""
+    monkeypatch.setattr(N, "BLOCK", 16)
+    plans, plain = [], N.materialize
+    monkeypatch.setattr(N, "materialize", lambda df, name, **o: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or plain(df, name, **o))
+    base = [f"b{k}" for k in range(120)]
+    rows = [(k, " ".join([*base[:60], f"x{k}", *base[60:]])) for k in range(60)]
+    assert all(r.component_id == 0 for r in N.find_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    tested = [p.count("MapInArrow") for name, p in plans if name == "near-tested"]
+    assert len(tested) == 2 and tested == [1, 1]
+
+
 def test_overlaps():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 3000)).astype(np.uint64)) for _ in range(30)]
