@@ -27,7 +27,6 @@ from __future__ import annotations
 import heapq
 import zlib
 from array import array
-from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +44,8 @@ UNKNOWN_PENALTY = 10.0
 SPACE = "\N{LOWER ONE EIGHTH BLOCK}"
 STORE_SEGMENTS, STORE_IDS = 900_000, 16_000_000
 PART = 1 << 20
+#: Characters of a segment up to which the edges are listed when the forward pass meets them; the search looks up those of longer ones.
+LISTED = 4096
 
 RESULT = "doc_id long, n_bytes long, n_pieces long, score double, path_scores array<double>, second_pieces long, ids_crc32 long, restored boolean"
 
@@ -63,6 +64,8 @@ class Lattice:
         # Every beginning of a piece; () where it is no piece itself.
         self.prefixes = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
         self.unknown = min(s for s, _ in self.pieces.values()) - UNKNOWN_PENALTY
+        #: Sums of whole scores are exact in any order; others are compared to six places.
+        self.whole = all(s.is_integer() for s, _ in self.pieces.values())
         self.byte_ids = {int(sp.id_to_piece(k)[1:-1], 16): k for k in range(sp.get_piece_size()) if sp.is_byte(k)}
         self.raw = [bytes([int(sp.id_to_piece(k)[1:-1], 16)]) if sp.is_byte(k) else b"" if sp.is_control(k) else sp.id_to_piece(k).encode() for k in range(sp.get_piece_size())]
         self.raw[sp.unk_id()] = " \N{DOUBLE QUESTION MARK} ".encode()
@@ -82,51 +85,63 @@ class Lattice:
         self.at, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.scores, self.sizes = np.zeros((0, self.nbest)), np.zeros((0, self.nbest), np.int32)
 
-    def forward(self, text: str) -> array:
-        """The best score from the beginning to every node."""
-        n, get = len(text), self.prefixes.get
+    def forward(self, text: str) -> tuple[array, list[list[tuple[int, tuple[float, int]]]] | None]:
+        """The best score from the beginning to every node, and the edges that end at every node, by their begins (None: text is longer than LISTED)."""
+        n, get, nothing = len(text), self.prefixes.get, (self.unknown, -1)
         best = array("d", [-np.inf]) * (n + 1)
         best[0] = 0.0
+        ends = [[] for _ in range(n + 1)] if n <= LISTED else None
         for i in range(n):
             own, j = best[i], i + 1
             found = get(text[i:j])
-            if not found and own + self.unknown > best[j]:  # no piece is this character alone
-                best[j] = own + self.unknown
+            if not found:  # no piece is this character alone
+                if own + self.unknown > best[j]:
+                    best[j] = own + self.unknown
+                if ends:
+                    ends[j].append((i, nothing))
             while found is not None:
-                if found and own + found[0] > best[j]:
-                    best[j] = own + found[0]
+                if found:
+                    if own + found[0] > best[j]:
+                        best[j] = own + found[0]
+                    if ends:
+                        ends[j].append((i, found))
                 j += 1
                 if j > n:
                     break
                 found = get(text[i:j])
-        return best
+        return best, ends
 
-    def edges(self, text: str, node: int) -> Iterator[tuple[int, float, int]]:
-        """The edges that end at a node: begin, score, id (-1: unknown)."""
+    def edges(self, text: str, node: int) -> Iterator[tuple[int, tuple[float, int]]]:
+        """The edges that end at a node, the last to begin first: begin, (score, id; -1: unknown)."""
         if text[node - 1] not in self.pieces:
-            yield node - 1, self.unknown, -1
+            yield node - 1, (self.unknown, -1)
         for i in range(node - 1, max(-1, node - 1 - self.longest), -1):
             if found := self.pieces.get(text[i:node]):
-                yield i, *found
+                yield i, found
 
     def search(self, text: str, nbest: int) -> list[tuple[float, tuple[int, ...]]]:
         """The nbest best paths as (score, ids)."""
         if not text:
             return [(0.0, ())]
-        best = self.forward(text)
-        agenda, count, found = [(-round(best[-1], 6), len(text), 0, 0.0, None)], 0, []
+        best, ends = self.forward(text)
+        exact, first = self.whole, -best[-1]
+        agenda, count, found = [(first if exact else round(first, 6), len(text), 0, 0.0, None)], 0, []
         while agenda and len(found) < nbest:
             _, node, _, own, rest = agenda.pop(0)
             if not node:
                 ids = []
                 while rest is not None:
-                    (i, k), rest = rest
+                    i, k, rest = rest
                     ids.extend(self.spell(text[i]) if k < 0 else (k,))
                 found.append((own, tuple(ids)))
                 continue
-            for i, s, k in self.edges(text, node):
-                count += 1
-                insort(agenda, (-round(own + s + best[i], 6), i, count, own + s, ((i, k), rest)), key=lambda x: x[:3])
+            # Edges of a node differ in their begins and expansions in their counts, so no comparison goes beyond these.
+            count += 1
+            for i, (s, k) in ends[node] if ends else self.edges(text, node):
+                score = own + s
+                key = -score - best[i]
+                agenda.append((key if exact else round(key, 6), i, count, score, (i, k, rest)))
+            agenda.sort()
             del agenda[nbest - len(found) :]
         return found
 

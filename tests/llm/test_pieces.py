@@ -45,6 +45,39 @@ def test_search_against_all_segmentations(model):
         assert len({p for _, p in got}) == len(got) and all((pytest.approx(s, rel=1e-12), p) in [(s2, p2) for s2, p2 in want] for s, p in got)
 
 
+def test_search_looks_up_no_piece_again(model, monkeypatch):
+    """The backward search takes the edges that the forward pass has met; it looked up every possible length at every node it took."""
+
+    class Counted(dict):
+        looked_up = 0
+
+        def get(self, *key):
+            Counted.looked_up += 1
+            return dict.get(self, *key)
+
+    texts = ["▁segmentations,", "▁日本thing", "x" * 50, "####"]
+    want = [model.search(t, 3) for t in texts]
+    monkeypatch.setattr(model, "pieces", Counted(model.pieces))
+    assert [model.search(t, 3) for t in texts] == want and Counted.looked_up == 0
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_search_without_listed_edges(model, monkeypatch, whole):
+    """Longer segments look their edges up instead; paths, scores and ties are the same, with scores that need rounding too."""
+    rng = random.Random(6)
+    if not whole:
+        real = {p: (-rng.choice([0.1, 0.2, 0.3, 9 * rng.random()]), k) for p, (_, k) in model.pieces.items()}
+        for name, value in [("pieces", real), ("prefixes", model.prefixes | real), ("unknown", -20.0), ("whole", False)]:
+            monkeypatch.setattr(model, name, value)
+    texts = ["".join(rng.choices(PARTS, k=rng.randint(1, 40))).replace(" ", S.SPACE) for _ in range(300)] + ["=" * 90, "a" * 90]
+    listed = [model.search(t, 4) for t in texts]
+    for text, found in zip(texts, listed, strict=True):
+        if len(text) <= 10:
+            assert [s for s, _ in found] == pytest.approx([s for s, _ in all_paths(model, text)[:4]], rel=1e-12)
+    monkeypatch.setattr(S, "LISTED", 0)
+    assert [model.search(t, 4) for t in texts] == listed
+
+
 def test_segments_against_the_whole_lattice(model):
     rng = random.Random(2)
     texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 40))) for _ in range(400)] + ["", "x" * 3000, "\0 a\0", "▁a▁▁b"]
